@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tarifold import vocab
+from tarifold.functions.cases import mapped
 
 
 def quantity(text: Column) -> Column:
     """Number with an optional decimal suffix K, M, G, T or P in either case; null when it is not a number."""
-    suffix = F.upper(F.regexp_extract(text, r"([kKmMgGtTpP])$", 1))
-    scale = F.lit(1.0)
-    for name, factor in vocab.QUANTITY_SUFFIX.items():
-        scale = F.when(suffix == name, F.lit(factor)).otherwise(scale)
-    body = F.trim(F.regexp_replace(text, r"[kKmMgGtTpP]$", ""))
-    return body.try_cast("double") * scale
+    scale = mapped(F.upper(F.right(text, F.lit(1))), vocab.QUANTITY_SUFFIX)
+    body = F.when(scale.isNull(), text).otherwise(F.trim(F.left(text, F.length(text) - 1)))
+    return body.try_cast("double") * F.coalesce(scale, F.lit(1.0))
 
 
 def units_nanos(units: Column, nanos: Column) -> Column:
@@ -24,11 +22,10 @@ def units_nanos(units: Column, nanos: Column) -> Column:
 
 def canonical_unit(raw: Column, family: str) -> Column:
     """Struct (divisor, unit) of a raw unit spelling within one family; null when unknown."""
-    out = F.lit(None).cast("struct<divisor:double,unit:string>")
-    for spelling, (divisor, unit) in vocab.UNITS[family].items():
-        out = F.when(raw == spelling, F.struct(F.lit(float(divisor)).alias("divisor"), F.lit(unit).alias("unit"))
-                     ).otherwise(out)
-    return out
+    units = vocab.UNITS[family]
+    return F.when(raw.isin(*units), F.struct(
+        mapped(raw, {k: float(d) for k, (d, _) in units.items()}).alias("divisor"),
+        mapped(raw, {k: u for k, (_, u) in units.items()}).alias("unit")))
 
 
 def significant(value: Column, digits: int = 6) -> Column:

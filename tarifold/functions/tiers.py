@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tarifold import vocab
+from tarifold.functions.cases import mapped
 
 # Multipliers of the decimal suffixes.
 _COUNT_SUFFIX = {"K": 1e3, "M": 1e6, "B": 1e9}
@@ -12,23 +13,26 @@ _BYTE_SUFFIX = {"GB": 1e9, "TB": 1e12, "PB": 1e15}
 UNBOUNDED = float("inf")
 
 
-def _token_bound(token: Column, tokens: tuple[str, ...], suffixes: dict[str, float]) -> Column:
-    number = F.regexp_extract(token, r"^(\d+)", 1).cast("double")
-    suffix = F.regexp_extract(token, r"^\d+(\D*)$", 1)
-    scale = F.when(suffix == "", F.lit(1.0))
-    for name, factor in suffixes.items():
-        scale = scale.when(suffix == name, F.lit(factor))
-    return F.when(token.isin(*tokens), number * scale)
+def _bounds(tokens: tuple[str, ...], suffixes: dict[str, float]) -> dict[str, float]:
+    out = {}
+    for token in tokens:
+        digits = token.rstrip("KMBGTP")
+        out[token] = float(digits) * suffixes.get(token[len(digits):], 1.0)
+    return out
+
+
+COUNT_BOUNDS = _bounds(vocab.COUNT_TOKENS, _COUNT_SUFFIX)
+BYTE_BOUNDS = _bounds(vocab.BYTE_TOKENS, _BYTE_SUFFIX)
 
 
 def count_bound(token: Column) -> Column:
     """Numeric bound of a count token; null when the token is not in the vocabulary."""
-    return _token_bound(token, vocab.COUNT_TOKENS, _COUNT_SUFFIX)
+    return mapped(token, COUNT_BOUNDS)
 
 
 def byte_bound(token: Column) -> Column:
     """Numeric bound of a byte token; null when the token is not in the vocabulary."""
-    return _token_bound(token, vocab.BYTE_TOKENS, _BYTE_SUFFIX)
+    return mapped(token, BYTE_BOUNDS)
 
 
 def tier_bound(token: Column, domain: str) -> Column:

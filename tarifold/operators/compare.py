@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarifold import vocab
+from tarifold.functions.cases import mapped
 from tarifold.operators.rows import min_price, sorted_prices
 
 DEFAULT_LIMIT = 20
@@ -218,11 +219,8 @@ def compare(rows: DataFrame, kind: str, spec: CompareSpec = CompareSpec(), regio
 def mixed_units(rows: DataFrame, by: list[str]) -> DataFrame:
     """Groups whose prices mix unit families, and the separate per-call against per-hour test of gateways."""
     unit = F.explode(F.array_distinct(F.col("prices.unit"))).alias("unit")
-    family = F.lit(None).cast("string")
-    for name, group in vocab.UNIT_FAMILIES.items():
-        family = F.when(F.col("unit") == name, F.lit(group)).otherwise(family)
     return (
-        rows.select(*by, unit).withColumn("family", family)
+        rows.select(*by, unit).withColumn("family", mapped(F.col("unit"), vocab.UNIT_FAMILIES))
         .groupBy(*by).agg(
             F.sort_array(F.collect_set("family")).alias("families"),
             F.coalesce(F.max(F.col("unit").isin("1M-req", "request")), F.lit(False)).alias("_call"),

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarifold import schemas as S
+from tarifold.functions.cases import col
 from tarifold.functions.terms import empty_to_null_terms, terms_hash_of
 
 
+_CAST_ROW = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in S.ROW]
+
+
 def price(dimension: Column | str, amount: Column, unit: Column | str, tier: Column | str = "",
           tier_upper: Column | str = "") -> Column:
     """One price struct in canonical field order."""
-    def c(v):
-        return v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        c(dimension).alias("dimension"), c(tier).alias("tier"), c(tier_upper).alias("tier_upper"),
-        amount.cast("double").alias("amount"), c(unit).alias("unit"),
-    )
+    return F.named_struct(F.lit("dimension"), col(dimension), F.lit("tier"), col(tier), F.lit("tier_upper"),
+                          col(tier_upper), F.lit("amount"), amount.cast("double"), F.lit("unit"), col(unit))
 
 
 def attrs(**values: Column) -> Column:
     """Resource attributes from the given columns, every other field null."""
-    return F.struct(*(
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RESOURCE_ATTRS
-    ))
+    nulls = F.expr("named_struct(" + ", ".join(
+        f"'{f.name}', CAST(NULL AS {f.dataType.simpleString()})" for f in S.RESOURCE_ATTRS) + ")")
+    out = nulls
+    for name, value in values.items():
+        out = out.withField(name, value.cast(S.RESOURCE_ATTRS[name].dataType))
+    return out
 
 
 def json_object(**fields: Column | str) -> Column:
@@ -48,7 +51,7 @@ def normalized_rows(df: DataFrame, *, provider, service, kind, sku_id: Column, r
         (is_aggregated if is_aggregated is not None else F.lit(False)).alias("is_aggregated"),
     )
     out = out.withColumn("terms_hash", terms_hash_of(F.col("terms")))
-    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.ROW))
+    return out.selectExpr(*_CAST_ROW)
 
 
 def min_price(prices: Column | str = "prices") -> Column:

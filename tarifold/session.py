@@ -20,5 +20,6 @@ def local_session(cpus: int | str = 8, name: str = "tarifold") -> SparkSession:
         .config("spark.sql.parquet.aggregatePushdown", "true")
         .config("spark.driver.memory", os.environ.get("TARIFOLD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
