@@ -60,11 +60,6 @@ def joined_id(*ids: Column) -> Column:
     return F.array_join(F.array_sort(F.array(*ids)), "::")
 
 
-def collect_tiers(df: DataFrame, keys: list[str], entry: Column, extra: list[Column]) -> DataFrame:
-    """Gather the price entries of a key. A key is one item and one region, so the array is bounded by its tiers."""
-    return df.groupBy(*keys).agg(F.collect_list(entry).alias("entries"), *extra)
-
-
 def chained_tiers(entries: Column, dimension: str, unit: str, token) -> Column:
     """Prices from (lo, usd) entries sorted by lower bound; each tier ends where the next begins, the last is open."""
     ordered = F.array_sort(entries)
