@@ -1,9 +1,8 @@
 """Bulk cost estimation: a table of workload items against the catalog.
 
-Items are reduced to their distinct lookup keys first, each key is joined to the catalog once and its matches are
-reduced to one summary row, and the summaries go back to the items. No item ever meets more than one row, so a
-lookup that half of all items share costs no more than any other. Prices stay in their array on the row and the
-tier walk runs over that array, so pricing itself needs no shuffle.
+The catalog is first reduced to one summary row per name an item can ask for, then the items join the summaries.
+No item ever meets more than one row, so the output is as large as the input however popular a name is. Prices stay
+in their array on the row and the tier walk runs over that array, so pricing itself needs no shuffle.
 """
 
 from __future__ import annotations
@@ -127,23 +126,33 @@ def workload_items(documents: DataFrame, json: str = "value") -> DataFrame:
 
 
 # --- lookup keys -----------------------------------------------------------------------------------------------
+#
+# An item asks for its catalog rows under one name: kind, provider, service, resource, region and terms. Terms take
+# part as text, which is equal exactly when their hashes are, so items need no hashing. A condition an item does not
+# set is an empty string in its name, and rows also answer to the names without it.
 
-_KEY = ("q_kind", "q_provider", "q_service", "q_resource", "q_region", "q_hash", "q_os", "q_support", "q_mode")
+_NAME = ("kind", "provider", "service", "resource", "region", "terms")
+_Q = [f"q_{n}" for n in _NAME]
+_J = [f"j_{n}" for n in _NAME]
 
 
 def _param(name: str, default: str = "") -> Column:
-    value = F.col("params")[name]
-    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(default)).otherwise(value)
+    return F.expr(f"CASE WHEN coalesce(params['{name}'], '') = '' THEN '{default}' ELSE params['{name}'] END")
+
+
+def _terms_text(commitment: Column | str, tenancy: Column, os: Column, *rest: Column) -> Column:
+    commitment = F.lit(commitment) if isinstance(commitment, str) else commitment
+    return F.concat_ws("|", commitment, tenancy, os, *(rest or (F.lit("||"),)))
 
 
-def _with_keys(items: DataFrame) -> DataFrame:
-    """Add the lookup key of every item. An unused condition is an empty string, so keys compare by plain equality."""
+def _with_names(items: DataFrame) -> DataFrame:
+    """Add the name every item asks for."""
     kind, resource = F.col("kind"), F.col("resource")
     serverless, serverless_v2 = resource == "serverless", resource == "serverless-v2"
-    q_kind = F.coalesce(mapped(kind, {**CATALOG_KINDS, "llm.text": "llm"}), F.lit(""))
+    opensearch = kind == "search.engine.opensearch"
     q_resource = (
         F.when((kind == "db.relational.aurora") & serverless_v2, "aurora-serverless-v2")
-        .when((kind == "search.engine.opensearch") & serverless, "opensearch-serverless")
+        .when(opensearch & serverless, "opensearch-serverless")
         .when(kind == "db.relational.spanner", F.concat(F.lit("spanner-"), resource))
         .when(kind == "db.nosql.cosmos", F.concat(F.lit("cosmos-"), resource))
         .otherwise(resource)
@@ -153,84 +162,93 @@ def _with_keys(items: DataFrame) -> DataFrame:
         .when(kind == "db.relational.aurora", _param("engine", "aurora-postgres"))
         .when(kind == "db.relational.spanner", F.concat(F.lit("spanner-"), resource))
         .when(kind == "db.nosql.cosmos", _param("api", "sql"))
-        .when(kind == "search.engine.opensearch", "shared").otherwise("")
+        .when(opensearch, "shared").otherwise("")
     )
     os = (
         F.when(kind == "compute.vm", _param("os", "linux"))
         .when(kind == "db.relational.aurora", "single-az").when(kind == "db.nosql.cosmos", resource)
-        .when(kind == "search.engine.opensearch", F.when(serverless, "serverless").otherwise("managed-cluster"))
-        .otherwise("")
+        .when(opensearch, F.when(serverless, "serverless").otherwise("managed-cluster")).otherwise("")
     )
     commitment = F.when(kind == "compute.vm", _param("commitment", "on_demand")).otherwise("on_demand")
-    unhashed = kind.isin("llm.text", "paas.app.appservice", "warehouse.query.bigquery")
-    q_hash = F.when(~unhashed, terms_hash(commitment, tenancy, os, *(F.lit("") for _ in range(3)))).otherwise("")
-    keys = {
-        "q_kind": q_kind,
-        "q_provider": F.when(kind == "llm.text", F.lower(_param("serving_provider"))).otherwise(F.col("provider")),
-        "q_service": F.when(kind == "llm.text", "").otherwise(F.col("service")),
+    q_terms = (
+        F.when(kind == "llm.text", "")
+        .when(kind == "paas.app.appservice", F.concat_ws(",", _param("os", "linux"), F.nullif(_param("tier"), F.lit(""))))
+        .when(kind == "warehouse.query.bigquery", "on-demand").otherwise(_terms_text(commitment, tenancy, os)))
+    llm = kind == "llm.text"
+    names = {
+        "q_kind": mapped(kind, {**CATALOG_KINDS, "llm.text": "llm"}),
+        "q_provider": F.when(llm, F.lower(_param("serving_provider"))).otherwise(F.col("provider")),
+        "q_service": F.when(llm, "").otherwise(F.col("service")),
         "q_resource": q_resource,
-        "q_region": F.when(kind == "llm.text", "").when(kind == "dns.zone", _param("region", "global"))
-                     .otherwise(_param("region")),
-        "q_hash": q_hash,
-        "q_os": F.when(kind == "paas.app.appservice", _param("os", "linux"))
-                 .when(kind == "warehouse.query.bigquery", "on-demand").otherwise(""),
-        "q_support": F.when(kind == "paas.app.appservice", _param("tier")).otherwise(""),
-        "q_mode": F.when(kind == "network.cdn", _param("mode", "edge-egress"))
-                   .when(kind == "db.relational.aurora", F.when(serverless_v2, "serverless-v2").otherwise("provisioned"))
-                   .otherwise(""),
+        "q_region": F.when(llm, "").when(kind == "dns.zone", _param("region", "global")).otherwise(_param("region")),
+        "q_terms": q_terms,
+        "q_mode": F.when(kind == "network.cdn", _param("mode", "edge-egress")),
     }
-    # Never null, so no null filter is inferred on a key and pushed down over the item text.
-    return items.withColumns({name: F.coalesce(value, F.lit("")) for name, value in keys.items()})
+    # Never null, so no null filter is inferred on a name and pushed down over the item text.
+    return items.withColumns({name: F.coalesce(value, F.lit("")) for name, value in names.items()})
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Catalog rows under the names a key can ask for. A model row answers by its provider and, unless it is the
-    synthetic aggregate, also without one; every other row has exactly one name. So one equi-join serves all kinds."""
-    def name(kind, provider, service, region) -> Column:
-        return F.struct(kind.alias("j_kind"), provider.alias("j_provider"), service.alias("j_service"),
-                        region.alias("j_region"))
-
-    llm, empty = F.lit("llm"), F.lit("")
-    by_provider = name(llm, F.col("provider"), empty, empty)
-    names = (F.when(~F.col("kind").startswith("llm."), F.array(
-                name(F.col("kind"), F.col("provider"), F.col("service"), F.col("region"))))
-             .when(F.col("provider") == "openrouter", F.array(by_provider))
-             .otherwise(F.array(by_provider, name(llm, empty, empty, empty))))
-    return rows.select(
-        F.inline(names), "sku_id", "provider", "service", "resource_name", "region", "terms_hash", "terms",
-        sorted_prices().alias("prices"), extra_field("mode").alias("extra_mode"),
-        extra_field("sku").alias("extra_sku"))
-
-
-def _summaries(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per lookup key: how many rows match and which row the estimator prices."""
-    terms = F.col("terms")
-    names = {"q_kind": "j_kind", "q_provider": "j_provider", "q_service": "j_service", "q_resource": "resource_name",
-             "q_region": "j_region"}
-    matched = keys.join(_candidates(rows), [F.col(q) == F.col(c) for q, c in names.items()] + [
-        (F.col("q_hash") == "") | (F.col("q_hash") == F.col("terms_hash")),
-        (F.col("q_os") == "") | (F.col("q_os") == terms["os"]),
-        (F.col("q_support") == "") | (F.col("q_support") == terms["support_tier"]),
-        ~F.col("j_kind").isin("warehouse.query", "paas.app") | (terms["commitment"] == "on_demand"),
-        (F.col("j_kind") != "warehouse.query") | (terms["tenancy"] == "shared"),
-    ])
+    """Catalog rows under every name that reaches them.
 
-    def cheapest(units: tuple[str, ...]) -> Column:
-        fits = F.filter("prices", lambda p: (p["dimension"] == "compute") & p["unit"].isin(*units) & (p["amount"] > 0))
-        return F.array_min(fits["amount"])
+    A model answers by provider and, unless it is the synthetic aggregate, without one; an app plan with and without
+    its tier; every other row has one name. So a single equi-join on the name serves all kinds.
+    """
+    terms, kind, empty = F.col("terms"), F.col("kind"), F.lit("")
+
+    def name(k, provider, service, region, text) -> Column:
+        return F.struct(k.alias("j_kind"), provider.alias("j_provider"), service.alias("j_service"),
+                        region.alias("j_region"), text.alias("j_terms"))
+
+    def cloud(text: Column) -> Column:
+        return name(kind, F.col("provider"), F.col("service"), F.col("region"), text)
+    by_provider = name(F.lit("llm"), F.col("provider"), empty, empty, empty)
+    on_demand = terms["commitment"] == "on_demand"
+    none = F.slice(F.array(by_provider), 1, 0)
+    names = first_case([
+        (kind.startswith("llm.") & (F.col("provider") == "openrouter"), F.array(by_provider)),
+        (kind.startswith("llm."), F.array(by_provider, name(F.lit("llm"), empty, empty, empty, empty))),
+        (kind == "paas.app", F.when(on_demand & (F.coalesce(terms["support_tier"], empty) != ""), F.array(
+            cloud(terms["os"]), cloud(F.concat_ws(",", terms["os"], terms["support_tier"])))).when(
+                on_demand, F.array(cloud(terms["os"]))).otherwise(none)),
+        (kind == "warehouse.query", F.when(on_demand & (terms["tenancy"] == "shared"),
+                                           F.array(cloud(terms["os"]))).otherwise(none)),
+    ], F.array(cloud(_terms_text(terms["commitment"], terms["tenancy"], terms["os"], *(
+        F.coalesce(terms[f], empty) for f in ("support_tier", "upfront", "payment_option"))))))
+    named = rows.select(
+        names.alias("names"), F.col("resource_name").alias("j_resource"), "kind",
+        F.struct("sku_id", "provider", "service", "resource_name", "region", sorted_prices().alias("prices"),
+                 extra_field("mode").alias("extra_mode"), extra_field("sku").alias("extra_sku")).alias("row"))
+    return named.select(F.inline("names"), "j_resource", "kind", "row")
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """One row per name: how many catalog rows it reaches and which of them is priced.
+
+    Aggregates with map-side combine, so a name that reaches a third of the catalog is no hot spot. Edge rows are
+    first reduced per mode; modes are a closed vocabulary, so gathering one row for each is bounded.
+    """
+    cand = _candidates(rows)
+    prices = F.col("row.prices")
 
-    aurora = F.when(F.col("q_mode") == "serverless-v2", cheapest(("acu-hr",))).otherwise(cheapest(HOURLY_UNITS))
-    ocu = F.exists("prices", lambda p: p["dimension"] == "compute-ocu")
+    def cheapest(*units: str) -> Column:
+        fits = F.filter(prices, lambda p: (p["dimension"] == "compute") & p["unit"].isin(*units) & (p["amount"] > 0))
+        return F.coalesce(F.array_min(fits["amount"]), F.lit(float("inf")))
+    place = [F.col("row.region").alias("region"), F.col("row.sku_id").alias("sku_id")]
     rank = F.struct(
-        F.when(F.col("q_mode").isin("provisioned", "serverless-v2"), F.coalesce(aurora, F.lit(float("inf"))))
-         .when(F.col("q_kind") == "network.cdn", (F.col("extra_mode") != F.col("q_mode")).cast("double"))
-         .otherwise(0.0).alias("rank"), F.col("region"), F.col("sku_id"))
-    row = F.struct("sku_id", "provider", "service", "resource_name", "region", "prices", "extra_mode", "extra_sku")
-    return matched.groupBy(*_KEY).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min_by(row, rank).alias("r"),
-        F.max_by(F.when(ocu, row), F.when(ocu, F.struct("region", "sku_id"))).alias("ocu_row"),
-    )
+        F.when((F.col("kind") == "db.relational") & (F.col("j_resource") == "aurora-serverless-v2"), cheapest("acu-hr"))
+         .when((F.col("kind") == "db.relational") & (F.col("row.service") == "aurora"), cheapest(*HOURLY_UNITS))
+         .otherwise(0.0).alias("rank"), *place)
+    ocu = (F.col("kind") == "search.engine") & F.exists(prices, lambda p: p["dimension"] == "compute-ocu")
+    mode = F.when(F.col("kind") == "network.cdn", F.coalesce("row.extra_mode", F.lit(""))).otherwise("")
+    per_mode = cand.withColumns({"mode": mode, "rank": rank}).groupBy(*_J, "mode").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"),
+        F.max_by(F.when(ocu, F.col("row")), F.when(ocu, F.struct(*place))).alias("ocu"),
+        F.max(F.when(ocu, F.struct(*place))).alias("ocu_rank"))
+    return per_mode.groupBy(*_J).agg(
+        F.sum("n").alias("n_rows"), F.min_by("row", "rank").alias("r"), F.max_by("ocu", "ocu_rank").alias("ocu_row"),
+        F.map_from_entries(F.collect_list(F.when(F.col("j_kind") == "network.cdn", F.struct("mode", "row")))
+                           ).alias("by_mode"))
 
 
 def _base_fees(rows: DataFrame) -> DataFrame:
@@ -510,12 +528,12 @@ def _with_amounts(priced: DataFrame) -> DataFrame:
 
 
 def estimate(items: DataFrame, rows: DataFrame) -> DataFrame:
-    """Line items of a table of workload items; an item that cannot be priced carries an error and no amounts."""
-    keyed = _with_keys(items)
-    keys = keyed.select(*_KEY).distinct()
-    summary = _summaries(rows, keys).select(
-        *(F.col(k).alias("s_" + k) for k in _KEY), "n_rows", "r", "ocu_row")
-    joined = keyed.join(summary, [F.col(k) == F.col("s_" + k) for k in _KEY], "left")
+    """Line items of a table of workload items; an item that cannot be priced carries an error and no amounts.
+
+    The catalog is reduced to one row per name, then items join it once. Adaptive execution splits a hot name.
+    """
+    joined = _with_names(items).join(_summaries(rows), [F.col(q) == F.col(j) for q, j in zip(_Q, _J)], "left")
+    joined = joined.withColumn("r", F.coalesce(F.try_element_at("by_mode", F.col("q_mode")), "r"))
     fees = _base_fees(rows)
     joined = joined.join(fees, [
         F.col("r.provider") == F.col("f_provider"), F.col("r.service") == F.col("f_service"),

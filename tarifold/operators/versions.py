@@ -185,5 +185,5 @@ def staleness(age: Column, warn_days: int = 0, error_days: int = 0, allow: bool
 def serving_providers(value: Column) -> Column:
     """Provider list stored as a JSON array or a comma list; absent is empty."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    listed = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    listed = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(text.startswith("["), F.from_json(text, "array<string>", {"mode": "FAILFAST"})).otherwise(listed)

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy row-wise work on an input of few files; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _case(key: Column, options: list[str]) -> Column:
     """Pick by number from a literal array; out of range is null."""
     return F.get(F.array(*(F.lit(o) for o in options)), key.cast("int"))
@@ -71,9 +77,9 @@ def star_prices(lineitem: DataFrame) -> DataFrame:
                           F.when(unpriced, F.slice(prices, 1, 0)).otherwise(prices).alias("prices"))
 
 
-def star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """The derived catalog as nested rows. Dimension joins carry no hint: the optimizer checks sizes."""
-    priced = star_prices(table(spark, sf_dir, "lineitem"))
+    priced = star_prices(table(spark, sf_dir, "lineitem") if lines is None else lines)
     part = table(spark, sf_dir, "part")
     place = (table(spark, sf_dir, "supplier")
              .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -121,7 +127,7 @@ base AS (
            WHEN 12 THEN 'storage.object' ELSE 'warehouse.query' END AS kind,
          p_name AS resource_name, n_name AS region, r_name AS region_normalized, p_partkey, s_suppkey,
          CASE WHEN p_size % 7 <> 0 THEN p_size END AS vcpu, p_retailprice AS memory_gb,
-         CASE WHEN p_size % 3 <> 0 THEN p_size * 100.0 END AS storage_gb,
+         CASE WHEN p_size % 3 <> 0 THEN p_size * 100.0::DOUBLE END AS storage_gb,
          CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS gpu_count,
          p_size % 12 AS durability_nines,
          CASE s_suppkey % 2 WHEN 0 THEN 'standard' ELSE 'infrequent' END AS availability_tier,
