@@ -91,21 +91,27 @@ def lookup_llm(rows: DataFrame, model: str, serving_provider: str = "", include_
 def lookup_many(rows: DataFrame, requests: DataFrame,
                 required: tuple[str, ...] = ("kind", "resource_name"),
                 optional: tuple[str, ...] = ("provider", "service", "region"),
-                request_id: str = "request_id") -> DataFrame:
+                request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Answer a table of lookup requests: request_id, the required and optional names, and terms_hash.
 
-    A null in an optional column, or in terms_hash, switches that condition off. Requests are split by which
-    conditions they set, and each part is one equi-join on exactly those columns, so no request is ever compared
-    with rows it does not name and no non-equi join arises. Adaptive execution splits a hot request key.
+    A null in an optional column, or in terms_hash, switches that condition off. Every catalog row is entered under
+    each combination of conditions that can reach it, so all requests are answered by one equi-join on exactly the
+    columns they set: no request meets a row it does not name, and both sides are read once. Give `masks` (tuples of
+    column names) when only some combinations occur. Adaptive execution splits a hot request key.
     """
     flags = (*optional, "terms_hash")
-    answers = []
-    for mask in product((True, False), repeat=len(flags)):
-        used = [f for f, on in zip(flags, mask) if on]
-        part = requests.filter(_all([F.col(f).isNotNull() if on else F.col(f).isNull() for f, on in zip(flags, mask)]))
-        keys = [*required, *used]
-        answers.append(part.select(request_id, *keys).join(rows, keys).select(request_id, *rows.columns))
-    return _with_sorted_prices(reduce(DataFrame.unionByName, answers))
+    if masks is None:
+        masks = [tuple(f for f, on in zip(flags, bits) if on) for bits in product((True, False), repeat=len(flags))]
+    mask = F.concat_ws(",", *(F.when(F.col(f).isNotNull(), f) for f in flags))
+    asked = requests.select(request_id, *required, mask.alias("_mask"),
+                            *(F.coalesce(f, F.lit("")).alias(f"_k_{f}") for f in flags))
+    # Key columns first, so the rows' own columns keep their values whatever the combination.
+    entered = rows.withColumn("_mask", F.explode(F.array(*(F.lit(",".join(m)) for m in masks))))
+    held = F.split("_mask", ",")
+    entered = entered.withColumns({
+        f"_k_{f}": F.when(F.array_contains(held, f), F.col(f)).otherwise("") for f in flags})
+    keys = [*required, "_mask", *(f"_k_{f}" for f in flags)]
+    return _with_sorted_prices(asked.join(entered, keys).select(request_id, *rows.columns))
 
 
 def lookup_exact(rows: DataFrame, requests: DataFrame, keys: tuple[str, ...],

@@ -8,7 +8,7 @@ from tarifold.functions.terms import terms_hash
 from tarifold.operators import compare as C, lookup as L
 from tarifold.operators.rows import assemble_rows, min_price, shard_metadata, split_star
 from tarifold.plans.registry import query, register
-from tarifold.plans.star import STAR_SQL, star_rows, table
+from tarifold.plans.star import STAR_SQL, kind_of, star_rows, table, with_names
 
 WITH = "WITH " + STAR_SQL
 
@@ -76,18 +76,20 @@ def _catalog_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """Every order line asks for the price of what it bought, naming more or fewer conditions by its flags."""
-    rows = star_rows(spark, d).select("sku_id", "kind", "resource_name", "provider", "service", "region",
-                                      F.col("terms_hash").alias("own_hash"))
-    line = table(spark, d, "lineitem")
-    asked = line.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus",
-                        F.concat_ws("::", "l_partkey", "l_suppkey").alias("sku_id")).join(rows, "sku_id")
+    line = with_names(spark, d, table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     pinned = terms_hash(F.lit("on_demand"), *(F.lit("") for _ in range(5)))
-    return asked.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "sku_id").alias("request_id"), "kind", "resource_name",
-        "provider", F.when(F.col("l_linestatus") == "O", F.col("service")).alias("service"),
-        F.when(F.col("l_returnflag") != "R", F.col("region")).alias("region"),
+    return line.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", F.concat_ws("::", "l_partkey", "l_suppkey")).alias("request_id"),
+        kind_of(F.col("p_partkey")).alias("kind"), F.col("p_name").alias("resource_name"),
+        F.col("s_name").alias("provider"), F.when(F.col("l_linestatus") == "O", F.col("p_brand")).alias("service"),
+        F.when(F.col("l_returnflag") != "R", F.col("n_name")).alias("region"),
         F.when(F.col("l_returnflag") == "N", pinned).alias("terms_hash"),
-    ).distinct()
+    )
+
+
+_MASKS = [("service", "region"), ("region",), ("service",), (), ("service", "region", "terms_hash"),
+          ("region", "terms_hash")]
 
 
 _REQUESTS_SQL = """,
@@ -108,7 +110,7 @@ answer AS (
 @query("lookup_bulk", WITH + _REQUESTS_SQL + "SELECT request_id, sku_id, n_prices FROM answer")
 def _lookup_bulk(spark: SparkSession, d: str) -> DataFrame:
     out = L.lookup_many(star_rows(spark, d), _requests(spark, d), optional=("service", "region"),
-                        required=("kind", "resource_name", "provider"))
+                        required=("kind", "resource_name", "provider"), masks=_MASKS)
     return out.select("request_id", "sku_id", F.size("prices").alias("n_prices"))
 
 
@@ -117,13 +119,13 @@ SELECT request_id, 'not_found' AS code FROM request WHERE request_id NOT IN (SEL
 def _lookup_not_found(spark: SparkSession, d: str) -> DataFrame:
     requests = _requests(spark, d)
     answers = L.lookup_many(star_rows(spark, d), requests, optional=("service", "region"),
-                            required=("kind", "resource_name", "provider"))
+                            required=("kind", "resource_name", "provider"), masks=_MASKS)
     return L.unmatched(requests, answers).select("request_id", "code")
 
 
 _TERMS = {
     "compute.vm": ("shared", "linux"), "db.relational": ("postgres", "single-az"), "storage.object": ("", ""),
-    "db.nosql": ("sql", ""), "cache.kv": ("redis", ""), "container.orchestration": ("kubernetes", "standard"),
+    "db.nosql": ("firestore-native", ""), "cache.kv": ("redis", ""), "container.orchestration": ("kubernetes", "standard"),
     "search.engine": ("shared", "managed-cluster"),
 }
 _STAR_LOOKUPS = [k for k in L.LOOKUP_KINDS if k in C.COMPARE_KINDS]
@@ -131,7 +133,7 @@ _STAR_LOOKUPS = [k for k in L.LOOKUP_KINDS if k in C.COMPARE_KINDS]
 
 def _typed_lookup(kind: str) -> None:
     tenancy, os = _TERMS.get(kind, ("", ""))
-    resource = "red widget"
+    resource = "red widget" if kind != "db.nosql" else "blue bolt"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _flat(L.lookup(star_rows(spark, d), kind, resource, commitment="on_demand", tenancy=tenancy, os=os))
@@ -147,9 +149,9 @@ for _kind in _STAR_LOOKUPS:
 
 @query("lookup_paas_columns", WITH + f"""
 SELECT {_FLAT} FROM sku WHERE kind = 'paas.app' AND commitment = 'on_demand' AND support_tier = 'premium'
-  AND region = 'NATION_7'""")
+  AND region = 'NATION_16'""")
 def _lookup_paas(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(L.lookup_by_term_columns(star_rows(spark, d), "paas.app", region="NATION_7", support_tier="premium"))
+    return _flat(L.lookup_by_term_columns(star_rows(spark, d), "paas.app", region="NATION_16", support_tier="premium"))
 
 
 @query("lookup_warehouse_columns", WITH + f"""

@@ -77,16 +77,24 @@ def star_prices(lineitem: DataFrame) -> DataFrame:
                           F.when(unpriced, F.slice(prices, 1, 0)).otherwise(prices).alias("prices"))
 
 
-def star_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """The derived catalog as nested rows. Dimension joins carry no hint: the optimizer checks sizes."""
-    priced = star_prices(table(spark, sf_dir, "lineitem") if lines is None else lines)
-    part = table(spark, sf_dir, "part")
+def with_names(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Add part, supplier, nation and region columns by part and supplier key."""
     place = (table(spark, sf_dir, "supplier")
              .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
              .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
              .select("s_suppkey", "s_name", "n_name", "r_name"))
-    df = (priced.join(part, F.col("l_partkey") == F.col("p_partkey"))
-          .join(place, F.col("l_suppkey") == F.col("s_suppkey")))
+    return (lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(place, F.col("l_suppkey") == F.col("s_suppkey")))
+
+
+def kind_of(part: Column) -> Column:
+    return _case(F.pmod(part, F.lit(14)), list(COMPARE_KINDS))
+
+
+def star_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The derived catalog as nested rows. Dimension joins carry no hint: the optimizer checks sizes."""
+    priced = star_prices(table(spark, sf_dir, "lineitem") if lines is None else lines)
+    df = with_names(spark, sf_dir, priced)
     supp, code = F.col("s_suppkey"), F.pmod(F.col("p_partkey"), F.lit(14))
     return normalized_rows(
         df, provider=F.col("s_name"), service=F.col("p_brand"), kind=_case(code, list(COMPARE_KINDS)),
