@@ -411,7 +411,7 @@ def _term_slots(spark: SparkSession, d: str) -> DataFrame:
 def _batch_lines(spark: SparkSession, d: str) -> DataFrame:
     """Request lines: lookups, estimates, a comment, an unknown field and an unknown command."""
     line = table(spark, d, "lineitem").selectExpr(
-        "l_orderkey * 8 + l_linenumber AS request_id", "l_linenumber AS ln",
+        "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS request_id", "l_linenumber AS ln",
         "concat('r', floor(l_partkey / 26)) AS region", "l_partkey % 2 AS v")
     text = F.expr("""CASE ln
       WHEN 1 THEN '# comment' WHEN 2 THEN '{"command": "estimate", "nope": 1}' WHEN 3 THEN '{"command": "fly"}' WHEN 4 THEN ''
@@ -429,5 +429,4 @@ def _batch_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("batch_run")
 def _batch_run(spark: SparkSession, d: str) -> DataFrame:
-    lines = _batch_lines(spark, d).dropDuplicates(["request_id"])
-    return B.run_batch(B.parse_requests(lines), card_rows(spark, d))
+    return B.run_batch(B.parse_requests(_batch_lines(spark, d)), card_rows(spark, d))
