@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import op1_phrases, op4_pieces, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near
+from tarifold.llm import op1_phrases, op2_hmm, op4_pieces, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near
 from tarifold.llm.shared import fresh_path
 
 #: Key of the pseudonyms in the registered query; a user of the operator passes a secret of their own.
@@ -34,6 +34,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_phrases.fingerprints(table(spark, sf_dir))
 
 
+@query("op2_language_model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_hmm.score(table(spark, sf_dir))
+
+
 @query("op4_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op4_pieces.encode(table(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
