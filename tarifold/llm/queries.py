@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import op1_phrases, op2_hmm, op4_pieces, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near
+from tarifold.llm import op1_phrases, op2_hmm, op3_licences, op4_pieces, op5_compression, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near
 from tarifold.llm.shared import fresh_path
 
 #: Key of the pseudonyms in the registered query; a user of the operator passes a secret of their own.
@@ -39,12 +39,24 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_hmm.score(table(spark, sf_dir))
 
 
+@query("op3_licences")
+def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return op3_licences.scan(docs, op3_licences.fit(docs))
+
+
 @query("op4_pieces")
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op4_pieces.encode(table(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_pieces", "piece_ids", "piece_crc32", "round_trip")
 
 
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    return op5_compression.classify(docs, op5_compression.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op6_quality_rules", op6_quality.oracle())
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = op6_quality.measure(table(spark, sf_dir), "doc_id", "lang", "source")
