@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tarifold.llm.shared import held_out, mix, slices, span_hashes, store, text_of, utf8, word_spans
 
 FOLDS, HELD = 7, 2
-STATES, CLASSES, ROUNDS, SEGMENT, CHUNK_BYTES = 6, 1024, 3, 256, 1 << 22
+STATES, CLASSES, ROUNDS, SEGMENT, CHUNK_BYTES = 6, 1024, 3, 256, 5 << 19
 END = 0  # hash and class of the end token
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -203,7 +203,7 @@ class PieceCodec:
             units += own
             counts.append(len(own))
         flat, lengths = self.units.ids(units)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))]
         return flat, ends
 
     def decode(self, ids: list[int]) -> str:

@@ -41,7 +41,10 @@ class Classifier:
     def packers(self) -> list[zstandard.ZstdCompressor]:
         out = []
         for d in (self.good, self.bad):
-            extra = {"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}
+            extra = {}
+            if d:
+                extra["dict_data"] = zstandard.ZstdCompressionDict(d)
+                extra["dict_data"].precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False, **extra))
         return out
 

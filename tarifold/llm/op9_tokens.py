@@ -1,6 +1,6 @@
 """Token ids in binary files with a shared zstandard dictionary.
 
-The encoder of a public tokenizer runs once per distinct word of a task. A zstandard dictionary is trained on the
+The encoder of a public tokenizer runs once per distinct unit (a word without its marks) of a worker. A zstandard dictionary is trained on the
 serialized ids of a bounded sample of documents; every document is then compressed by itself with it, so that a short
 document can be fetched alone. Files hold whole ranges of ids and ascend: file order, then order in the file, is the order
 of doc_id.
@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,63 +38,51 @@ MAGIC = b"TOKIDS01"
 END_ID = 1
 #: Documents of the dictionary's sample, ids of each that count for it, and bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 400, 16_384, 65_536
-#: ASCII marks at either end of a word that the tokenizer's pattern always parts from letters.
-MARKS = '.,!#$%&*?;:|"()'
+#: ASCII marks that, beside letters, digits and white space only, are tokens of their own by the tokenizer's pattern.
+MARKS = re.compile(r"""(?<![^\w\s])(?<!_)[.,!#$%&*?;:|"()]+(?![^\w\s])(?!_)""")
+#: Characters whose white space, case or composition Python and the tokenizer might see differently.
+RARE = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of ASCII-space separated words. The tokenizer drops white space, so words can be encoded one by one.
+    """Ids of texts by units. The tokenizer drops white space and parts marks from letters, so units can be encoded one by one.
 
-    A word of Latin letters between marks is encoded in three parts, its letters in lower case as the tokenizer's own
-    normalizer has them; any other word goes to the tokenizer whole.
+    Texts of common characters are lower-cased as the tokenizer's own normalizer does, and parted at white space and marks;
+    texts with a rare character are parted at ASCII white space only.
     """
 
-    def __init__(self, path: str, most_parts: int = 900_000):
+    def __init__(self, path: str, most_units: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.parts, self.most_parts = Tokenizer.from_file(path), {}, most_parts
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words = UnitIds(self._encode, 400_000)
-
-    @staticmethod
-    def split(word: bytes) -> tuple[str, ...]:
-        s = word.decode("utf-8", "replace")
-        core = s.strip(MARKS)
-        if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-            at = s.index(core)
-            return tuple(p for p in (s[:at], core.lower(), s[at + len(core):]) if p)
-        return (s,)
-
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        split = [self.split(w) for w in words]
-        fresh = list({p for parts in split for p in parts if p not in self.parts})
-        if fresh:
-            if len(self.parts) + len(fresh) > self.most_parts:
-                self.parts.clear()
-                fresh = list({p for parts in split for p in parts})
-            for at in range(0, len(fresh), 20_000):
-                some = fresh[at:at + 20_000]
-                got = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                self.parts.update((p, e.ids) for p, e in zip(some, got))
-        ids, lengths = [], np.zeros(len(words), np.int64)
-        for k, parts in enumerate(split):
-            before = len(ids)
-            for p in parts:
-                ids += self.parts[p]
-            lengths[k] = len(ids) - before
-        return np.array(ids, dtype=np.int32), lengths
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.units = UnitIds(self._encode, most_units)
+
+    def split(self, text: str) -> list[str]:
+        if RARE.search(text) or any(t in text for t in self.special):
+            return [u.decode("utf-8", "replace") for u in text.encode("utf-8", "replace").split()]
+        return MARKS.sub(r" \g<0> ", text.lower()).split()
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lengths = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64)
+        for at in range(0, len(units), 10_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(units[at:at + 10_000], add_special_tokens=False)]
+            lengths[at:at + len(got)] = list(map(len, got))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32))
+        return np.concatenate(flat), lengths
 
     def documents(self, raw: bytes, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each document, the end id last."""
-        words, n_words = [], []
+        units, n_units = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = raw[a:b].split()
-            words += own
-            n_words.append(len(own))
-        flat, lengths = self.words.ids(words)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n_words)))]
+            own = self.split(raw[a:b].decode("utf-8", "replace"))
+            units += own
+            n_units.append(len(own))
+        flat, lengths = self.units.ids(units)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.array(n_units, np.int64))))]
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             yield np.append(flat[a:b], END_ID)
 
@@ -107,7 +97,7 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(path: str, batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids of each text."""
     at = 0
-    for part in slices(batch, column, 1 << 21):
+    for part in slices(batch, column, 1 << 20):
         raw, offsets = utf8(part.column(column))
         for ids in encoder(path).documents(raw.tobytes(), offsets):
             yield at, ids
@@ -131,8 +121,13 @@ def serialize(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
-def _dictionary(dictionary: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+def _dictionary(dictionary: bytes, level: int = 0) -> dict:
+    if not dictionary:
+        return {}
+    data = zstandard.ZstdCompressionDict(dictionary)
+    if level:  # digested once, not for each document
+        data.precompute_compress(level=level)
+    return {"dict_data": data}
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -156,7 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, id_column: str =
     rows = docs.select(block_of(id_column, bounds).alias("block"), F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3, **_dictionary(dictionary))
+        packer = zstandard.ZstdCompressor(level=3, **_dictionary(dictionary, 3))
         for batch in batches:
             counts, frames = [], []
             for _, ids in encode_texts(vocabulary, batch, 2):
