@@ -221,7 +221,7 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     classes = defaultdict(set)
     for r in op10_near.classes(odd_docs).collect():
         classes[r.class_id].add(r.doc_id)
-    assert classes[1] == {1, 2, 8} and classes[3] == {3, 4, 7}
+    assert classes[1] == {1, 2, 8, 9} and classes[3] == {3, 4, 7}
 
 
 def test_pipeline(spark, sf_dir, odd_docs, no_docs, texts):
