@@ -12,7 +12,8 @@ def quantity(text: Column) -> Column:
     """Number with an optional decimal suffix K, M, G, T or P in either case; null when it is not a number."""
     scale = mapped(F.upper(F.right(text, F.lit(1))), vocab.QUANTITY_SUFFIX)
     body = F.when(scale.isNull(), text).otherwise(F.trim(F.left(text, F.length(text) - 1)))
-    return body.try_cast("double") * F.coalesce(scale, F.lit(1.0))
+    number = F.when(body.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), body)
+    return number.try_cast("double") * F.coalesce(scale, F.lit(1.0))
 
 
 def units_nanos(units: Column, nanos: Column) -> Column:

@@ -211,9 +211,8 @@ def compare(rows: DataFrame, kind: str, spec: CompareSpec = CompareSpec(), regio
         "vcpu": F.coalesce(F.col("resource_attrs.vcpu"), F.lit(0)),
         "memory": F.coalesce(F.col("resource_attrs.memory_gb"), F.lit(0.0)),
     }.get(sort, F.col("min_price"))
-    return (out.withColumn("prices", sorted_prices())
-            .orderBy(first, "provider", "resource_name", "sku_id")
-            .limit(limit if limit > 0 else DEFAULT_LIMIT))
+    ordered = out.withColumn("prices", sorted_prices()).orderBy(first, "provider", "resource_name", "sku_id")
+    return ordered.limit(limit) if limit > 0 else ordered
 
 
 def mixed_units(rows: DataFrame, by: list[str]) -> DataFrame:

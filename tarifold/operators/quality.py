@@ -70,7 +70,7 @@ def release_errors(rows: DataFrame, metadata: DataFrame, prices: DataFrame, prev
 
 def over_budget(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """Shards whose compressed size exceeds their byte budget: sizes(shard, bytes), budgets(shard, max_bytes)."""
-    return sizes.join(F.broadcast(budgets), "shard").filter("bytes > max_bytes")
+    return sizes.join(budgets, "shard").filter("bytes > max_bytes")
 
 
 def tier_gaps(rows: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def tier_gaps(rows: DataFrame) -> DataFrame:
     bound and the last must be open. It reads the price array in place, so nothing is shuffled."""
     from tarifold.functions.tiers import tier_bound
     bounded = F.transform("prices", lambda p: F.struct(
-        p["dimension"].alias("dimension"), tier_bound(p["tier"], "count").alias("lower"), p["tier"].alias("tier"),
+        p["dimension"].alias("dimension"), F.when(F.col("kind") == "network.cdn", tier_bound(p["tier"], "bytes")).otherwise(tier_bound(p["tier"], "count")).alias("lower"), p["tier"].alias("tier"),
         p["tier_upper"].alias("tier_upper")))
     ordered = F.array_sort(bounded)
     df = rows.select("sku_id", "kind", ordered.alias("t"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarifold.functions.cases import first_case
 from tarifold.schemas import MAX_SCHEMA_VERSION, MIN_SCHEMA_VERSION
 
-MAX_CHAIN = 20
+MAX_CHAIN = 20  # the published bound, for callers who want it
 
 
 def diff_tables(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,11 +44,11 @@ def collapse_chain(deltas: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def apply_chain(base: DataFrame, local_version: str, chain: list[tuple[str, str, DataFrame]], keys: list[str],
-                max_chain: int = MAX_CHAIN) -> tuple[DataFrame, str]:
+                max_chain: int | None = None) -> tuple[DataFrame, str]:
     """Apply (from, to, changes) steps in order. The result is a new frame, so a failing job changes nothing."""
     if not chain or chain[0][0] != local_version:
         raise ValueError(f"chain does not start at version {local_version}")
-    if len(chain) > max_chain:
+    if max_chain is not None and len(chain) > max_chain:
         raise ValueError(f"chain of {len(chain)} deltas is longer than {max_chain}")
     return apply_changes(base, collapse_chain([c for _, _, c in chain], keys), keys), chain[-1][1]
 
@@ -77,7 +77,7 @@ def diff_star(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[s
     return reduce(DataFrame.unionByName, out)
 
 
-def update_plan(manifest: DataFrame, local: DataFrame, channel: str = "daily", max_chain: int = MAX_CHAIN) -> DataFrame:
+def update_plan(manifest: DataFrame, local: DataFrame, channel: str = "daily", max_chain: int | None = None) -> DataFrame:
     """What to do per shard: baseline, deltas, nothing, or an unsupported layout.
 
     manifest(shard, baseline_version, head_version, shard_schema_version, deltas array<struct<from, to>>),
@@ -93,7 +93,7 @@ def update_plan(manifest: DataFrame, local: DataFrame, channel: str = "daily", m
         (F.col("shard_schema_version") < MIN_SCHEMA_VERSION, "schema_too_old"),
         (F.lit(channel == "stable") | (local_version == "") | (local_version < F.col("baseline_version")), "baseline"),
         (F.size("chain") == 0, "none"),
-        (~starts | (F.size("chain") > max_chain), "baseline_after_bad_chain"),
+        (~starts | (F.size("chain") > max_chain if max_chain is not None else F.lit(False)), "baseline_after_bad_chain"),
     ], "deltas")
     out = joined.withColumn("action", action)
     return out.select("shard", "local_version", "action", first_case([

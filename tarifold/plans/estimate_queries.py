@@ -14,7 +14,7 @@ from tarifold.functions.tiers import count_bound, tier_bound, tier_entries, walk
 from tarifold.operators.estimate import estimate, estimate_total, parse_items, rounded_lines
 from tarifold.operators.rows import attrs, json_object, normalized_rows, price
 from tarifold.plans.registry import query, register
-from tarifold.plans.star import spread, table
+from tarifold.plans.star import table
 
 KINDS = (
     "compute.vm", "storage.object", "llm.text", "db.relational.aurora", "db.relational.spanner", "db.nosql.cosmos",
@@ -125,7 +125,7 @@ def card_rows(spark: SparkSession, d: str, only: int | None = None) -> DataFrame
 
 def workload(spark: SparkSession, d: str, only: int | None = None) -> DataFrame:
     """One workload item in text form per order line."""
-    line = _deal(spread(table(spark, d, "lineitem").select(
+    line = _deal((table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")), "l_partkey", only)
     ln, qty = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string")
     even = F.pmod("l_linenumber", F.lit(2)) == 0

@@ -14,7 +14,7 @@ from tarifold import vocab
 from tarifold.feeds import aws, azure, gcp, llm
 from tarifold.functions.cases import text_literal
 from tarifold.plans.registry import register
-from tarifold.plans.star import spread, table
+from tarifold.plans.star import table
 
 _REGIONS = {p: [r for q, r, _ in vocab.region_rows() if q == p] for p in ("aws", "azure", "gcp")}
 REGION_SQL = "region_map(provider, region, region_normalized) AS (VALUES " + ", ".join(
@@ -56,7 +56,7 @@ class Frame:
         return out
 
     def spark(self, spark: SparkSession, d: str) -> DataFrame:
-        return spread(table(spark, d, "lineitem").select(
+        return (table(spark, d, "lineitem").select(
             "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
             "l_linestatus")).selectExpr(*self.BASE).selectExpr("*", *self._texts(False))
 
@@ -648,7 +648,7 @@ def _llm() -> None:
                 F.array(F.lit("text"), F.lit("image"))).alias("input_modalities")).alias("architecture"), money.alias("pricing"),
             F.struct(F.lit(None).cast("bigint").alias("context_length"), F.lit(1).cast("bigint").alias("max_completion_tokens")).alias("top_provider"),
             F.array(F.lit("tools")).alias("supported_parameters"))
-        line = spread(table(spark, d, "lineitem"))
+        line = (table(spark, d, "lineitem"))
         own = F.create_map(F.lit("prompt"), (F.col("l_quantity") / 1e6).cast("string"), F.lit("completion"),
                            (F.col("l_quantity") / 5e5).cast("string"))
         endpoints = line.select(

@@ -107,7 +107,7 @@ def _update_plan(spark: SparkSession, d: str) -> DataFrame:
         f"{step} AS deltas")
     local = s.filter("s_suppkey % 13 <> 0").selectExpr(
         "s_name AS shard", "lpad(CAST((s_suppkey % 14) * 5 AS STRING), 3, '0') AS local_version")
-    return V.update_plan(manifest, local)
+    return V.update_plan(manifest, local, max_chain=V.MAX_CHAIN)
 
 
 @query("next_manifest", """

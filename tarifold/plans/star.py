@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy row-wise work on an input of few files; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _case(key: Column, options: list[str]) -> Column:
     """Pick by number from a literal array; out of range is null."""
     return F.get(F.array(*(F.lit(o) for o in options)), key.cast("int"))

@@ -9,9 +9,10 @@ from tarifold.operators.rows import split_star
 
 
 def read_rows_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Normalized rows from JSON lines. The free-form extra object is kept as text; blank lines are skipped."""
-    ddl = S.ROW_DDL
-    return spark.read.schema(ddl).json(paths).filter("sku_id IS NOT NULL")
+    """Normalized rows from JSON lines. The free-form extra object is kept as text; blank lines are skipped.
+
+    A line that doesn't parse, or has a field of another type, fails the read."""
+    return spark.read.schema(S.ROW_DDL).json(paths, mode="FAILFAST")
 
 
 def write_rows_json(rows: DataFrame, path: str) -> None:

@@ -53,7 +53,7 @@ def test_chain_rules(snapshots):
     with pytest.raises(ValueError, match="does not start"):
         V.apply_chain(old, "0", [("1", "2", step)], ["sku_id"])
     with pytest.raises(ValueError, match="longer"):
-        V.apply_chain(old, "1", [("1", "2", step)] * 21, ["sku_id"])
+        V.apply_chain(old, "1", [("1", "2", step)] * 21, ["sku_id"], V.MAX_CHAIN)
 
 
 def test_fingerprint_ignores_order(snapshots):
