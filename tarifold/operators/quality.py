@@ -207,20 +207,18 @@ def stratified_sample(prices: DataFrame, budget: int = 20, seed: int = 0) -> Dat
 # --- profiles --------------------------------------------------------------------------------------------------
 
 def coverage_profile(items: DataFrame, bucket: list[str], item_id: str, attributes: Column, shards: DataFrame,
-                     position: str | None = None, first_rows: int = 50) -> DataFrame:
+                     ) -> DataFrame:
     """Per bucket: how many items, which attribute keys, three sample ids, and the shard that covers it.
 
     shards(bucket columns, shard). Samples are the three smallest ids, kept by a bounded merge rather than by
-    collecting the ids of a bucket; attribute keys are a distinct over (bucket, key).
+    collecting the ids of a bucket; attribute keys are a distinct over (bucket, key) of all items.
     """
     keyed = items.withColumns({"_id": F.col(item_id).cast("string"), "_keys": attributes})
-    if position is not None:
-        keyed = keyed.withColumn("_keys", F.when(F.col(position) <= first_rows, F.col("_keys")))
     counts = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("sku_count"))
     keys = (keyed.select(*bucket, F.explode("_keys").alias("k")).distinct()
             .groupBy(*bucket).agg(F.sort_array(F.collect_list("k")).alias("attribute_keys")))
     samples = smallest_ids(keyed, bucket, "_id", 3).withColumnRenamed("ids", "sample_ids")
-    out = counts.join(keys, bucket, "left").join(samples, bucket, "left").join(F.broadcast(shards), bucket, "left")
+    out = counts.join(keys, bucket, "left").join(samples, bucket, "left").join(shards, bucket, "left")
     return out.withColumn("coverage_ratio", F.when(F.col("shard").isNotNull(), 1.0).otherwise(0.0))
 
 

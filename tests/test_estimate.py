@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,15 @@ def test_batch(spark, card):
     got = {r.request_id: r.exit_code for r in records.collect()}
     assert got == {1: 0, 2: 3, 3: 4, 4: 4, 5: 0, 6: 1}
     assert batch_exit_code(records).first().exit_code == 4
+
+
+def test_batch_lists_every_row(spark, card):
+    twins = card.unionByName(card.filter("resource_name = 'm5.large' AND region = 'us-east-1'").withColumns(
+        {"sku_id": F.concat("sku_id", F.lit("-b")), "region": F.lit("us-west-2")}))
+    line = '{"command": "aws ec2 list", "args": {"instance_type": "m5.large"}}'
+    requests = parse_requests(spark.createDataFrame([(1, line)], "request_id bigint, value string"))
+    wanted = {r.sku_id for r in twins.filter("resource_name = 'm5.large' AND kind = 'compute.vm' AND provider = 'aws' "
+                                             "AND service = 'ec2'").collect()}
+    records = run_batch(requests, twins).collect()
+    assert len(wanted) > 1 and {r.exit_code for r in records} == {0}
+    assert sorted(json.loads(r.output)["sku_id"] for r in records) == sorted(wanted)
