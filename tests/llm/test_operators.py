@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -185,6 +186,29 @@ def test_near_duplicates(spark, sf_dir, texts):
             assert r.class_id == i and r.class_size == 1
 
 
+def test_links_do_not_depend_on_heads(spark):
+    """Variants are alike to their original only, and buckets hold many of them: every one must reach it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(3):
+        words = [f"g{group}w{k}" for k in range(150)]
+        rows.append((group * 1000 + 500, " ".join(words)))
+        for v in range(330 if group == 0 else 40):
+            own = words.copy()
+            for at in rng.choice(np.arange(3, 147, 8), 2, replace=False):
+                own[at] = f"v{group}x{v}x{at}"
+            own[-4:] = [f"t{group}x{v}x{k}" for k in range(4)]
+            rows.append((group * 1000 + 501 + v, " ".join(own)))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    want = {i: min(rows[k][0] for k in range(len(rows)) if root[k] == root[n]) for n, (i, _) in enumerate(rows)}
+    got = {r.doc_id: r.class_id for r in op10_near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(1, 1 << 32, 40).astype("<u4"))
