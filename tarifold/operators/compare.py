@@ -107,7 +107,7 @@ def expand_regions(inputs: list[str]) -> list[str]:
             continue
         if name in vocab.REGION_GROUPS:
             members = vocab.REGION_GROUPS[name].values()
-            out |= {r for names in members for r in names.split()} | {name, vocab.GLOBAL_REGION}
+            out |= {r for names in members for r in names} | {name, vocab.GLOBAL_REGION}
         elif name in literals:
             out.add(name)
         else:

@@ -155,23 +155,33 @@ def second_source_prices(records: DataFrame) -> DataFrame:
         F.col("price") > 0)
 
 
-def prefix_matches(ours: DataFrame, upstream: DataFrame, our_id: str, upstream_id: str) -> DataFrame:
+def prefix_matches(ours: DataFrame, upstream: DataFrame, our_id: str, upstream_id: str, region: str | None = None,
+                   upstream_regions: str | None = None) -> DataFrame:
     """Rows of ours whose id is an upstream id, or starts with one followed by "-" or ":".
 
+    With both region columns, an id that only starts with the upstream's also needs our region in its list of regions,
+    where bq-us and bq-eu may stand as US and EU. No list serves global, bq-us and bq-eu only.
+
     Every prefix of ours that ends before such a separator becomes a key, so the prefix test is an equi-join.
     """
     ends = F.filter(F.sequence(F.lit(1), F.length(our_id) + 1), lambda i: (
         (i == F.length(our_id) + 1) | F.substr(F.col(our_id), i, F.lit(1)).isin("-", ":")))
     keyed = ours.withColumn(upstream_id, F.explode(F.transform(
         ends, lambda i: F.substr(F.col(our_id), F.lit(1), i - 1))))
-    return keyed.join(upstream, upstream_id)
+    if region is None or upstream_regions is None:
+        return keyed.join(upstream, upstream_id)
+    ours_is, listed = F.col(region), F.col(upstream_regions)
+    other_name = first_case([(ours_is == "bq-us", "US"), (ours_is == "bq-eu", "EU")], ours_is)
+    served = F.when(F.coalesce(F.size(listed), F.lit(0)) <= 0, ours_is.isin("global", "bq-us", "bq-eu")).otherwise(
+        F.array_contains(listed, ours_is) | F.array_contains(listed, other_name))
+    return keyed.join(upstream, upstream_id).filter((F.col(our_id) == F.col(upstream_id)) | served)
 
 
 # --- sampling --------------------------------------------------------------------------------------------------
 
 def stratified_sample(prices: DataFrame, budget: int = 20, seed: int = 0) -> DataFrame:
     """At most `budget` prices: 70 % from the three largest regions, 10 % from the others, 15 % from the largest
-    families, the rest from anywhere, each (sku_id, dimension) once.
+    families, the rest from anywhere, each (sku_id, dimension) once, at its least amount.
 
     prices(sku_id, region, resource_name, dimension, amount). Order within a stratum is a seeded hash, so the sample
     is the same whatever the partitioning, and each stratum is a top-k: no task sees more than its own rows.
@@ -190,10 +200,11 @@ def stratified_sample(prices: DataFrame, budget: int = 20, seed: int = 0) -> Dat
     key = ["sku_id", "dimension"]
 
     def take(df: DataFrame, n: int, stratum: int) -> DataFrame:
-        # Twice the share covers a duplicate key in the feed being drawn next to its twin.
         return df.orderBy("_draw", "amount").limit(n).withColumn("stratum", F.lit(stratum))
 
-    unique = pool.dropDuplicates(key)
+    rest_of = [c for c in pool.columns if c not in key]
+    least = F.min_by(F.struct(*rest_of), F.struct("amount", "region", "resource_name"))
+    unique = pool.groupBy(*key).agg(least.alias("_row")).select(*key, "_row.*")
     large = take(unique.join(F.broadcast(regions), "region", "left_semi"), shares[0], 0)
     small = take(unique.join(F.broadcast(regions), "region", "left_anti"), shares[1], 1)
     chosen = large.unionByName(small)

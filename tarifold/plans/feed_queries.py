@@ -222,7 +222,7 @@ def _aws_pivots() -> None:
               volumeType=(volumes, "sk + ln", "pk % 3 = 0 OR ln % 2 = 0"),
               unit=(["GB-Mo", "Requests", "Requests"], "pk"), begin_range=(["0", "0", "51200"], "ln + pk"), **_AWS_REGION)
     classes = ", ".join(f"('{k}', '{v}')" for k, v in aws.S3_CLASSES.items())
-    groups = ", ".join(f"('{g}', '{c}', '{dim}')" for g, (cs, dim) in aws.S3_GROUPS.items() for c in cs.split(","))
+    groups = ", ".join(f"('{g}', '{c}', '{dim}')" for g, (cs, dim) in aws.S3_GROUPS.items() for c in cs)
     plain = "CASE \"group\" WHEN 'S3-API-Tier1' THEN 'requests-put' WHEN 'S3-API-Tier2' THEN 'requests-get' END"
     s3 = f""", cls(vt, klass) AS (VALUES {classes}), grp(g, klass, dimension) AS (VALUES {groups}),
  hit AS (

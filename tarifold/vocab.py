@@ -9,71 +9,74 @@ from pyspark.sql import DataFrame, SparkSession
 # ---------------------------------------------------------------------------------------------------------------
 
 # Provider regions by region group.
-REGION_GROUPS: dict[str, dict[str, str]] = {
+REGION_GROUPS: dict[str, dict[str, tuple[str, ...]]] = {
     "us-east": {
-        "aws": "us-east-1 us-east-2 ca-central-1",
-        "azure": "canadaeast eastus eastus2 canadacentral",
-        "gcp": "us-east1 us-east4 us-east5 northamerica-northeast1 northamerica-northeast2",
+        "aws": ("us-east-1", "us-east-2", "ca-central-1"),
+        "azure": ("canadaeast", "eastus", "eastus2", "canadacentral"),
+        "gcp": ("us-east1", "us-east4", "us-east5", "northamerica-northeast1", "northamerica-northeast2"),
     },
     "us-central": {
-        "aws": "mx-central-1",
-        "azure": "centralus northcentralus southcentralus mexicocentral",
-        "gcp": "us-central1 us-south1 northamerica-south1",
+        "aws": ("mx-central-1",),
+        "azure": ("centralus", "northcentralus", "southcentralus", "mexicocentral"),
+        "gcp": ("us-central1", "us-south1", "northamerica-south1"),
     },
     "us-west": {
-        "aws": "us-west-1 us-west-2 ca-west-1",
-        "azure": "westus westcentralus westus2 westus3",
-        "gcp": "us-west1 us-west2 us-west3 us-west4",
+        "aws": ("us-west-1", "us-west-2", "ca-west-1"),
+        "azure": ("westus", "westcentralus", "westus2", "westus3"),
+        "gcp": ("us-west1", "us-west2", "us-west3", "us-west4"),
     },
     "eu-west": {
-        "aws": "eu-west-1 eu-west-2 eu-west-3 eu-south-1 eu-south-2",
-        "azure": "belgiumcentral westeurope uksouth ukwest francecentral francesouth italynorth spaincentral",
-        "gcp": "europe-west1 europe-west2 europe-west4 europe-west8 europe-west9 europe-west12 europe-southwest1",
+        "aws": ("eu-west-1", "eu-west-2", "eu-west-3", "eu-south-1", "eu-south-2"),
+        "azure": ("belgiumcentral", "westeurope", "uksouth", "ukwest", "francecentral", "francesouth", "italynorth",
+                  "spaincentral"),
+        "gcp": ("europe-west1", "europe-west2", "europe-west4", "europe-west8", "europe-west9", "europe-west12",
+                "europe-southwest1"),
     },
     "eu-central": {
-        "aws": "eu-central-1 eu-central-2",
-        "azure": "austriaeast germanywestcentral germanynorth polandcentral switzerlandnorth switzerlandwest",
-        "gcp": "europe-west3 europe-west6 europe-west10 europe-central2",
+        "aws": ("eu-central-1", "eu-central-2"),
+        "azure": ("austriaeast", "germanywestcentral", "germanynorth", "polandcentral", "switzerlandnorth",
+                  "switzerlandwest"),
+        "gcp": ("europe-west3", "europe-west6", "europe-west10", "europe-central2"),
     },
     "eu-north": {
-        "aws": "eu-north-1",
-        "azure": "denmarkeast northeurope norwayeast norwaywest swedencentral",
-        "gcp": "europe-north1 europe-north2",
+        "aws": ("eu-north-1",),
+        "azure": ("denmarkeast", "northeurope", "norwayeast", "norwaywest", "swedencentral"),
+        "gcp": ("europe-north1", "europe-north2"),
     },
     "asia-ne": {
-        "aws": "ap-east-1 ap-east-2 ap-northeast-1 ap-northeast-2 ap-northeast-3",
-        "azure": "eastasia japaneast japanwest koreacentral koreasouth",
-        "gcp": "asia-northeast1 asia-northeast2 asia-northeast3 asia-east1 asia-east2",
+        "aws": ("ap-east-1", "ap-east-2", "ap-northeast-1", "ap-northeast-2", "ap-northeast-3"),
+        "azure": ("eastasia", "japaneast", "japanwest", "koreacentral", "koreasouth"),
+        "gcp": ("asia-northeast1", "asia-northeast2", "asia-northeast3", "asia-east1", "asia-east2"),
     },
     "asia-se": {
-        "aws": "ap-southeast-1 ap-southeast-3 ap-southeast-5 ap-southeast-7",
-        "azure": "indonesiacentral malaysiawest southeastasia",
-        "gcp": "asia-southeast1 asia-southeast2 asia-southeast3",
+        "aws": ("ap-southeast-1", "ap-southeast-3", "ap-southeast-5", "ap-southeast-7"),
+        "azure": ("indonesiacentral", "malaysiawest", "southeastasia"),
+        "gcp": ("asia-southeast1", "asia-southeast2", "asia-southeast3"),
     },
     "asia-south": {
-        "aws": "ap-south-1 ap-south-2",
-        "azure": "centralindia southindia westindia",
-        "gcp": "asia-south1 asia-south2",
+        "aws": ("ap-south-1", "ap-south-2"),
+        "azure": ("centralindia", "southindia", "westindia"),
+        "gcp": ("asia-south1", "asia-south2"),
     },
     "oceania": {
-        "aws": "ap-southeast-2 ap-southeast-4 ap-southeast-6",
-        "azure": "australiacentral australiacentral2 australiaeast australiasoutheast newzealandnorth",
-        "gcp": "australia-southeast1 australia-southeast2",
+        "aws": ("ap-southeast-2", "ap-southeast-4", "ap-southeast-6"),
+        "azure": ("australiacentral", "australiacentral2", "australiaeast", "australiasoutheast", "newzealandnorth"),
+        "gcp": ("australia-southeast1", "australia-southeast2"),
     },
     "sa": {
-        "aws": "sa-east-1",
-        "azure": "brazilsouth brazilsoutheast chilecentral",
-        "gcp": "southamerica-east1 southamerica-west1",
+        "aws": ("sa-east-1",),
+        "azure": ("brazilsouth", "brazilsoutheast", "chilecentral"),
+        "gcp": ("southamerica-east1", "southamerica-west1"),
     },
     "africa": {
-        "aws": "af-south-1",
-        "azure": "southafricanorth southafricawest",
-        "gcp": "africa-south1",
+        "aws": ("af-south-1",),
+        "azure": ("southafricanorth", "southafricawest"),
+        "gcp": ("africa-south1",),
     },
     "middle-east": {
-        "aws": "il-central-1 me-south-1 me-central-1",
-        "azure": "israelcentral qatarcentral uaecentral uaenorth",
-        "gcp": "me-west1 me-central1 me-central2",
+        "aws": ("il-central-1", "me-south-1", "me-central-1"),
+        "azure": ("israelcentral", "qatarcentral", "uaecentral", "uaenorth"),
+        "gcp": ("me-west1", "me-central1", "me-central2"),
     },
 }
 # Warehouse multi-regions are their own group, and "global" is a legal literal of no group.
@@ -227,22 +230,23 @@ DEFAULT_TERMS: dict[str, tuple[str, str, str]] = {
 }
 
 # What the two reused term slots mean, by kind.
-TERM_SLOTS: dict[str, dict[str, tuple[str, str]]] = {
+TERM_SLOTS: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
     "db.relational": {
-        "tenancy": ("engine", "postgres mysql mariadb oracle sqlserver aurora-postgres aurora-mysql azure-sql "
-                              "azure-postgres azure-mysql azure-mariadb cloud-sql-postgres cloud-sql-mysql "
-                              "cloud-sql-sqlserver"),
-        "os": ("deployment_option", "single-az multi-az multi-az-cluster managed-instance elastic-pool "
-                                    "flexible-server zonal regional"),
+        "tenancy": ("engine", ("postgres", "mysql", "mariadb", "oracle", "sqlserver", "aurora-postgres",
+                               "aurora-mysql", "azure-sql", "azure-postgres", "azure-mysql", "azure-mariadb",
+                               "cloud-sql-postgres", "cloud-sql-mysql", "cloud-sql-sqlserver")),
+        "os": ("deployment_option", ("single-az", "multi-az", "multi-az-cluster", "managed-instance",
+                                     "elastic-pool", "flexible-server", "zonal", "regional")),
     },
     "cache.kv": {
-        "tenancy": ("engine", "redis memcached sql mongo cassandra table gremlin spanner-standard "
-                              "spanner-enterprise spanner-enterprise-plus spanner-storage"),
-        "os": ("tier_or_mode", "basic standard premium enterprise provisioned serverless storage"),
+        "tenancy": ("engine", ("redis", "memcached", "sql", "mongo", "cassandra", "table", "gremlin",
+                               "spanner-standard", "spanner-enterprise", "spanner-enterprise-plus",
+                               "spanner-storage")),
+        "os": ("tier_or_mode", ("basic", "standard", "premium", "enterprise", "provisioned", "serverless", "storage")),
     },
     "container.orchestration": {
-        "tenancy": ("product_family", "kubernetes"),
-        "os": ("tier_or_mode", "standard extended-support fargate free virtual-nodes autopilot"),
+        "tenancy": ("product_family", ("kubernetes",)),
+        "os": ("tier_or_mode", ("standard", "extended-support", "fargate", "free", "virtual-nodes", "autopilot")),
     },
 }
 
@@ -343,7 +347,7 @@ def region_rows() -> list[tuple[str, str, str]]:
         (provider, region, group)
         for group, providers in REGION_GROUPS.items()
         for provider, names in providers.items()
-        for region in names.split()
+        for region in names
     ]
     return rows + [("gcp", name, name) for name in SELF_REGIONS]
 
@@ -373,5 +377,5 @@ def term_slots(spark: SparkSession) -> DataFrame:
         (kind, slot, meaning, value)
         for kind, slots in TERM_SLOTS.items()
         for slot, (meaning, values) in slots.items()
-        for value in values.split()
+        for value in values
     ])

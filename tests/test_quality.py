@@ -55,3 +55,21 @@ def test_unpriced_families(spark):
                      "family string, cpu_prefix string, ram_prefix string")
     text = frame(spark, [("N1 Core running in X",), ("N1 Ram running in Y",), ("N2 Core",)], "description string")
     assert [r.family for r in Q.unpriced_families(families, text).collect()] == ["n2"]
+
+
+def test_prefix_match_needs_the_region(spark):
+    ours = frame(spark, [("a-1", "us-east1"), ("a:2", "europe-west1"), ("b", "bq-eu"), ("b-x", "bq-us"), ("ab", "us-east1")],
+                 "our_id string, region string")
+    upstream = frame(spark, [("a", ["us-east1", "us-east4"], 1.0), ("a", ["europe-west1"], 2.0), ("b", ["EU"], 3.0), ("b", [], 4.0)],
+                     "upstream_id string, regions array<string>, price double")
+    got = Q.prefix_matches(ours, upstream, "our_id", "upstream_id", "region", "regions")
+    assert {(r.our_id, r.price) for r in got.collect()} == {("a-1", 1.0), ("a:2", 2.0), ("b", 3.0), ("b", 4.0), ("b-x", 4.0)}
+    assert Q.prefix_matches(ours, upstream, "our_id", "upstream_id").count() == 8
+
+
+def test_sample_amount_does_not_depend_on_the_partitioning(spark):
+    tiers = spark.range(300).select(
+        F.concat(F.lit("s"), F.col("id") % 30).alias("sku_id"), F.lit("r").alias("region"), F.lit("f.x").alias("resource_name"),
+        F.lit("requests").alias("dimension"), (F.lit(400.0) - F.col("id")).alias("amount"))
+    one, two = (sorted((r.sku_id, r.amount) for r in Q.stratified_sample(t, 20, 1).collect()) for t in (tiers, tiers.repartition(5)))
+    assert one == two and all(a == 130.0 - int(s[1:]) for s, a in one)
