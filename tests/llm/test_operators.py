@@ -209,6 +209,28 @@ def test_links_do_not_depend_on_heads(spark):
     assert got == want
 
 
+def test_near_duplicates_with_unequal_repeats(spark):
+    """One text of each pair repeats half of the passages: plain likeness is high, weighted likeness isn't."""
+    rows = []
+    for pair in range(12):
+        words = [f"p{pair}w{k}" for k in range(104)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words + words[:54] * (10 if pair % 2 else 50)))]
+    sets = shingle_sets(dict(rows))
+    assert all(len(sets[2 * p] & sets[2 * p + 1]) >= 0.8 * len(sets[2 * p] | sets[2 * p + 1]) for p in range(12))
+    got = {r.doc_id: r.class_id for r in op10_near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_close_pairs_by_either_signature():
+    rng = np.random.default_rng(4)
+    plain = rng.integers(0, 256, op10_near.REGISTERS).astype(np.uint8).tobytes()
+    weighted = rng.integers(0, 256, op10_near.REGISTERS).astype(np.uint8).tobytes()
+    a, b, c = (bytes([k]) * 16 for k in range(3))
+    entries = [a + a + b"0" + plain, b + b + b"0" + weighted + plain, c + c + b"0" + plain[::-1]]
+    assert [p[:2] for p in op10_near.close_pairs(entries, False)] == [(a, b), (a, b)]
+    assert {p[:2] for p in op10_near.close_pairs(entries, True)} == {(a, b)}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(1, 1 << 32, 40).astype("<u4"))
