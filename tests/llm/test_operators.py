@@ -231,6 +231,22 @@ def test_close_pairs_by_either_signature():
     assert {p[:2] for p in op10_near.close_pairs(entries, True)} == {(a, b)}
 
 
+def test_first_of_each_decides_by_row(spark):
+    """Beside repeated rows, rows of other classes that share an id or have none stay."""
+    own = {k: " ".join(f"{k}w{n}" for n in range(60)) for k in "abcdefg"}
+    near = own["a"] + " more"
+    rows = [(1, own["a"]), (1, own["a"]), (2, near), (2, own["b"]), (None, own["c"]), (None, own["d"]), (None, own["a"]), (3, own["e"]), (3, own["f"]), (3, own["f"]), (4, own["g"]), (4, own["g"] + " more"), (5, own["g"])]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
+    out = op10_near.first_of_each(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    four = [k for k in got if k[0] == 4]
+    assert len(four) == 1 and got.pop(four[0]) == 1 and four[0] in rows
+    assert got == Counter([(1, own["a"]), (2, own["b"]), (None, own["c"]), (None, own["d"]), (None, own["a"]), (3, own["e"]), (3, own["f"])])
+    plain = spark.createDataFrame([(7, own["a"]), (7, own["a"]), (None, own["b"]), (None, own["c"])], "doc_id long, text string")
+    assert op10_near.first_of_each(plain).count() == 3
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(1, 1 << 32, 40).astype("<u4"))
