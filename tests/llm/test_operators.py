@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -145,6 +146,46 @@ def test_pseudonyms(spark, sf_dir, texts):
     assert a and a[1] != "2001-02-28" and int(a[3]) <= 12 and a[6].replace(" ", "") == a[7] == a[8] and luhn(a[7]) and luhn(a[9])
 
 
+def test_pseudonyms_of_other_countries(spark):
+    """Phones in any groups, letters beyond ASCII and bank account numbers."""
+    phones = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "+33123456789", "+49 30 1234567", "0044 20 7946 0958", "+1 (555) 123-4567", "+354 412 3456"]
+    mails = ["иван.петров@почта.example", "山田太郎@例え.example", "müller@example.com", "محمد@example.com", "김철수@example.com", "उपयोगकर्ता@example.com", "A.b1@example.com"]
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "BE68 5390 0754 7034", "DE88370400440532013000"]
+    values = phones + mails + accounts
+    rows = spark.createDataFrame([(k, f"see {v} PAID 2001-02-28 1 x") for k, v in enumerate(values)], "doc_id long, text string")
+    parts = [re.fullmatch(r"see (.*) PAID (\d{4}-\d\d-\d\d) 1 x", r.text) for r in op8_pii.pseudonymise(rows, "k").orderBy("doc_id").collect()]
+    got = dict(zip(values, [p[1] for p in parts]))
+    assert len({p[2] for p in parts}) == 1 and all(a != b for a, b in got.items()) and len(set(got.values())) == len(values)
+
+    def shape(v):
+        return re.sub("[A-Z]", "A", re.sub("[0-9]", "9", v))
+    for a in phones + accounts:
+        assert shape(a) == shape(got[a])
+    for a in phones:
+        code = re.match(r"(?:\+|00)(?:1|354|33|44|49)", a)[0]
+        assert got[a].startswith(code)
+    digits = {a: re.sub(r"\(0\)|[^0-9]", "", got[a]) for a in phones}
+    assert digits[phones[0]] == digits[phones[1]] == digits[phones[5]][2:] and digits[phones[2]] == digits[phones[3]]
+    for a in mails:
+        (old, domain), (new, same) = a.split("@"), got[a].split("@")
+        assert domain == same and len(old) == len(new)
+        assert all(unicodedata.category(c)[0] == unicodedata.category(d)[0] and (not c.isalpha() or ord(c) < 128 or ord(c) >> 7 == ord(d) >> 7) for c, d in zip(old, new))
+        if old.replace(".", "").isalpha() and not old.isascii():
+            assert sum(c == d for c, d in zip(old, new) if c.isalpha()) < len(old) / 2
+
+    def valid(v):
+        v = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    assert [valid(got[a]) for a in accounts] == [valid(a) for a in accounts] == [True] * 5 + [False]
+    assert got[accounts[1]].replace(" ", "") == got[accounts[0]]
+
+
+def test_letters_beyond_ascii_are_permuted(spark):
+    letters = [chr(c) for c in (*range(0x400, 0x480), *range(0xAC00, 0xAC80))]
+    rows = spark.createDataFrame([(c,) for c in letters], "c string")
+    assert {r.c for r in rows.select(op8_pii.permute_text(shared.F.col("c"), "k", "t", abroad=True).alias("c")).collect()} == set(letters)
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(12).crossJoin(spark.range(7).withColumnRenamed("id", "r"))
     out = pairs.select(op8_pii.permute_pair(pairs["id"], pairs["r"], (12, 7), "k", "t").alias("p")).distinct().count()
