@@ -1,7 +1,9 @@
 r"""Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text; words are runs of letters and digits, ASCII-lower-cased. Long paragraphs are judged in
-windows of WINDOW words that overlap by half, so a notice isn't lost in its surroundings. A sparse multinomial logistic
+Paragraphs are the blocks of lines between lines without words; words are runs of letters and digits, ASCII-lower-cased. Long
+paragraphs are judged in windows of WINDOW words that overlap by half and run across line ends, so a wrapped notice is seen
+whole and isn't lost in its surroundings. The lines of a paragraph are judged by themselves, too, so that notices on
+neighbouring lines are each found. A sparse multinomial logistic
 regression over the 1- to 3-grams of words gives each window a probability for every licence family and for 'unknown'. It is
 trained on the templates, cut short, interrupted and set among corpus words, against a bounded sample of corpus paragraphs
 as unknown; a temperature, fitted on examples it hasn't seen, calibrates the probabilities. A prediction is confirmed if
@@ -10,7 +12,7 @@ its family's best template shares at least CONFIRMED of its 3-grams with the win
 The n-grams the model knows are a sorted array of hashes of fixed size; every n-gram of every text probes it.
 
 Cases: null, empty and wordless texts have no paragraph and no licence; several families in one text are all listed; a
-paragraph the model calls a family without template support is counted as unconfirmed; an empty table gives no rows; rows
+paragraph of which the model calls a part a family, without template support in any part of it, is counted as unconfirmed, once for each such family; an empty table gives no rows; rows
 may repeat; other columns aren't read.
 """
 
@@ -34,7 +36,8 @@ TEMPLATES = {
                    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
             "You should have received a copy of the GNU General Public License along with this program"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+             "You should have received a copy of the GNU Lesser General Public License along with this library"],
     "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
@@ -54,18 +57,22 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _PLAIN[bytes([_c]).upper()[0]] = _c
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the paragraph of each word (counted through all texts), and the text of each paragraph with words."""
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, the line and the paragraph of each word (counted through all texts), and the text of each paragraph."""
     plain = _PLAIN[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     solid = plain != 32
     starts = np.flatnonzero(solid & (~np.concatenate(([False], solid[:-1])) | first[:-1]))
     ends = np.flatnonzero(solid & (~np.concatenate((solid[1:], [False])) | first[1:])) + 1
-    breaks = np.cumsum((raw == 10) | first[:-1])[starts] if len(starts) else np.zeros(0, np.int64)
-    new = np.concatenate(([True], breaks[1:] != breaks[:-1])) if len(breaks) else np.zeros(0, bool)
-    text = np.searchsorted(offsets, starts[new], "right") - 1
-    return span_hashes(plain, starts, ends), np.cumsum(new) - 1, text
+    line = np.cumsum((raw == 10) | first[:-1])[starts] if len(starts) else np.zeros(0, np.int64)
+    text = np.searchsorted(offsets, starts, "right") - 1
+    new_line, new = (np.ones(min(len(line), 1), bool),) * 2
+    if len(line):
+        other = text[1:] != text[:-1]
+        new_line = np.concatenate((new_line, (line[1:] != line[:-1]) | other))
+        new = np.concatenate((new, (line[1:] - line[:-1] > 1) | other))
+    return span_hashes(plain, starts, ends), np.cumsum(new_line) - 1, np.cumsum(new) - 1, text[new]
 
 
 def grams(words: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,30 +195,47 @@ def train(paragraphs: list[np.ndarray]) -> Model:
 def fit(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> Model:
     """Train with paragraphs of at most SAMPLE_DOCS documents (by a hash of the id) that don't look like a template."""
     sample = docs.select(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("h"), text_of(text_column).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
-    lines = [line for r in sample.collect() for line in r["t"].split("\n")]
     templates = np.unique(np.concatenate([_grams_of(_hashed(t))[-1] for texts in TEMPLATES.values() for t in texts]))
     paragraphs = []
-    for line in lines[:SAMPLE_PARAGRAPHS]:
-        words = _hashed(line)[:WINDOW]
-        found = _grams_of(words)
-        if len(words) and not (len(found) == GRAMS and np.isin(found[-1], templates).any()):
-            paragraphs.append(words)
+    for r in sample.collect():
+        raw = np.frombuffer(r["t"].encode("utf-8", "replace"), np.uint8)
+        hashes, lines, blocks, _ = words_of(raw, np.array([0, len(raw)]))
+        # each line, and the windows of each paragraph of several
+        several = np.flatnonzero(np.diff(lines, prepend=-1) * (np.diff(blocks, prepend=-1) == 0))
+        wide = np.unique(blocks[several])
+        starts = [np.flatnonzero(np.diff(lines, prepend=-1))] + [np.arange(*np.searchsorted(blocks, (b, b + 1)), WINDOW // 2) for b in wide.tolist()]
+        for group, begin in [(lines, k) for k in starts[0].tolist()] + [(blocks, k) for part in starts[1:] for k in part.tolist()]:
+            words = hashes[begin:min(begin + WINDOW, int(np.searchsorted(group, group[begin], "right")))]
+            found = _grams_of(words)
+            if len(paragraphs) < SAMPLE_PARAGRAPHS and not (len(found) == GRAMS and np.isin(found[-1], templates).any()):
+                paragraphs.append(words)
     return train(paragraphs)
 
 
-def judged(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of paragraphs of each text; and of each window that a family was predicted for: text, family, probability, template share."""
+def judged(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of paragraphs of each text; and of each window that a family was predicted for: text, paragraph, family, probability, template share."""
     n = len(offsets) - 1
-    words, paragraph, text = words_of(raw, offsets)
+    words, line, paragraph, text = words_of(raw, offsets)
     n_paragraphs = np.bincount(text, minlength=n)
-    places, numbers = model.features(words, paragraph)
+    parts = [windows_of(model, words, paragraph)]
+    if len(line) and line[-1] > paragraph[-1]:
+        n_lines = np.bincount(paragraph[np.flatnonzero(np.diff(line, prepend=-1))])
+        own = n_lines[paragraph] > 1  # a paragraph of one line has been judged
+        parts.append(windows_of(model, words[own], line[own], paragraph[own]))
+    at, family, probability, share = (np.concatenate(x) for x in zip(*parts))
+    return n_paragraphs, text[at], at, family, probability, share
+
+
+def windows_of(model: Model, words: np.ndarray, group: np.ndarray, paragraph: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of a group of words that a family was predicted for: paragraph (or group), family, probability, template share."""
+    places, numbers = model.features(words, group)
     if not len(places):
-        return n_paragraphs, *(np.zeros(0, np.int64),) * 2, *(np.zeros(0),) * 2
-    begin = np.searchsorted(paragraph, np.arange(len(text)))
+        return *(np.zeros(0, np.int64),) * 2, *(np.zeros(0),) * 2
+    begin = np.searchsorted(group, np.arange(group[-1] + 2))
     half = WINDOW // 2
-    at = (places - begin[paragraph[places]]) // half
+    at = (places - begin[group[places]]) // half
     # each place lies in the window that begins at its own half and in the one before
-    key = np.concatenate((paragraph[places] * (1 << 32) + at, paragraph[places] * (1 << 32) + np.maximum(at - 1, 0)))
+    key = np.concatenate((group[places] * (1 << 32) + at, group[places] * (1 << 32) + np.maximum(at - 1, 0)))
     # windows without a known n-gram have only the bias and are unknown
     windows, rows = np.unique(key, return_inverse=True)
     z = model.logits(rows, np.concatenate((numbers, numbers)), len(windows))
@@ -219,14 +243,14 @@ def judged(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     family = p.argmax(axis=1)
     good = np.flatnonzero((family != UNKNOWN) & (p.max(axis=1) >= LEAST_PROBABILITY))
     shares = np.zeros(len(good))
-    sizes = np.bincount(paragraph, minlength=len(text))
     for k, w in enumerate(good.tolist()):
         own, part = divmod(int(windows[w]), 1 << 32)
         a = begin[own] + part * half
-        found = _grams_of(words[a:min(begin[own] + sizes[own], a + WINDOW)])
+        found = _grams_of(words[a:min(begin[own + 1], a + WINDOW)])
         if len(found) == GRAMS:
             shares[k] = max(np.isin(t, found[-1]).mean() for t in model.templates[family[w]])
-    return n_paragraphs, text[windows[good] >> 32], family[good], p.max(axis=1)[good], shares
+    owner = windows[good] >> 32
+    return owner if paragraph is None else paragraph[begin[owner]], family[good], p.max(axis=1)[good], shares
 
 
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -236,17 +260,20 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 21):
-                n_paragraphs, text, family, probability, share = judged(model, *utf8(part.column(1)))
+                n_paragraphs, text, paragraph, family, probability, share = judged(model, *utf8(part.column(1)))
                 n = part.num_rows
                 sure = share >= CONFIRMED
                 families: list[set[str]] = [set() for _ in range(n)]
                 for t, f in zip(text[sure].tolist(), family[sure].tolist()):
                     families[t].add(FAMILIES[f])
+                called = paragraph * len(FAMILIES) + family
+                bare = np.flatnonzero(~np.isin(called, called[sure]))
+                unconfirmed = text[bare[np.unique(called[bare], return_index=True)[1]]]
                 best, near = np.zeros(n), np.zeros(n)
                 np.maximum.at(best, text[sure], probability[sure])
                 np.maximum.at(near, text[sure], share[sure])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n_paragraphs.astype(np.int64)), pa.array([sorted(x) for x in families], pa.list_(pa.string())), pa.array(best), pa.array(near),
-                     pa.array(np.bincount(text[~sure], minlength=n).astype(np.int64))], ["doc_id", "n_paragraphs", "families", "probability", "template_share", "n_unconfirmed"])
+                     pa.array(np.bincount(unconfirmed, minlength=n).astype(np.int64))], ["doc_id", "n_paragraphs", "families", "probability", "template_share", "n_unconfirmed"])
 
     return rows.mapInArrow(run, "doc_id long, n_paragraphs long, families array<string>, probability double, template_share double, n_unconfirmed long")

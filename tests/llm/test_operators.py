@@ -87,6 +87,58 @@ def test_licences(spark, sf_dir, texts):
         assert r.families == sorted(k for k, v in known.items() if v in plain)
 
 
+WRAPPED = {
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA""",
+    "BSD": """Redistribution and use in source and binary
+forms, with or without modification, are
+permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain
+the above copyright notice, this list of
+conditions and the following disclaimer.""",
+    "GPL": """This program is free software: you can redistribute it
+and/or modify it under the terms of the GNU General
+Public License as published by the Free Software
+Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark, sf_dir):
+    return op3_licences.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@pytest.mark.parametrize("lead", ["", " * ", "# "])
+def test_wrapped_licences(spark, licence_model, lead):
+    rows = list(WRAPPED.items())
+    texts = [("".join(f"{lead}{line}\n" for line in t.split("\n"))) for _, t in rows]
+    docs = spark.createDataFrame([(k, t + "\nint main() {\n}\n") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = rows_of(op3_licences.scan(docs, licence_model))
+    assert [got[k].families for k in range(len(rows))] == [[f] for f, _ in rows]
+    assert [got[k].n_paragraphs for k in range(len(rows))] == [4, 3, 2]
+
+
+def test_licences_on_neighbouring_lines(spark, licence_model):
+    """Two notices in one block are both listed."""
+    text = "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."
+    r = op3_licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), licence_model).first()
+    assert (r.families, r.n_paragraphs, r.n_unconfirmed) == (["Apache-2.0", "CC-BY-NC", "MIT"], 1, 0)
+
+
 def test_pieces_equal_the_library(spark, sf_dir, texts):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for i, r in rows_of(queries.QUERIES["op4_pieces"](spark, sf_dir)).items():
