@@ -5,8 +5,9 @@ bytes, each with either dictionary; x = (bytes with the bad one - bytes with the
 two it is more like. A logistic curve over x, fitted on labelled texts that the dictionaries haven't seen, makes x a
 calibrated score.
 
-Fitting uses a bounded sample: at most SAMPLE labelled documents of each label, chosen by a hash of their id, and
-SAMPLE_BYTES of each. Scoring compresses every text whole, in one pass, without a shuffle.
+Fitting uses a bounded sample of rows: at most SAMPLE labelled documents of each label, chosen by a hash of their id. Half of
+them build the dictionaries, with windows spread evenly over each whole text, of SAMPLE_BYTES in all; the other half calibrate
+by x of their whole texts, which the executors find. Scoring compresses every text whole, in one pass, without a shuffle.
 
 Cases: null and empty texts have x = 0 and the score of that; labels of held-out rows, of ids without a document, and null
 labels are not used; several labels for an id count each; with labels of one kind only, or none, the dictionaries are
@@ -16,7 +17,7 @@ empty and the score is the smoothed share of good labels; an empty table gives n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import held_out, text_of, utf8
+from tarifold.llm.shared import held_out, store, text_of, utf8
 
 FOLDS, HELD = 3, 1
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, WINDOW, LEVEL = 2000, 6_000, 400_000, 2048, 3
@@ -60,6 +61,15 @@ def difference(text: bytes, packers: list[zstandard.ZstdCompressor]) -> float:
     return (bad - good) / (bad + good)
 
 
+def spread(text: bytes) -> bytes:
+    """At most SAMPLE_BYTES of a text, in windows spread evenly over it, the first and the last among them."""
+    if len(text) <= SAMPLE_BYTES:
+        return text
+    n, rest = -(-SAMPLE_BYTES // WINDOW), len(text) - SAMPLE_BYTES
+    begins = [k * WINDOW + rest * k // (n - 1) for k in range(n)]
+    return b"".join(text[at:at + min(WINDOW, SAMPLE_BYTES - k * WINDOW)] for k, at in enumerate(begins))
+
+
 def dictionary(texts: list[bytes]) -> bytes:
     """Trained on the texts; if they are too few, their own bytes serve."""
     pieces = [t[k:k + WINDOW] for t in texts for k in range(0, len(t), WINDOW)]
@@ -92,22 +102,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     own = own.withColumn("_h", F.md5(F.col("_id").cast("string")))
     # the sample's ids first: twice SAMPLE of each label at most, so that ids without a document leave enough
     ids = own.where("_y = 1").orderBy("_h").limit(2 * SAMPLE).unionByName(own.where("_y = 0").orderBy("_h").limit(2 * SAMPLE))
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("_y", "_h", text_of().alias("t"))
+    text = text_of()
+    rows = store(docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("_y", "_h", F.sha2(text.cast("binary"), 256).alias("_k"), text.alias("t")), "quality-sample")
     data = {}
-    for y in (0, 1):
-        got = rows.where(F.col("_y") == y).orderBy("_h", "t").limit(SAMPLE).select(F.substring("t", 1, SAMPLE_BYTES).alias("t")).collect()
-        data[y] = [r["t"].encode("utf-8", "replace")[:SAMPLE_BYTES] for r in got]
+    for y in (0, 1):  # only keys come to the driver, repeated as their rows are
+        got = rows.where(F.col("_y") == y).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("n")).orderBy("_h", "_k").limit(SAMPLE).collect()
+        data[y] = [(r["_h"], r["_k"]) for r in got for _ in range(min(r["n"], SAMPLE))][:SAMPLE]
     if min(len(data[0]), len(data[1])) < 4:
         share = (len(data[1]) + 1) / (len(data[0]) + len(data[1]) + 2)
         return Classifier(b"", b"", 0.0, math.log(share / (1 - share)))
     # even places build the dictionaries, odd ones calibrate
-    model = Classifier(dictionary(data[1][::2]), dictionary(data[0][::2]), 1.0, 0.0)
-    packers = model.packers()
-    x = np.array([difference(t, packers) for y in (0, 1) for t in data[y][1::2]])
+    parts = of_texts(rows, {k for y in (0, 1) for k in data[y][::2]}, lambda: spread, pa.binary(), "binary")
+    model = Classifier(*(dictionary([bytes(parts[k]) for k in data[y][::2]]) for y in (1, 0)), 1.0, 0.0)
+
+    def measure() -> Callable[[bytes], float]:
+        packers = model.packers()
+        return lambda t: difference(t, packers)
+
+    xs = of_texts(rows, {k for y in (0, 1) for k in data[y][1::2]}, measure, pa.float64(), "double")
+    x = np.array([xs[k] for y in (0, 1) for k in data[y][1::2]])
     y = np.array([y for y in (0, 1) for _ in data[y][1::2]])
     return Classifier(model.good, model.bad, *logistic(x, y))
 
 
+def of_texts(rows: DataFrame, wanted: set[tuple[str, str]], use: Callable, kind: pa.DataType, name: str) -> dict:
+    """use()(whole text) of each wanted key of rows, found by the executors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, left = use(), set(wanted)
+        for batch in batches:
+            out = []
+            for h, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if (h, k) in left:
+                    left.discard((h, k))
+                    out.append((h, k, value(t.as_py().encode("utf-8", "replace"))))
+            h, k, v = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(k, pa.string()), pa.array(v, kind)], ["h", "k", "v"])
+
+    return {(r["h"], r["k"]): r["v"] for r in rows.select("_h", "_k", "t").mapInArrow(run, f"h string, k string, v {name}").collect()}
+
+
 def classify(docs: DataFrame, model: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(id_column, FOLDS, HELD).alias("held_out"), text_of(text_column).alias("text"))

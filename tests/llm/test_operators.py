@@ -159,6 +159,23 @@ def test_quality_classifier(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
 
 
+def test_quality_shows_late_in_texts(spark):
+    """Labels that only the words after the first 7,000 bytes explain."""
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(3000)]
+    pools = words[:2000], words[2000:2500], words[2500:]
+    rows = []
+    for k in range(240):
+        own = [pools[0][w] for w in rng.integers(0, 2000, 900)] + [pools[1 + k % 2][w] for w in rng.integers(0, 500, 900)]
+        rows.append((k, " ".join(own), k % 2))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = op5_compression.classify(table, op5_compression.fit(table, table)).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.9
+    text = bytes(range(256)) * 100
+    part = op5_compression.spread(text)
+    assert len(part) == op5_compression.SAMPLE_BYTES and part[:2048] == text[:2048] and text.endswith(part[-1000:])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, sf_dir, name):
     con = duckdb.connect()
