@@ -15,7 +15,7 @@ to blocks by bounds found on ids alone; the first document of each block is sent
 are shuffled once.
 
 Cases: null texts count as empty; the empty text's fingerprint is all empty; of equal ids the lesser text comes first; null ids
-come first, and after the last document comes the first whose id isn't null; a single document follows itself; an empty
+come first, and after the last document comes the first whose id isn't null, or the first of all if all ids are null; a single document follows itself; an empty
 table gives no rows; other columns aren't read.
 """
 
@@ -135,6 +135,9 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     bounds = id_bounds(docs, id_column, partitions(docs.sparkSession))
     rows = docs.select(F.explode(places(id_column, bounds)).alias("place"), F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
     rows = rows.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("block"), (F.col("place") < 0).alias("ahead"), "doc_id", "text")
+    if not bounds:  # no id begins a block: the least text does
+        least = docs.agg(F.min(text_of(text_column)).alias("text")).where("text IS NOT NULL")
+        rows = rows.unionByName(least.select(F.lit(0).alias("block"), F.lit(True).alias("ahead"), F.lit(None).cast("long").alias("doc_id"), "text"))
     ordered = rows.repartition(max(1, len(bounds)), "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
     def finish(held: list[tuple]) -> pa.RecordBatch:

@@ -45,6 +45,14 @@ def test_fingerprints(spark, sf_dir, texts):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
 
 
+def test_fingerprints_without_ids(spark):
+    for texts in (["b text", "a text", None], ["alone"]):
+        got = op1_phrases.fingerprints(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+        own = sorted(t or "" for t in texts)
+        edited = [t[:len(t) - len(t) // 2] + own[(k + 1) % len(own)][:len(t) // 2] for k, t in enumerate(own)]
+        assert sorted(r.edited_sha256 for r in got) == sorted(hashlib.sha256(e.encode()).hexdigest() for e in edited)
+
+
 def test_equal_substrings_share_phrases():
     rng = np.random.default_rng(1)
     body = bytes(rng.integers(97, 123, 4000).astype(np.uint8))
