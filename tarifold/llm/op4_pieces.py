@@ -223,8 +223,8 @@ NEW = {"piece_ids": T.ArrayType(T.IntegerType()), "n_pieces": T.LongType(), "pie
 
 def encode(docs: DataFrame, model: str, text_column: str = "text") -> DataFrame:
     """The rows with piece_ids, n_pieces, piece_crc32 (of the ids as little-endian 32-bit integers) and round_trip: whether decoding gives the text back."""
-    kept = [c for c in docs.columns if c not in NEW]
-    rows = docs.select(*[docs[c] for c in kept])
+    rows = docs.drop(*NEW)
+    kept = rows.columns
     schema = T.StructType([*rows.schema.fields, *[T.StructField(k, t) for k, t in NEW.items()]])
     column = kept.index(text_column)
 
@@ -260,4 +260,4 @@ def decode(rows: DataFrame, model: str, ids_column: str = "piece_ids", text_colu
             texts = [None if x is None else own.decode(x) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.drop(text_column).mapInArrow(run, schema)

@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     own = own.withColumn("_h", F.md5(F.col("_id").cast("string")))
     # the sample's ids first: twice SAMPLE of each label at most, so that ids without a document leave enough
     ids = own.where("_y = 1").orderBy("_h").limit(2 * SAMPLE).unionByName(own.where("_y = 0").orderBy("_h").limit(2 * SAMPLE))
-    text = text_of()
-    rows = store(docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("_y", "_h", F.sha2(text.cast("binary"), 256).alias("_k"), text.alias("t")), "quality-sample")
+    texts = docs.select(F.col("doc_id").alias("_id"), text_of().alias("t"))
+    rows = store(texts.join(F.broadcast(ids), "_id").select("_y", "_h", F.sha2(F.col("t").cast("binary"), 256).alias("_k"), "t"), "quality-sample")
     data = {}
     for y in (0, 1):  # only keys come to the driver, repeated as their rows are
         got = rows.where(F.col("_y") == y).groupBy("_h", "_k").agg(F.count(F.lit(1)).alias("n")).orderBy("_h", "_k").limit(SAMPLE).collect()

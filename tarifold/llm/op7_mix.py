@@ -14,7 +14,7 @@ to all executors if it is small, and else splits the hot cells of the join.
 
 Cases: null source, language or topic is a value of its own; null and empty texts count no tokens, their cells' probability is
 1 if they have no other texts; a margin value without target gets the weight 0; rows with an equal id are kept or dropped
-together; an empty table gives no rows; other columns are kept.
+together if they are of one cell, rows without an id each by their text; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import SPACES, store, text_of
+from tarifold.llm.shared import SPACES, own_columns, store, text_of, unused
 
 SWEEPS, CAP_ROUNDS, FRACTION, TEMPER = 12, 6, 0.7, 0.7
 MARGINS = ("source", "lang", "topic")
@@ -36,18 +36,22 @@ TOPIC = """CASE WHEN 2 * length(regexp_replace({t}, '[^A-Z]+', '{g}')) > length(
   WHEN length({t}) < 600 THEN 'short' WHEN length({t}) < 6000 THEN 'prose' ELSE 'long' END"""
 
 
-def form(text: str = "_text") -> Column:
+def form(text: str = "coalesce(CAST(text AS STRING), '')") -> Column:
     """The form of a non-null text. Only ASCII letters count for capitals."""
     return F.expr(TOPIC.replace("'{g}')", "'')").format(t=text))
 
 
+def marks() -> list[Column]:
+    """Source and language; null is a value of its own."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in MARGINS[:2]]
+
+
 def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """doc_id, the margins (null as its own value) and tokens of each document."""
-    df = docs.withColumn("_text", text_of())
-    body = F.btrim("_text", F.lit(SPACES))
+    """doc_id, the margins (null as its own value), tokens and chance of each document."""
+    body = F.btrim(text_of(), F.lit(SPACES))
     tokens = F.when(body == "", 0).otherwise(F.size(F.split(body, r"[\x20\x09-\x0D]+")))
-    marks = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_{c}") for c in MARGINS[:2]]
-    return df.select("doc_id", *marks, (topic if topic is not None else form()).alias("_topic"), tokens.cast("long").alias("_tokens"))
+    return docs.select("doc_id", *[m.alias(f"_{c}") for m, c in zip(marks(), MARGINS)], (topic if topic is not None else form()).alias("_topic"),
+                       tokens.cast("long").alias("_tokens"), chance().alias("_chance"))
 
 
 def target_sql(margin: str, cells: str) -> str:
@@ -95,25 +99,25 @@ def fit(described_docs: DataFrame, targets: dict[str, DataFrame] | None = None)
 
 
 def chance(id_column: str = "doc_id") -> Column:
-    """A number from 0 to below 1 from a hash of the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    """A number from 0 to below 1 from a hash of the id, or of the text of a row without an id."""
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("="), text_of()))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def decided(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None) -> DataFrame:
     """doc_id, margins, tokens, probability and sampled of each document. Texts are described once."""
     rows = store(described(docs, topic), "mix-documents")
     cells = fit(rows, targets).drop("tokens")
-    return rows.join(cells, [f"_{m}" for m in MARGINS]).withColumn("sampled", chance() < F.col("probability"))
+    return rows.join(cells, [f"_{m}" for m in MARGINS]).withColumn("sampled", F.col("_chance") < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The sampled documents with all their columns. Each meets its cell's probability as it is read; texts aren't shuffled."""
-    cells = fit(store(described(docs), "mix-documents"), targets).select(*[F.col(f"_{m}").alias(f"_cell_{m}") for m in MARGINS], F.col("probability").alias("_cell_p"))
-    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in MARGINS[:2]]
-    text = docs.withColumn("_text", text_of())
-    keyed = text.withColumns({"_key_source": keys[0], "_key_lang": keys[1], "_key_topic": form()})
-    on = [keyed[f"_key_{m}"] == cells[f"_cell_{m}"] for m in MARGINS]
-    return keyed.join(cells, on[0] & on[1] & on[2]).where(chance() < F.col("_cell_p")).select(*[docs[c] for c in docs.columns])
+    *names, share = unused(docs, *[f"_cell_{m}" for m in MARGINS], "_cell_p")
+    rows = store(described(docs), "mix-documents")
+    cells = fit(rows, targets).select(*[F.col(f"_{m}").alias(n) for m, n in zip(MARGINS, names)], F.col("probability").alias(share))
+    source, lang, topic = (key == F.col(n) for key, n in zip([*marks(), form()], names))
+    return docs.join(cells, source & lang & topic).where(chance() < F.col(share)).select(*own_columns(docs))
 
 
 def oracle() -> str:
@@ -123,10 +127,10 @@ def oracle() -> str:
     q = "SELECT * FROM start"
     for _ in range(SWEEPS):
         q = sweep_sql(q)
-    return f"""WITH docs AS (SELECT doc_id, coalesce('=' || source, '') AS _source, coalesce('=' || lang, '') AS _lang, {topic} AS _topic, {words} AS n
+    return f"""WITH docs AS (SELECT doc_id, coalesce('=' || source, '') AS _source, coalesce('=' || lang, '') AS _lang, {topic} AS _topic, {words} AS n, coalesce(CAST(doc_id AS VARCHAR), '=' || t) AS name
           FROM (SELECT *, coalesce(text, '') AS t FROM documents) AS d),
         cells AS (SELECT _source, _lang, _topic, sum(n) AS tokens FROM docs GROUP BY 1, 2, 3),
         start AS ({start_sql('cells', tuple(target_sql(m, 'cells') for m in MARGINS))}),
         fitted AS MATERIALIZED ({q}), chances AS ({probabilities_sql('SELECT * FROM fitted')})
-        SELECT doc_id, _topic AS topic, CAST(n AS BIGINT) AS tokens, probability, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled
+        SELECT doc_id, _topic AS topic, CAST(n AS BIGINT) AS tokens, probability, ('0x' || substr(md5(name), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled
         FROM docs JOIN chances USING (_source, _lang, _topic)"""

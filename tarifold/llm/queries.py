@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarifold.llm import op1_phrases, op2_hmm, op3_licences, op4_pieces, op5_compression, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near
+from tarifold.llm import op1_phrases, op2_hmm, op3_licences, op4_pieces, op5_compression, op6_quality, op7_mix, op8_pii, op9_tokens, op10_near, op11_jaccard, op12_whitening, op13_codes
 from tarifold.llm.shared import fresh_path
 
 #: Key of the pseudonyms in the registered query; a user of the operator passes a secret of their own.
@@ -84,3 +84,18 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_near.classes(table(spark, sf_dir))
+
+
+@query("op11_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_jaccard.join_components(table(spark, sf_dir))
+
+
+@query("op12_whitening")
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_vector_codes")
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_codes.compress(table(spark, sf_dir, "embeddings"))

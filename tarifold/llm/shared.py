@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,22 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the table has: each is given underscores until it is free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The table's columns by name, whatever signs the names hold; helper columns beside them are left out."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -193,3 +211,32 @@ class UnitIds:
         lengths = self.lengths[index]
         rows, pos = ragged(lengths)
         return self.flat[self.starts[index][rows] + pos], lengths
+
+
+def task_sums(rows: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], tuple | None]) -> tuple | None:
+    """The sums, place by place, of the tuples that fold() makes of each task's batches; None where no task gives one.
+
+    fold() gives arrays of a size that doesn't depend on the rows. Tasks' tuples are added up by about the square root of
+    their number of tasks first, so the driver adds few."""
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = fold(batches)
+        if got is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for got in batch.column(0).to_pylist():
+                total = add(total, pickle.loads(got))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["sums"])
+
+    def add(total: tuple | None, got: tuple) -> tuple:
+        return got if total is None else tuple(a + b for a, b in zip(total, got))
+
+    tasks = rows.mapInArrow(one, "sums binary")
+    n = max(1, math.isqrt(max(1, rows.rdd.getNumPartitions())))
+    total = None
+    for r in tasks.repartition(n).mapInArrow(added, "sums binary").collect():  # n rows
+        total = add(total, pickle.loads(r["sums"]))
+    return total

@@ -339,6 +339,30 @@ def test_near_duplicates_with_unequal_repeats(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_crowded_groups_cost_in_proportion(spark, monkeypatch):
+    """Texts just below the likeness, all in the same buckets: candidate pairs grow with the texts, and none is linked."""
+    met = []
+    partners = op10_near.partners
+    monkeypatch.setattr(op10_near, "partners", lambda *a: met.append(partners(*a)) or met[-1])
+    monkeypatch.setattr(op10_near, "drop_stored", lambda df: None)
+    n_pairs = []
+    for n in (150, 450):
+        rng, words = np.random.default_rng(n), [f"w{k}" for k in range(60)]
+        texts = [" ".join(f"x{v}y{k}" if k in at else w for k, w in enumerate(words)) for v in range(n) for at in [set(rng.choice(np.arange(4, 56, 6), 2, replace=False).tolist())]]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        met.clear()
+        got = op10_near.classes(docs)
+        assert got.select("class_id").distinct().count() == n
+        n_pairs.append(sum(m.count() for m in met))
+    assert n_pairs[0] <= 150 and n_pairs[1] <= 450
+    assert op10_near.classes(docs, exact=True).select("class_id").distinct().count() == 450
+
+
+def test_mixing_decides_rows_without_ids_apart(spark):
+    docs = spark.createDataFrame([(None, f"some words of text {k}", "en", "a") for k in range(400)], "doc_id long, text string, lang string, source string")
+    assert 150 < op7_mix.sample(docs).count() < 390
+
+
 def test_close_pairs_by_either_signature():
     rng = np.random.default_rng(4)
     plain = rng.integers(0, 256, op10_near.REGISTERS).astype(np.uint8).tobytes()
@@ -350,7 +374,7 @@ def test_close_pairs_by_either_signature():
 
 
 def test_first_of_each_decides_by_row(spark):
-    """Beside repeated rows, rows of other classes that share an id or have none stay."""
+    """Beside repeated rows, rows of other classes that share an id or have none stay; copies without an id go."""
     own = {k: " ".join(f"{k}w{n}" for n in range(60)) for k in "abcdefg"}
     near = own["a"] + " more"
     rows = [(1, own["a"]), (1, own["a"]), (2, near), (2, own["b"]), (None, own["c"]), (None, own["d"]), (None, own["a"]), (3, own["e"]), (3, own["f"]), (3, own["f"]), (4, own["g"]), (4, own["g"] + " more"), (5, own["g"])]
@@ -360,7 +384,7 @@ def test_first_of_each_decides_by_row(spark):
     got = Counter((r.doc_id, r.text) for r in out.collect())
     four = [k for k in got if k[0] == 4]
     assert len(four) == 1 and got.pop(four[0]) == 1 and four[0] in rows
-    assert got == Counter([(1, own["a"]), (2, own["b"]), (None, own["c"]), (None, own["d"]), (None, own["a"]), (3, own["e"]), (3, own["f"])])
+    assert got == Counter([(1, own["a"]), (2, own["b"]), (None, own["c"]), (None, own["d"]), (3, own["e"]), (3, own["f"])])
     plain = spark.createDataFrame([(7, own["a"]), (7, own["a"]), (None, own["b"]), (None, own["c"])], "doc_id long, text string")
     assert op10_near.first_of_each(plain).count() == 3
 
