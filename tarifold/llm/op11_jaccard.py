@@ -10,8 +10,10 @@ Jaccard likeness is PERCENT / 100 or more. All links between different sets are
 - A tile's elements are dealt by hash to d_i + 1 + e_i places. Linked sets agree in all elements of more than e_i places, so
   they share a key of tile, place and the place's elements. Places without elements give keys only for sets with more than e_i
   such places, which are rare, and with that no link is lost. Only sets with a common key are compared.
-- Each node is first compared with the least node of its keys. Keys whose nodes are then still of several components are
-  searched in blocks of about BLOCK nodes.
+- Each node is first compared with the least node of its keys. Nodes that keys connect, directly or over others, make a
+  cluster; a pair outside a cluster can't be linked. Clusters that are then still of several components are searched in
+  blocks of about BLOCK nodes: whole if they have at most CLUSTER nodes, so that a node's bitmap travels once and not once
+  for each of its keys, and larger ones key by key.
 - A comparison begins with bitmaps of hashed elements, about eight bits an element: what |A| - |bits of A not in B| and its
   counterpart allow bounds the intersection from above. Pairs that the bound leaves are decided by intersecting the sorted
   sets of 48-bit hashes. (A false common element has odds of about 1 in 10^7 in sets of 10,000.)
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from tarifold.llm.op10_near import components, shingles, sieve
 from tarifold.llm.shared import drop_stored, mix, ragged, slices, store, text_of, utf8
 
-SHINGLE, PERCENT, BLOCK = 3, 90, 256
+SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 256, 2048
+#: Bytes of sets that a task holds at once.
+SETS_BYTES = 1 << 21
 WIDTH = 6  # bytes of an element
 LEAST_BITS, BITS_EACH = 64, 8
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -144,8 +148,7 @@ def entries(reps: DataFrame) -> DataFrame:
     """nid and key, a row for each tile key of each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, SETS_BYTES):
                 key, n = keys_of(part.column(1).to_pylist())
                 nid = np.repeat(part.column(0).to_numpy(), n)
                 for k in range(0, len(nid), 1 << 16):
@@ -173,8 +176,9 @@ def bitmaps(reps: DataFrame) -> DataFrame:
     """nid, n and the bitmap of each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [unpacked(s) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["nid", "n", "bits"])
+            for part in slices(batch, 1, SETS_BYTES):
+                sets = [unpacked(s) for s in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["nid", "n", "bits"])
 
     return reps.select("nid", "elements").mapInArrow(run, "nid long, n long, bits binary")
 
@@ -244,12 +248,21 @@ def block_pairs(block: list[dict], closest: bool) -> Iterator[tuple[int, int, in
         yield min(a, b), max(a, b), int(slack[i, j])
 
 
-def searched(crowded: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataFrame, closest: bool) -> DataFrame:
-    """Untried pairs (a, b) of different components that share a key and that the bound leaves: all, or each node's best.
+def grouped(crowded: DataFrame, clusters: DataFrame) -> DataFrame:
+    """nid and the groups to search it in: its cluster, or its keys where the cluster has more than CLUSTER nodes."""
+    sizes = clusters.groupBy("cluster").agg((F.count(F.lit(1)) <= CLUSTER).alias("small"))
+    placed = clusters.join(sizes, "cluster")
+    whole = placed.where("small").select("nid", F.lit(True).alias("small"), F.col("cluster").alias("key"))
+    large = placed.where("NOT small").select("nid")
+    return whole.unionByName(crowded.select("nid", "key").join(large, "nid", "left_semi").select("nid", F.lit(False).alias("small"), "key"))
 
-    Keys with nodes of one component only are left out. The others' nodes are dealt to blocks, those of the key's largest
+
+def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataFrame, closest: bool) -> DataFrame:
+    """Untried pairs (a, b) of different components that share a group and that the bound leaves: all, or each node's best.
+
+    Groups with nodes of one component only are left out. The others' nodes are dealt to blocks, those of the group's largest
     component apart; its blocks meet the further blocks, and these meet all."""
-    placed = crowded.select("key", "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    placed = groups.select(F.struct("small", "key").alias("key"), "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
     whole = F.col("n") <= BLOCK
     mixed = sizes.where("n > main.n").select(
@@ -300,12 +313,15 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     crowded = kept(found.where(sieve(heads, F.xxhash64("key"))(F.xxhash64("key"))).join(heads, "key"), "jaccard-keys")
     wanted = crowded.select("nid").distinct()
     signs = kept(bitmaps(reps.select("nid", "elements").join(wanted, "nid", "left_semi")), "jaccard-bitmaps")
-    tried = kept(crowded.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct(), "jaccard-pairs")
+    others = crowded.where("nid <> head")
+    tried = kept(others.groupBy(F.col("nid").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "jaccard-pairs")
+    connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
+    groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))), "jaccard-groups")
     links = kept(verified(kept(possible(tried, signs), "jaccard-pairs"), reps), "jaccard-links")
     roots = store(roots_of(links), "jaccard-roots")
     closest = True
     while True:
-        pairs = kept(searched(crowded, roots, signs, tried, closest), "jaccard-pairs")
+        pairs = kept(searched(groups, roots, signs, tried, closest), "jaccard-pairs")
         more = kept(verified(pairs, reps), "jaccard-links")
         tried = tried.unionByName(pairs)
         linked_any = not more.isEmpty()

@@ -69,10 +69,15 @@ def kept(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str =
     return table.where(F.col("size") == (sizes[0]["size"] if sizes else 0))
 
 
+def parted(vectors: list[bytes], parts: int) -> np.ndarray:
+    """Integers as positions, rows and components."""
+    width = len(vectors[0]) // (8 * parts) if vectors else 0
+    return np.frombuffer(b"".join(vectors), "<i8").reshape(len(vectors), parts, width).transpose(1, 0, 2)
+
+
 def pieces(column: pa.Array, parts: int) -> np.ndarray:
     """Integers as positions, rows and components; Python's integers where 64 bits might not do."""
-    data = column.to_pylist()
-    x = np.frombuffer(b"".join(data), "<i8").reshape(len(data), parts, -1).transpose(1, 0, 2)
+    x = parted(column.to_pylist(), parts)
     return x.astype(object) if x.size and max(-int(x.min()), int(x.max())) >= SMALL else x
 
 
@@ -85,7 +90,7 @@ def neighbours(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every entry of a codebook all entries by distance from it, itself first, and those squared distances."""
     wide = entries.astype(object) if entries.size and max(-int(entries.min()), int(entries.max())) >= SMALL else entries
     apart = squares(wide[:, None], wide[None, :])
-    order = np.stack([sorted(range(len(wide)), key=lambda j, i=i: (apart[i, j], j != i, j)) for i in range(len(wide))])
+    order = np.array([sorted(range(len(wide)), key=lambda j, i=i: (apart[i, j], j != i, j)) for i in range(len(wide))], np.int64).reshape(apart.shape)
     return order, np.take_along_axis(apart, order, axis=1)
 
 
@@ -122,8 +127,7 @@ def orchard(queries: np.ndarray, entries: np.ndarray, lists: tuple[np.ndarray, n
 def first_entries(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> np.ndarray:
     """The parts of the vectors of the smallest ids."""
     first = rows.orderBy(F.asc_nulls_last("vec_id"), "x").select("x").limit(entries).collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in first), "<i8").reshape(len(first), parts, -1)
-    return np.ascontiguousarray(x.transpose(1, 0, 2))
+    return np.ascontiguousarray(parted([bytes(r["x"]) for r in first], parts))
 
 
 def refined(rows: DataFrame, entries: np.ndarray) -> np.ndarray:
@@ -152,7 +156,7 @@ def refined(rows: DataFrame, entries: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Codebooks:
     books = first_entries(rows, parts, entries)
-    for _ in range(rounds if books.size else 0):
+    for _ in range(rounds if books.size else 0):  # nothing to refine without components
         books = refined(rows, books)
     return Codebooks(books)
 

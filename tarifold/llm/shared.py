@@ -101,10 +101,10 @@ def block_of(id_column: str, bounds: list[int]) -> Column:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of a column, and where each starts (one more at the end). No null may be left in it."""
+    """Bytes of all texts or binaries of a column, and where each starts (one more at the end). No null may be left in it."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=n + 1 + column.offset)[column.offset:] if n else np.zeros(1, np.int64)
     data = column.buffers()[2]
@@ -113,7 +113,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about `most` bytes of text; a longer text is a part of its own."""
+    """Parts of a batch with about `most` bytes of text (or of a binary column); a longer text is a part of its own."""
     if not batch.num_rows:
         return
     _, offsets = utf8(batch.column(column))
