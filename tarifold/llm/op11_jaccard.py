@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifold.llm.op10_near import components, shingles, sieve
-from tarifold.llm.shared import drop_stored, mix, ragged, slices, store, text_of, utf8
+from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, slices, store, text_of, utf8
 
 SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 256, 2048
-#: Bytes of sets that a task holds at once.
-SETS_BYTES = 1 << 21
+#: Bytes of sets that a task unpacks at once; rows with sets, and blocks, that go to Python at once.
+SETS_BYTES, SETS_BATCH, BLOCKS_BATCH = 1 << 21, 256, 2
 WIDTH = 6  # bytes of an element
 LEAST_BITS, BITS_EACH = 64, 8
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -302,27 +302,32 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     reps = store(reps.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
     drop_stored(signed)
+    free_exchanges(docs.sparkSession)
     scratch: list[DataFrame] = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(store(df, name))
+    def kept(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        scratch.append(store(df, name, batch))
         return scratch[-1]
 
     found = entries(reps)
-    heads = kept(found.groupBy("key").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "jaccard-heads")
-    crowded = kept(found.where(sieve(heads, F.xxhash64("key"))(F.xxhash64("key"))).join(heads, "key"), "jaccard-keys")
+    heads = kept(found.groupBy("key").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "jaccard-heads", SETS_BATCH)
+    free_exchanges(docs.sparkSession)
+    crowded = kept(found.where(sieve(heads, F.xxhash64("key"))(F.xxhash64("key"))).join(heads, "key"), "jaccard-keys", SETS_BATCH)
+    free_exchanges(docs.sparkSession)
     wanted = crowded.select("nid").distinct()
-    signs = kept(bitmaps(reps.select("nid", "elements").join(wanted, "nid", "left_semi")), "jaccard-bitmaps")
+    signs = kept(bitmaps(reps.select("nid", "elements").join(wanted, "nid", "left_semi")), "jaccard-bitmaps", SETS_BATCH)
     others = crowded.where("nid <> head")
     tried = kept(others.groupBy(F.col("nid").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "jaccard-pairs")
     connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
     groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))), "jaccard-groups")
-    links = kept(verified(kept(possible(tried, signs), "jaccard-pairs"), reps), "jaccard-links")
+    links = kept(verified(kept(possible(tried, signs), "jaccard-pairs", SETS_BATCH), reps), "jaccard-links", SETS_BATCH)
+    free_exchanges(docs.sparkSession)
     roots = store(roots_of(links), "jaccard-roots")
     closest = True
     while True:
-        pairs = kept(searched(groups, roots, signs, tried, closest), "jaccard-pairs")
-        more = kept(verified(pairs, reps), "jaccard-links")
+        pairs = kept(searched(groups, roots, signs, tried, closest), "jaccard-pairs", BLOCKS_BATCH)
+        more = kept(verified(pairs, reps), "jaccard-links", SETS_BATCH)
+        free_exchanges(docs.sparkSession)
         tried = tried.unionByName(pairs)
         linked_any = not more.isEmpty()
         if linked_any:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 import tempfile
@@ -35,11 +36,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def store(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    batch: rows that go to Python at once, for functions over rows so large that the session's number of them wouldn't fit."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    if batch is not None:
+        spark.conf.set(key, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -68,6 +78,12 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def free_exchanges(spark: SparkSession) -> None:
+    """Let Spark delete the exchange files of queries that are over: it does so when the driver's JVM collects their plans."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
