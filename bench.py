@@ -1,14 +1,17 @@
 """Benchmark of the headline queries: one JSON line with seconds per query.
 
 Every query runs whole and its full result is consumed by the no-op sink. The first run of each query includes
-planning and code generation; the recorded time is the second run.
+planning and code generation; the recorded time is the second run. The given tables are files of one row group each, so
+a scan of one would be a single task; outside the timing they are written once as FILES files, as a landing has them.
 """
 
 from __future__ import annotations
 
 import json
+import glob
 import os
 import sys
+import tempfile
 import time
 
 from tarifold.plans import load_all
@@ -23,17 +26,29 @@ HEADLINE = (
 )
 
 
+FILES = 32
+
+
+def landed(spark, sf_dir: str) -> str:
+    """The tables of the folder, each as many files."""
+    folder = tempfile.mkdtemp(prefix="bench-")
+    for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
+        spark.read.parquet(path).repartition(FILES).write.parquet(f"{folder}/{os.path.basename(path)}")
+    return folder
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench")
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
+    tables = landed(spark, sf_dir)
     times: dict[str, float] = {}
     for name in HEADLINE:
         for _ in range(2):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
         print(name, times[name], file=sys.stderr)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()

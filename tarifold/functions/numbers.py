@@ -8,12 +8,18 @@ from tarifold import vocab
 from tarifold.functions.cases import mapped
 
 
+# A number and its suffix; blanks may stand around the number only if there is a suffix.
+_QUANTITY = (r"^(?=[^ ]|.*[KMGTPkmgtp]$)[ ]*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
+             r"(?:[ ]*([KMGTPkmgtp]))?$")
+
+
 def quantity(text: Column) -> Column:
-    """Number with an optional decimal suffix K, M, G, T or P in either case; null when it is not a number."""
-    scale = mapped(F.upper(F.right(text, F.lit(1))), vocab.QUANTITY_SUFFIX)
-    body = F.when(scale.isNull(), text).otherwise(F.trim(F.left(text, F.length(text) - 1)))
-    number = F.when(body.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), body)
-    return number.try_cast("double") * F.coalesce(scale, F.lit(1.0))
+    """Number with an optional decimal suffix K, M, G, T or P in either case; null when it is not a number.
+
+    The text is used twice only: many quantities in one projection shall stay a small method.
+    """
+    number = F.regexp_extract(text, _QUANTITY, 1).try_cast("double")
+    return number * mapped(F.upper(F.regexp_extract(text, _QUANTITY, 2)), {"": 1.0, **vocab.QUANTITY_SUFFIX})
 
 
 def units_nanos(units: Column, nanos: Column) -> Column:

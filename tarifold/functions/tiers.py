@@ -88,3 +88,42 @@ def walk_tiers(entries: Column, volume: Column) -> Column:
 
     cost = F.aggregate(entries, start, step, lambda s: s["cost"])
     return F.when((volume <= 0) | (F.size(entries) == 0), F.lit(0.0)).otherwise(cost)
+
+
+def tier_index(entries: Column) -> Column:
+    """The tier walk prepared once: array of (start, cost, amount) by position, the cost of all before a start summed up.
+
+    A volume's cost is then the cost at the last start below it and its rest at that place's amount. A last place of
+    amount 0 follows bounded tiers, whose rest is free. Bounds must be readable and no tier may end below its start.
+    """
+    state = F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("cost"),
+                     F.expr("CAST(array() AS array<struct<start:double,cost:double,amount:double>>)").alias("places"))
+
+    def step(s: Column, tier: Column) -> Column:
+        place = F.struct(s["start"].alias("start"), s["cost"].alias("cost"), tier["amount"].alias("amount"))
+        width = tier["upper"] - tier["lower"]
+        ends = width == F.lit(UNBOUNDED)
+        return F.struct((s["start"] + width).alias("start"),
+                        F.when(ends, s["cost"]).otherwise(s["cost"] + width * tier["amount"]).alias("cost"),
+                        F.concat(s["places"], F.array(place)).alias("places"))
+
+    def done(s: Column) -> Column:
+        end = F.struct(s["start"].alias("start"), s["cost"].alias("cost"), F.lit(0.0).alias("amount"))
+        return F.filter(F.concat(s["places"], F.array(end)), lambda p: p["start"] < F.lit(UNBOUNDED))
+
+    return F.aggregate(entries, state, step, done)
+
+
+def bad_tiers(entries: Column) -> Column:
+    """Whether a bound is unreadable or a tier ends below its start."""
+    return F.exists(entries, lambda e: e["lower"].isNull() | e["upper"].isNull() | (e["upper"] < e["lower"]))
+
+
+def probe(index: Column, volume: Column, places: int) -> Column:
+    """Cost of a volume by a tier index of at most so many places: comparisons and one product, no loop over an array."""
+    cost = None
+    for k in reversed(range(places)):
+        place = F.get(index, F.lit(k))
+        value = place["cost"] + (volume - place["start"]) * place["amount"]
+        cost = F.when(volume > place["start"], value) if cost is None else cost.when(volume > place["start"], value)
+    return F.lit(0.0) if cost is None else cost.otherwise(0.0)

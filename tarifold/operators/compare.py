@@ -257,9 +257,12 @@ def capable_models(rows: DataFrame, capabilities: list[str], max_input: float =
                    max_output: float = 0.0) -> DataFrame:
     """Model rows that have every capability and fit the input and output price budget."""
     keep = [F.array_contains("resource_attrs.capabilities", c) for c in capabilities]
+
+    def cheapest(dimension: str) -> Column:
+        return F.array_min(F.filter("prices", lambda p: p["dimension"] == dimension)["amount"])
+
     for dimension, budget in (("prompt", max_input), ("completion", max_output)):
         if budget > 0:
-            amounts = F.filter("prices", lambda p, d=dimension: p["dimension"] == d)["amount"]
-            keep.append(F.array_min(amounts) <= budget)
+            keep.append(cheapest(dimension) <= budget)
     keep.append(F.col("kind").startswith("llm."))
     return rows.filter(reduce(lambda a, b: a & b, keep))

@@ -1,48 +1,17 @@
-"""Bulk cost estimation: a table of workload items against the catalog.
-
-The catalog is first reduced to one summary row per name an item can ask for, then the items join the summaries.
-No item ever meets more than one row, so the output is as large as the input however popular a name is. Prices stay
-in their array on the row and the tier walk runs over that array, so pricing itself needs no shuffle.
-"""
+"""Bulk cost estimation: a table of workload items against the catalog. The rules of the kinds are in `estimators`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarifold import vocab
 from tarifold.functions.cases import first_case, mapped
-from tarifold.functions.numbers import quantity, significant
-from tarifold.functions.terms import terms_hash
-from tarifold.functions.tiers import BYTE_BOUNDS, COUNT_BOUNDS, UNBOUNDED, has_bad_bound, walk_tiers
-from tarifold.operators.compare import extra_field
-from tarifold.operators.rows import sorted_prices
+from tarifold.functions.numbers import significant
+from tarifold.operators.estimators import KINDS, estimators, priced_kind
 
-# Units and dimension names the price rules recognise, and defaults.
-HOURLY_UNITS = ("hour", "hrs", "hr")
-HOURS_PER_MONTH = 730.0
-PUT_DIMENSIONS = ("requests-put", "write-ops")
-GET_DIMENSIONS = ("requests-get", "read-ops")
-PROMPT_DIMENSIONS = ("prompt", "input", "input_tokens")
-COMPLETION_DIMENSIONS = ("completion", "output", "output_tokens")
-EDGE_FALLBACK_BYTES = {"aws/cloudfront": 10e12}
-SPANNER_EDITIONS = ("standard", "enterprise", "enterprise-plus")
-WAREHOUSE_RESOURCES = ("on-demand", "capacity-standard", "capacity-enterprise", "capacity-enterprise-plus",
-                       "storage-active", "storage-long-term")
-# Estimator kind -> catalog kind.
-CATALOG_KINDS = {
-    "compute.vm": "compute.vm",
-    "storage.object": "storage.object",
-    "db.relational.aurora": "db.relational",
-    "db.relational.spanner": "db.relational",
-    "db.nosql.cosmos": "db.nosql",
-    "search.engine.opensearch": "search.engine",
-    "paas.app.appservice": "paas.app",
-    "warehouse.query.bigquery": "warehouse.query",
-    "messaging.queue": "messaging.queue",
-    "dns.zone": "dns.zone",
-    "api.gateway": "api.gateway",
-    "network.cdn": "network.cdn",
-}
+#: A list of key=value parameters, and one that names a key twice.
+_PAIRS = r"^[^:=]+=[^:]*(?::[^:=]+=[^:]*)*\z"
+_REPEATED = r"(?s):([^:=]+)=.*:\1="
 
 
 # --- items -----------------------------------------------------------------------------------------------------
@@ -54,23 +23,22 @@ def _kind_of(provider: Column, service: Column) -> Column:
 def parse_items(lines: DataFrame, raw: str = "raw", index: str = "item_index") -> DataFrame:
     """Items from text: `provider/service:resource[:key=value...]` or `llm:model[:key=value...]`.
 
-    A line that does not parse keeps its position and carries an error instead of stopping the job.
+    A line that does not parse keeps its position and carries an error instead of stopping the job. The index may be a
+    struct that names the line; numbers become bigint.
     """
-    segments = F.split(F.coalesce(F.col(raw), F.lit("")), ":")
-    df = lines.select(F.col(index).cast("bigint").alias("item_index"), F.col(raw).alias("raw"),
-                      segments.alias("_seg"))
+    text = F.coalesce(F.col("raw"), F.lit(""))
+    named = isinstance(lines.schema[index].dataType, T.StructType)
+    # As a generator's output the text is computed once, and conditions on what is read from it stay above it.
+    line = F.struct((F.col(index) if named else F.col(index).cast("bigint")).alias("item_index"), F.col(raw).alias("raw"))
+    df = lines.select(F.array(line).alias("line")).select(F.inline("line")).withColumns(
+        {"_first": F.instr(text, ":"), "_text": text})
+    df = df.withColumns({"_head": F.expr("IF(_first = 0, _text, substring(_text, 1, _first - 1))"),
+                         "_rest": F.expr("IF(_first = 0, NULL, substring(_text, _first + 1))")})
     df = df.withColumns({
-        "_head": F.get("_seg", F.lit(0)), "resource": F.get("_seg", F.lit(1)),
-        "_pairs": F.slice("_seg", 3, F.greatest(F.size("_seg") - 2, F.lit(0))),
-    })
-    head, resource = F.col("_head"), F.col("resource")
-    df = df.withColumns({
-        "_cut": F.instr(head, "/"), "_llm": F.lower(head) == "llm",
-        "_at": F.transform("_pairs", lambda s: F.instr(s, "=")),
-        "_keys": F.transform("_pairs", lambda s: F.lower(F.substring_index(s, "=", 1))),
-        "_values": F.transform("_pairs", lambda s: F.substr(s, F.instr(s, "=") + 1)),
-    })
-    llm, cut = F.col("_llm"), F.col("_cut")
+        "resource": F.substring_index("_rest", ":", 1),
+        "_tail": F.expr("CASE WHEN instr(_rest, ':') > 0 THEN substring(_rest, instr(_rest, ':') + 1) END"),
+        "_cut": F.instr("_head", "/"), "_llm": F.lower("_head") == "llm"})
+    head, resource, llm, cut, tail = (F.col(c) for c in ("_head", "resource", "_llm", "_cut", "_tail"))
     df = df.withColumns({
         "provider": F.when(llm, "llm").otherwise(F.lower(F.substring_index(head, "/", 1))),
         "service": F.when(llm, "text").otherwise(F.lower(F.substr(head, cut + 1))),
@@ -78,17 +46,19 @@ def parse_items(lines: DataFrame, raw: str = "raw", index: str = "item_index") -
     df = df.withColumn("kind", F.when(llm, "llm.text").otherwise(_kind_of(F.col("provider"), F.col("service"))))
     error = first_case([
         (F.coalesce("raw", F.lit("")) == "", "empty item"),
-        (F.size("_seg") < 2, "item has no resource"),
+        (F.col("_first") == 0, "item has no resource"),
         (~llm & ((cut <= 1) | (cut == F.length(head))), "first segment must be provider/service"),
         (resource == "", F.when(llm, "empty model").otherwise("empty resource")),
         (F.col("kind").isNull(), "unsupported provider/service"),
-        (F.exists("_at", lambda at: at <= 1), "parameter must be key=value"),
-        (F.size(F.array_distinct("_keys")) < F.size("_keys"), "duplicate parameter"),
+        (~tail.rlike(_PAIRS), "parameter must be key=value"),
+        (F.concat(F.lit(":"), F.lower(tail)).rlike(_REPEATED), "duplicate parameter"),
     ])
     df = df.withColumn("error", error)
-    return df.select("item_index", "raw", "provider", "service", "resource", "kind",
-                     F.when(F.col("error").isNull(), F.map_from_arrays("_keys", "_values")).otherwise(
-                         F.create_map().cast("map<string,string>")).alias("params"), "error")
+    # keys in lower case, values as they are; both maps keep the order of the text
+    params = F.expr("""CASE WHEN error IS NULL AND _tail IS NOT NULL THEN map_from_arrays(
+        map_keys(str_to_map(lower(_tail), ':', '=')), map_values(str_to_map(_tail, ':', '=')))
+        ELSE CAST(map() AS map<string,string>) END""")
+    return df.select("item_index", "raw", "provider", "service", "resource", "kind", params.alias("params"), "error")
 
 
 def workload_items(documents: DataFrame, json: str = "value") -> DataFrame:
@@ -125,431 +95,39 @@ def workload_items(documents: DataFrame, json: str = "value") -> DataFrame:
     )
 
 
-# --- lookup keys -----------------------------------------------------------------------------------------------
-#
-# An item asks for its catalog rows under one name: kind, provider, service, resource, region and terms. Terms take
-# part as text, which is equal exactly when their hashes are, so items need no hashing. A condition an item does not
-# set is an empty string in its name, and rows also answer to the names without it.
-
-_NAME = ("kind", "provider", "service", "resource", "region", "terms")
-_Q = [f"q_{n}" for n in _NAME]
-_J = [f"j_{n}" for n in _NAME]
-
-
-def _param(name: str, default: str = "") -> Column:
-    return F.expr(f"CASE WHEN coalesce(params['{name}'], '') = '' THEN '{default}' ELSE params['{name}'] END")
-
-
-def _terms_text(commitment: Column | str, tenancy: Column, os: Column, *rest: Column) -> Column:
-    commitment = F.lit(commitment) if isinstance(commitment, str) else commitment
-    return F.concat_ws("|", commitment, tenancy, os, *(rest or (F.lit("||"),)))
-
-
-def _with_names(items: DataFrame) -> DataFrame:
-    """Add the name every item asks for."""
-    kind, resource = F.col("kind"), F.col("resource")
-    serverless, serverless_v2 = resource == "serverless", resource == "serverless-v2"
-    opensearch = kind == "search.engine.opensearch"
-    q_resource = (
-        F.when((kind == "db.relational.aurora") & serverless_v2, "aurora-serverless-v2")
-        .when(opensearch & serverless, "opensearch-serverless")
-        .when(kind == "db.relational.spanner", F.concat(F.lit("spanner-"), resource))
-        .when(kind == "db.nosql.cosmos", F.concat(F.lit("cosmos-"), resource))
-        .otherwise(resource)
-    )
-    tenancy = (
-        F.when(kind == "compute.vm", _param("tenancy", "shared"))
-        .when(kind == "db.relational.aurora", _param("engine", "aurora-postgres"))
-        .when(kind == "db.relational.spanner", F.concat(F.lit("spanner-"), resource))
-        .when(kind == "db.nosql.cosmos", _param("api", "sql"))
-        .when(opensearch, "shared").otherwise("")
-    )
-    os = (
-        F.when(kind == "compute.vm", _param("os", "linux"))
-        .when(kind == "db.relational.aurora", "single-az").when(kind == "db.nosql.cosmos", resource)
-        .when(opensearch, F.when(serverless, "serverless").otherwise("managed-cluster")).otherwise("")
-    )
-    commitment = F.when(kind == "compute.vm", _param("commitment", "on_demand")).otherwise("on_demand")
-    q_terms = (
-        F.when(kind == "llm.text", "")
-        .when(kind == "paas.app.appservice", F.concat_ws(",", _param("os", "linux"), F.nullif(_param("tier"), F.lit(""))))
-        .when(kind == "warehouse.query.bigquery", "on-demand").otherwise(_terms_text(commitment, tenancy, os)))
-    llm = kind == "llm.text"
-    names = {
-        "q_kind": mapped(kind, {**CATALOG_KINDS, "llm.text": "llm"}),
-        "q_provider": F.when(llm, F.lower(_param("serving_provider"))).otherwise(F.col("provider")),
-        "q_service": F.when(llm, "").otherwise(F.col("service")),
-        "q_resource": q_resource,
-        "q_region": F.when(llm, "").when(kind == "dns.zone", _param("region", "global")).otherwise(_param("region")),
-        "q_terms": q_terms,
-        "q_mode": F.when(kind == "network.cdn", _param("mode", "edge-egress")),
-    }
-    # Never null, so no null filter is inferred on a name and pushed down over the item text.
-    return items.withColumns({name: F.coalesce(value, F.lit("")) for name, value in names.items()})
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """Catalog rows under every name that reaches them.
-
-    A model answers by provider and, unless it is the synthetic aggregate, without one; an app plan with and without
-    its tier; every other row has one name. So a single equi-join on the name serves all kinds.
-    """
-    terms, kind, empty = F.col("terms"), F.col("kind"), F.lit("")
-
-    def name(k, provider, service, region, text) -> Column:
-        return F.struct(k.alias("j_kind"), provider.alias("j_provider"), service.alias("j_service"),
-                        region.alias("j_region"), text.alias("j_terms"))
-
-    def cloud(text: Column) -> Column:
-        return name(kind, F.col("provider"), F.col("service"), F.col("region"), text)
-    by_provider = name(F.lit("llm"), F.col("provider"), empty, empty, empty)
-    on_demand = terms["commitment"] == "on_demand"
-    none = F.slice(F.array(by_provider), 1, 0)
-    names = first_case([
-        (kind.startswith("llm.") & (F.col("provider") == "openrouter"), F.array(by_provider)),
-        (kind.startswith("llm."), F.array(by_provider, name(F.lit("llm"), empty, empty, empty, empty))),
-        (kind == "paas.app", F.when(on_demand & (F.coalesce(terms["support_tier"], empty) != ""), F.array(
-            cloud(terms["os"]), cloud(F.concat_ws(",", terms["os"], terms["support_tier"])))).when(
-                on_demand, F.array(cloud(terms["os"]))).otherwise(none)),
-        (kind == "warehouse.query", F.when(on_demand & (terms["tenancy"] == "shared"),
-                                           F.array(cloud(terms["os"]))).otherwise(none)),
-    ], F.array(cloud(_terms_text(terms["commitment"], terms["tenancy"], terms["os"], *(
-        F.coalesce(terms[f], empty) for f in ("support_tier", "upfront", "payment_option"))))))
-    named = rows.select(
-        names.alias("names"), F.col("resource_name").alias("j_resource"), "kind",
-        F.struct("sku_id", "provider", "service", "resource_name", "region", sorted_prices().alias("prices"),
-                 extra_field("mode").alias("extra_mode"), extra_field("sku").alias("extra_sku")).alias("row"))
-    return named.select(F.inline("names"), "j_resource", "kind", "row")
-
-
-def _summaries(rows: DataFrame) -> DataFrame:
-    """One row per name: how many catalog rows it reaches and which of them is priced.
-
-    Aggregates with map-side combine, so a name that reaches a third of the catalog is no hot spot. Edge rows are
-    first reduced per mode; modes are a closed vocabulary, so gathering one row for each is bounded.
-    """
-    cand = _candidates(rows)
-    prices = F.col("row.prices")
-
-    def cheapest(*units: str) -> Column:
-        fits = F.filter(prices, lambda p: (p["dimension"] == "compute") & p["unit"].isin(*units) & (p["amount"] > 0))
-        return F.coalesce(F.array_min(fits["amount"]), F.lit(float("inf")))
-    place = [F.col("row.region").alias("region"), F.col("row.sku_id").alias("sku_id")]
-    rank = F.struct(
-        F.when((F.col("kind") == "db.relational") & (F.col("j_resource") == "aurora-serverless-v2"), cheapest("acu-hr"))
-         .when((F.col("kind") == "db.relational") & (F.col("row.service") == "aurora"), cheapest(*HOURLY_UNITS))
-         .otherwise(0.0).alias("rank"), *place)
-    ocu = (F.col("kind") == "search.engine") & F.exists(prices, lambda p: p["dimension"] == "compute-ocu")
-    mode = F.when(F.col("kind") == "network.cdn", F.coalesce("row.extra_mode", F.lit(""))).otherwise("")
-    per_mode = cand.withColumns({"mode": mode, "rank": rank}).groupBy(*_J, "mode").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"),
-        F.max_by(F.when(ocu, F.col("row")), F.when(ocu, F.struct(*place))).alias("ocu"),
-        F.max(F.when(ocu, F.struct(*place))).alias("ocu_rank"))
-    return per_mode.groupBy(*_J).agg(
-        F.sum("n").alias("n_rows"), F.min_by("row", "rank").alias("r"), F.max_by("ocu", "ocu_rank").alias("ocu_row"),
-        F.map_from_entries(F.collect_list(F.when(F.col("j_kind") == "network.cdn", F.struct("mode", "row")))
-                           ).alias("by_mode"))
-
-
-def _base_fees(rows: DataFrame) -> DataFrame:
-    """Flat fee of an edge plan: the prices of its global base-fee row, found by the plan token in its extras."""
-    total = F.aggregate("prices", F.lit(0.0), lambda acc, p: acc + p["amount"])
-    on_demand = terms_hash(F.lit("on_demand"), *(F.lit("") for _ in range(5)))
-    return (rows.filter((F.col("kind") == "network.cdn") & (F.col("region") == "global")
-                        & (extra_field("mode") == "base-fee") & (F.col("terms_hash") == on_demand))
-            .groupBy(F.col("provider").alias("f_provider"), F.col("service").alias("f_service"),
-                     F.col("resource_name").alias("f_resource"), extra_field("sku").alias("f_sku"))
-            .agg(F.sum(total).alias("base_fee")))
-
-
-# --- pricing ---------------------------------------------------------------------------------------------------
-#
-# Pricing runs in stages of small expressions. First every item gets a rule: which prices of its row count
-# (dimensions, units, tier) and which of those wins (first, cheapest, last). Then the rule is applied to the price
-# array once, and the last stage only combines numbers.
-
-# These recur all over the rules, so they are written as SQL text: one expression, parsed in one call.
-
-def _texts(*names: str) -> Column:
-    return F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")") if names else F.expr(
-        "CAST(array() AS array<string>)")
-
-
-def _has(name: str) -> Column:
-    return F.expr(f"coalesce(params['{name}'], '') <> ''")
-
-
-def _n(name: str, default: float = 0.0) -> Column:
-    """Numeric parameter: its default when not given, null when unreadable."""
-    return F.expr(f"CASE WHEN params['{name}'] IS NULL THEN {default}D ELSE n['{name}'] END")
-
-
-def _bad(name: str, minimum: float = 0.0) -> Column:
-    """Error text of a parameter that is given but unreadable or too small."""
-    return F.expr(f"CASE WHEN params['{name}'] IS NOT NULL AND coalesce(n['{name}'] < {minimum}D, true) "
-                  f"THEN '{name} is not a number of at least {minimum:g}' END")
-
-
-def _with_rule(joined: DataFrame) -> DataFrame:
-    """Add the parsed numbers `n` and the price rule of each item."""
-    kind, resource = F.col("kind"), F.col("resource")
-    serverless, serverless_v2 = resource == "serverless", resource == "serverless-v2"
-    opensearch = kind == "search.engine.opensearch"
-    metered = (F.when(_has("ops") | _has("tib"), "").when(_has("tu_hours"), "tu_hour")
-               .when(_has("ppu_hours"), "ppu_hour").when(_has("mu_hours"), "mu_hour").otherwise(""))
-    dimensions = (
-        F.when(kind.isin("compute.vm", "db.relational.aurora", "db.relational.spanner"), _texts("compute"))
-        .when(kind == "storage.object", _texts("storage")).when(kind == "llm.text", _texts(*PROMPT_DIMENSIONS))
-        .when(kind == "db.nosql.cosmos", F.array(resource))
-        .when(opensearch & serverless, _texts("compute-ocu"))
-        .when(kind == "messaging.queue", F.array(metered)).when(kind == "api.gateway", _texts("unit_hour"))
-        .when(kind == "network.cdn", _texts("egress")).otherwise(_texts())
-    )
-    units = (
-        F.when(kind == "db.relational.aurora", F.when(serverless_v2, _texts("acu-hr")).otherwise(_texts(*HOURLY_UNITS)))
-        .when((kind == "compute.vm") | (kind == "paas.app.appservice") | opensearch & ~serverless,
-              _texts(*HOURLY_UNITS))
-        .when(kind == "warehouse.query.bigquery", F.when(resource == "on-demand", _texts("tb"))
-              .when(resource.startswith("capacity-"), _texts("slot-hour")).otherwise(_texts("gb-month")))
-        .otherwise(_texts())
-    )
-    pick = (
-        F.when(kind.isin("db.relational.aurora", "paas.app.appservice") | opensearch & ~serverless, "cheapest")
-        .when(kind.isin("storage.object", "llm.text") | opensearch, "last").otherwise("first")
-    )
-    first_tier = kind.isin("messaging.queue", "api.gateway", "network.cdn")
-    second = (F.when(kind == "storage.object", _texts(*PUT_DIMENSIONS))
-              .when(kind == "llm.text", _texts(*COMPLETION_DIMENSIONS)).otherwise(_texts()))
-    walk = (F.when(kind == "messaging.queue", F.when(_has("ops"), _texts("request", "call", "event"))
-                   .when(_has("tib"), _texts("throughput")).otherwise(_texts()))
-            .when(kind == "api.gateway", _texts("request", "call"))
-            .when(kind == "dns.zone", _texts("hosted_zone")).otherwise(_texts()))
-    return joined.withColumns({
-        "n": F.transform_values("params", lambda k, v: quantity(v)),
-        "row": F.when(opensearch & serverless, F.col("ocu_row")).otherwise(F.col("r")),
-        "rule": F.struct(dimensions.alias("dimensions"), units.alias("units"), first_tier.alias("first_tier"),
-                         pick.alias("pick"), second.alias("second"), walk.alias("walk")),
-    })
-
-
-def _bound(token: Column, is_bytes: Column) -> Column:
-    """Tier bound by literal table: empty is unbounded, then the tokens of the domain, then plain numbers."""
-    known = F.when(is_bytes, mapped(token, BYTE_BOUNDS)).otherwise(mapped(token, COUNT_BOUNDS))
-    return F.when(F.coalesce(token, F.lit("")) == "", F.lit(UNBOUNDED)).otherwise(
-        F.coalesce(known, token.try_cast("double")))
-
-
-def _with_bounds(priced: DataFrame) -> DataFrame:
-    """Price array with numeric bounds, in presentation order."""
-    is_bytes = F.col("kind") == "network.cdn"
-    return priced.withColumn("p", F.transform("row.prices", lambda p: F.struct(
-        p["dimension"], p["unit"], p["tier"], p["amount"], _bound(p["tier"], is_bytes).alias("lower"),
-        _bound(p["tier_upper"], is_bytes).alias("upper"))))
-
-
-def _with_picks(priced: DataFrame) -> DataFrame:
-    """Apply the rule: the priced entry, the second and third flat amounts, and the tiers to walk."""
-    rule = F.col("rule")
-
-    def within(names: Column, value: Column) -> Column:
-        return (F.size(names) == 0) | F.array_contains(names, value)
+# --- estimates -------------------------------------------------------------------------------------------------
 
-    fits = F.filter("p", lambda p: within(rule["dimensions"], p["dimension"]) & within(rule["units"], p["unit"])
-                    & (~rule["first_tier"] | (p["tier"] == "0")))
-    used = F.coalesce(F.get(F.filter(rule["walk"], lambda d: F.exists("p", lambda p: p["dimension"] == d)),
-                            F.lit(0)), F.lit(""))
+_LINE_TYPES = ("string",) * 5 + ("double", "double", "string", "double", "array<string>")
+_LINE = ("sku_id", "provider", "service", "resource", "region", "hourly_usd", "quantity", "quantity_unit", "monthly_usd",
+         "notes")
 
-    def tiers(dimension: Column) -> Column:
-        return F.array_sort(F.transform(F.filter("p", lambda p: p["dimension"] == dimension),
-                                        lambda p: F.struct(p["lower"], p["upper"], p["amount"])))
 
-    def last(names: Column) -> Column:
-        return F.try_element_at(F.filter("p", lambda p: F.array_contains(names, p["dimension"])), F.lit(-1))["amount"]
-
-    staged = priced.withColumns({"fits": fits, "walk_dimension": used})
-    positive = F.transform(F.filter("fits", lambda p: p["amount"] > 0), lambda p: F.struct(
-        p["amount"].alias("amount"), p["unit"].alias("unit"), p["upper"].alias("upper")))
-    shown = F.transform("fits", lambda p: F.struct(
-        p["amount"].alias("amount"), p["unit"].alias("unit"), p["upper"].alias("upper")))
-    return staged.withColumns({
-        "hit": F.when(rule["pick"] == "cheapest", F.array_min(positive))
-                .when(rule["pick"] == "last", F.try_element_at(shown, F.lit(-1)))
-                .otherwise(F.get(shown, F.lit(0))),
-        "second": last(rule["second"]),
-        "third": F.when(F.col("kind") == "storage.object", last(_texts(*GET_DIMENSIONS))),
-        "tiers": tiers(F.col("walk_dimension")),
-        "more_tiers": F.when(F.col("kind") == "dns.zone", tiers(F.lit("query"))),
-        "has_unit_hour": F.exists("p", lambda p: p["dimension"] == "unit_hour"),
-    })
-
-
-def _with_volumes(priced: DataFrame) -> DataFrame:
-    """Add the quantity to bill, its unit and the volume to walk."""
-    kind, resource = F.col("kind"), F.col("resource")
-    hours, count = _n("hours", HOURS_PER_MONTH), _n("count", 1.0)
-    serverless = resource == "serverless"
-    unit_hour = (kind == "api.gateway") & F.col("has_unit_hour")
-    hit_unit = F.col("hit.unit")
-    quantity_of = (
-        F.when(kind == "storage.object", _n("gb_month")).when(kind == "llm.text", _n("input") + _n("output"))
-        .when((kind == "db.relational.aurora") & (resource == "serverless-v2"), _n("acu_hours"))
-        .when(kind == "db.relational.spanner",
-              F.when(_n("pu") != 0, _n("pu")).otherwise(_n("node") * 1000) * hours)
-        .when(kind == "db.nosql.cosmos", F.when(serverless, _n("ru_million")).otherwise(_n("ru_per_sec") * hours))
-        .when((kind == "search.engine.opensearch") & serverless, _n("ocu_hours"))
-        .when(kind == "warehouse.query.bigquery", F.when(resource == "on-demand", _n("tb_queried"))
-              .when(resource.startswith("capacity-"), _n("slots") * hours).otherwise(_n("gb_month")))
-        .when(kind == "messaging.queue", F.when(_has("ops"), _n("ops")).when(_has("tib"), _n("tib"))
-              .when(_has("tu_hours"), _n("tu_hours")).when(_has("ppu_hours"), _n("ppu_hours"))
-              .otherwise(_n("mu_hours")))
-        .when(unit_hour, _n("units", 1.0) * hours).when(kind == "api.gateway", _n("requests"))
-        .when(kind == "dns.zone", F.lit(None).cast("double")).when(kind == "network.cdn", _n("gb"))
-        .otherwise(hours * count)
-    )
-    unit = (
-        F.when(kind == "storage.object", "gb-mo").when(kind == "llm.text", "token")
-        .when(kind == "db.relational.spanner", "pu-hour")
-        .when(kind == "db.nosql.cosmos", F.when(serverless, "1M-ru").otherwise("ru/s-hour"))
-        .when((kind == "search.engine.opensearch") & serverless, "ocu-hour")
-        .when(kind == "messaging.queue", F.when(_has("ops"), F.col("walk_dimension")).when(_has("tib"), "tib-mo")
-              .when(_has("tu_hours"), "tu-hr").when(_has("ppu_hours"), "ppu-hr").otherwise("mu-hr"))
-        .when(unit_hour, "unit-hr").when(kind == "api.gateway", F.col("walk_dimension"))
-        .when(kind == "dns.zone", F.lit(None).cast("string")).when(kind == "network.cdn", "gb").otherwise(hit_unit)
-    )
-    volume = (F.when(kind == "messaging.queue", F.when(_has("ops"), _n("ops")).otherwise(_n("tib") * 1024.0))
-              .when(kind == "api.gateway", _n("requests")).when(kind == "dns.zone", _n("zones")))
-    edge = F.col("hit.upper")
-    for name, fallback in EDGE_FALLBACK_BYTES.items():
-        edge = F.when((edge == UNBOUNDED) & (F.concat_ws("/", "provider", "service") == name),
-                      F.lit(fallback)).otherwise(edge)
-    return priced.withColumns({
-        "qty": quantity_of, "qty_unit": unit, "edge_bound": F.when(kind == "network.cdn", edge),
-        "walked": walk_tiers(F.col("tiers"), F.coalesce(volume, F.lit(0.0))),
-        "walked_more": walk_tiers(F.col("more_tiers"), _n("queries")),
-    })
-
-
-def _with_amounts(priced: DataFrame) -> DataFrame:
-    """Add monthly, hourly and the error, from the picked prices and quantities."""
-    kind, resource, hit = F.col("kind"), F.col("resource"), F.col("hit.amount")
-    zero = F.lit(0.0)
-    flat, second, third = F.coalesce(hit, zero), F.coalesce("second", zero), F.coalesce("third", zero)
-    walks = (kind == "messaging.queue") & (_has("ops") | _has("tib")) | (kind == "api.gateway") & ~F.col("has_unit_hour")
-    monthly = (
-        F.when(kind == "storage.object", _n("gb_month") * flat + _n("put_requests") * second
-               + _n("get_requests") * third)
-        .when(kind == "llm.text", _n("input") * flat + _n("output") * second)
-        .when(walks, F.col("walked")).when(kind == "dns.zone", F.col("walked") + F.col("walked_more"))
-        .when(kind == "api.gateway", hit * _n("units", 1.0) * _n("hours", HOURS_PER_MONTH))
-        .when(kind == "network.cdn", F.col("qty") * hit + F.coalesce("base_fee", zero))
-        .otherwise(hit * F.col("qty"))
-    )
-    unhourly = walks | kind.isin("storage.object", "llm.text", "dns.zone", "network.cdn")
-
-    def case(name: str, *errors: Column) -> tuple[str, Column]:
-        return name, F.coalesce(*errors, F.lit(None).cast("string"))
-
-    many = F.when(F.col("n_rows") > 1, "ambiguous: more than one catalog row")
-    no_price = F.when(flat == 0, "no matching price")
-    serverless = resource == "serverless"
-    timed = (F.when(F.col("params")["count"].isNotNull()
-                    & F.coalesce(F.col("params")["count"].try_cast("int") < 1, F.lit(True)),
-                    "count is not a whole number of at least 1"), _bad("hours"))
-
-    def unreadable(tiers: str) -> Column:
-        return F.when(has_bad_bound(F.col(tiers)), "unreadable tier")
-
-    def needs(condition: Column, what: str) -> Column:
-        return F.when(condition, f"needs {what}")
-
-    metered = [F.when(_has(p), F.coalesce(_bad(p), F.when(F.col("hit").isNull(), f"no {p} price")))
-               for p in ("tu_hours", "ppu_hours", "mu_hours")]
-    none_given = ~(_has("tu_hours") | _has("ppu_hours") | _has("mu_hours"))
-    rules = dict([
-        case("compute.vm", *timed, many, no_price),
-        case("storage.object", _bad("gb_month"), _bad("put_requests"), _bad("get_requests"), many,
-             F.when((_n("gb_month") > 0) & F.col("hit").isNull(), "no storage price"),
-             F.when((_n("put_requests") > 0) & F.col("second").isNull(), "no put-requests price"),
-             F.when((_n("get_requests") > 0) & F.col("third").isNull(), "no get-requests price")),
-        case("llm.text", _bad("input"), _bad("output"), needs(F.col("qty") == 0, "input and/or output tokens"),
-             _bad("requests"), F.when(F.col("n_rows") > 1, "ambiguous: name a serving_provider"),
-             F.when((_n("input") > 0) & F.col("hit").isNull(), "no prompt price"),
-             F.when((_n("output") > 0) & F.col("second").isNull(), "no completion price")),
-        case("db.relational.aurora", no_price, F.when(resource == "serverless-v2", F.coalesce(
-            _bad("acu_hours"), needs(_n("acu_hours") <= 0, "acu_hours"))).otherwise(F.coalesce(*timed))),
-        case("db.relational.spanner", F.when(~resource.isin(*SPANNER_EDITIONS), "unknown edition"), many, _bad("pu"),
-             _bad("node"), needs((_n("pu") == 0) & (_n("node") == 0), "pu or node"), _bad("hours"), no_price),
-        case("db.nosql.cosmos", F.when(~resource.isin("provisioned", "serverless"), "unknown capacity mode"), many,
-             F.when(serverless, _bad("ru_million", 1.0)).otherwise(F.coalesce(_bad("ru_per_sec", 1.0), _bad("hours"))),
-             no_price),
-        case("search.engine.opensearch", F.when(serverless, F.coalesce(
-            _bad("ocu_hours"), needs(_n("ocu_hours") <= 0, "ocu_hours"))).otherwise(F.coalesce(*timed)), no_price),
-        case("paas.app.appservice", no_price, *timed),
-        case("warehouse.query.bigquery", F.when(~resource.isin(*WAREHOUSE_RESOURCES), "unknown warehouse resource"),
-             F.when(resource == "on-demand", F.coalesce(_bad("tb_queried"),
-                                                        needs(_n("tb_queried") <= 0, "tb_queried")))
-             .when(resource.startswith("capacity-"), F.coalesce(_bad("slots"), needs(_n("slots") <= 0, "slots"),
-                                                                _bad("hours")))
-             .otherwise(F.coalesce(_bad("gb_month"), needs(_n("gb_month") <= 0, "gb_month"))), no_price),
-        case("messaging.queue", F.when(_has("ops"), F.coalesce(_bad("ops"), F.when(
-            F.col("walk_dimension") == "", "no tiered request dimension"), unreadable("tiers")))
-            .when(_has("tib"), F.coalesce(_bad("tib"), unreadable("tiers")))
-            .when(none_given, "needs ops, tib, tu_hours, ppu_hours or mu_hours")
-            .otherwise(F.coalesce(*metered))),
-        case("api.gateway", F.when(F.col("has_unit_hour"), F.coalesce(
-            F.when(_has("requests"), "priced per unit-hour: give units and hours"), _bad("units", 1.0), _bad("hours"),
-            F.when(F.col("hit").isNull(), "no unit_hour price"))).otherwise(F.coalesce(
-                _bad("requests"), needs(_n("requests") == 0, "requests"),
-                F.when(_has("units") | _has("hours"), "priced per call: give requests"),
-                F.when(F.col("walk_dimension") == "", "no request dimension"), unreadable("tiers")))),
-        case("dns.zone", _bad("zones"), _bad("queries"),
-             needs((_n("zones") == 0) & (_n("queries") == 0), "zones and/or queries"),
-             F.when(_n("zones") > 0, unreadable("tiers")), F.when(_n("queries") > 0, unreadable("more_tiers"))),
-        case("network.cdn", needs(~_has("gb"), "gb"), _bad("gb"),
-             F.when((F.coalesce("row.extra_mode", F.lit("")) != F.col("q_mode")) & (F.col("n_rows") != 1),
-                    "no row with mode"),
-             F.when(F.col("hit").isNull(), "no tier-0 egress price"),
-             F.when(F.col("edge_bound").isNull(), "unreadable tier"),
-             F.when(F.col("qty") * 1e9 > F.col("edge_bound"), "volume exceeds the first tier")),
-    ])
-    by_kind = first_case((kind == name, error) for name, error in rules.items())
-    regional = ~kind.isin("llm.text", "dns.zone")
-    problem = F.coalesce(
-        F.col("error"),
-        F.when(kind == "messaging.topic", "estimate not available for messaging.topic"),
-        F.when(~kind.isin("llm.text", *CATALOG_KINDS), "no estimator for kind"),
-        F.when(regional & ~_has("region"), "missing region"),
-        F.when(F.col("row").isNull(), "no matching catalog row"), by_kind)
-    notes = F.when(kind == "llm.text", F.array_compact(F.array(
-        F.concat(F.lit("serving_provider="), F.col("row.provider")),
-        F.when(_n("requests") > 0, F.concat(F.lit("requests="), _n("requests").cast("bigint"))))))
-    return priced.withColumns({
-        "problem": problem, "monthly": monthly, "hourly": F.when(~unhourly, hit), "notes": notes})
+def kinds_in(items: DataFrame) -> list[str]:
+    """The kinds that occur: at most one value for each estimator."""
+    found = {r.kind for r in items.filter(F.col("kind").isin(*KINDS)).select("kind").distinct().collect()}
+    return [k for k in KINDS if k in found]
 
 
-def estimate(items: DataFrame, rows: DataFrame) -> DataFrame:
+def estimate(items: DataFrame, rows: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Line items of a table of workload items; an item that cannot be priced carries an error and no amounts.
 
-    The catalog is reduced to one row per name, then items join it once. Adaptive execution splits a hot name.
+    Items are split by kind, and each kind has a plan of its own: the catalog rows of the kind are reduced to one card
+    per name an item can ask for, with the few numbers that price it, and items join their card once. Item plans hold
+    neither lambdas nor arrays of prices. No item ever meets more than one card, so the output is as large as the input
+    however popular a name is; adaptive execution splits a hot name. Kinds that occur are looked up first, unless they are given; items of
+    kinds that aren't given get no estimator.
     """
-    joined = _with_names(items).join(_summaries(rows), [F.col(q) == F.col(j) for q, j in zip(_Q, _J)], "left")
-    joined = joined.withColumn("r", F.coalesce(F.try_element_at("by_mode", F.col("q_mode")), "r"))
-    fees = _base_fees(rows)
-    joined = joined.join(fees, [
-        F.col("r.provider") == F.col("f_provider"), F.col("r.service") == F.col("f_service"),
-        F.col("r.resource_name") == F.col("f_resource"), F.col("r.extra_sku") == F.col("f_sku")], "left")
-    priced = joined
-    for stage in (_with_rule, _with_bounds, _with_picks, _with_volumes, _with_amounts):
-        priced = stage(priced)
-    good = F.col("problem").isNull()
-    shown = {
-        "sku_id": "row.sku_id", "provider": "row.provider", "service": "row.service", "resource": "row.resource_name",
-        "region": "row.region", "hourly_usd": "hourly", "quantity": "qty", "quantity_unit": "qty_unit",
-        "monthly_usd": "monthly", "notes": "notes",
-    }
-    return priced.select("item_index", "raw", "kind",
-                         *(F.when(good, F.col(c)).alias(name) for name, c in shown.items()),
-                         F.col("problem").alias("error"))
+    kinds = kinds_in(items) if kinds is None else kinds
+    known = F.col("kind").isin(*kinds) if kinds else F.lit(False)
+    problem = F.coalesce(F.col("error"), F.when(
+        F.col("kind") == "messaging.topic", "estimate not available for messaging.topic").otherwise("no estimator for kind"))
+    rest = items.filter(~F.coalesce(known, F.lit(False))).select(
+        "item_index", "raw", "kind", *(F.lit(None).cast(t).alias(n) for n, t in zip(_LINE, _LINE_TYPES)),
+        problem.alias("error"))
+    out, rules = rest, estimators()
+    for kind in kinds:
+        out = out.unionByName(priced_kind(rules[kind], items.filter(F.col("kind") == kind), rows))
+    return out
 
 
 def estimate_total(lines: DataFrame, strict: bool = True, digits: int = 6) -> DataFrame:

@@ -205,7 +205,25 @@ lines AS (
       WHEN 10 THEN 'dns.zone' WHEN 11 THEN 'api.gateway' ELSE 'network.cdn' END AS kind,
     CASE WHEN monthly IS NOT NULL THEN 'card-' || CASE WHEN k = 12 AND v = 1 THEN p_partkey - 13 ELSE p_partkey END END
       AS sku_id,
-    round(monthly, 9) AS monthly_usd, monthly IS NULL AS failed
+    round(monthly, 9) AS monthly_usd, monthly IS NULL AS failed,
+    CASE WHEN monthly IS NOT NULL THEN CASE k WHEN 0 THEN base / 1000 WHEN 3 THEN CASE v WHEN 0 THEN base / 1000 ELSE base / 3000 END
+      WHEN 4 THEN base / 1e6 WHEN 5 THEN CASE v WHEN 0 THEN base / 1e7 ELSE base / 4000 END
+      WHEN 6 THEN CASE v WHEN 0 THEN base / 1500 ELSE base / 4000 END WHEN 7 THEN base / 1200
+      WHEN 8 THEN CASE v WHEN 0 THEN base / 150 ELSE base / 50000 END WHEN 9 THEN CASE v WHEN 1 THEN base / 1000 END
+      WHEN 11 THEN CASE v WHEN 1 THEN base / 5000 END END END AS hourly_usd,
+    CASE WHEN monthly IS NOT NULL THEN CASE k WHEN 0 THEN 730.0::DOUBLE * ln WHEN 1 THEN qty * 1e3 WHEN 2 THEN 1e6 + qty * 1e3
+      WHEN 3 THEN CASE v WHEN 0 THEN 100.0::DOUBLE * ln ELSE qty END WHEN 4 THEN (CASE WHEN ln % 2 = 0 THEN 100 ELSE 2000 END)::DOUBLE * qty
+      WHEN 5 THEN CASE v WHEN 0 THEN 400.0::DOUBLE * qty ELSE qty END WHEN 6 THEN CASE v WHEN 0 THEN 730.0::DOUBLE * ln ELSE qty END
+      WHEN 7 THEN 730.0::DOUBLE * ln WHEN 8 THEN qty WHEN 9 THEN CASE v WHEN 0 THEN qty * 1e9 ELSE qty END
+      WHEN 11 THEN CASE v WHEN 0 THEN qty * 1e7 ELSE ln * qty END WHEN 12 THEN qty * 100.0::DOUBLE END::DOUBLE END AS quantity,
+    CASE WHEN monthly IS NOT NULL THEN CASE k WHEN 0 THEN 'hour' WHEN 1 THEN 'gb-mo' WHEN 2 THEN 'token'
+      WHEN 3 THEN CASE v WHEN 0 THEN 'hrs' ELSE 'acu-hr' END WHEN 4 THEN 'pu-hour' WHEN 5 THEN CASE v WHEN 0 THEN 'ru/s-hour' ELSE '1M-ru' END
+      WHEN 6 THEN CASE v WHEN 0 THEN 'hrs' ELSE 'ocu-hour' END WHEN 7 THEN 'hrs' WHEN 8 THEN CASE v WHEN 0 THEN 'tb' ELSE 'gb-month' END
+      WHEN 9 THEN CASE v WHEN 0 THEN 'request' ELSE 'ppu-hr' END WHEN 11 THEN CASE v WHEN 0 THEN 'request' ELSE 'unit-hr' END
+      WHEN 12 THEN 'gb' END END AS quantity_unit,
+    CASE WHEN monthly IS NULL THEN CASE WHEN ln = 7 AND k NOT IN (2, 10) THEN 'no matching catalog row'
+      WHEN k = 0 THEN CASE WHEN g % 7 = 0 AND pair > 1 THEN 'ambiguous: more than one catalog row' ELSE 'no matching price' END
+      WHEN k = 2 THEN 'ambiguous: name a serving_provider' ELSE 'no matching catalog row' END END AS error
   FROM priced)
 """
 
@@ -213,10 +231,10 @@ lines AS (
 def _lines(spark: SparkSession, d: str, only: int | None = None) -> DataFrame:
     lines = estimate(workload(spark, d, only), card_rows(spark, d, only))
     return lines.select("item_index", "kind", "sku_id", F.round("monthly_usd", 9).alias("monthly_usd"),
-                        F.col("error").isNotNull().alias("failed"))
+                        F.col("error").isNotNull().alias("failed"), "hourly_usd", "quantity", "quantity_unit", "error")
 
 
-_SELECT = "SELECT item_index, kind, sku_id, monthly_usd, failed FROM lines"
+_SELECT = "SELECT item_index, kind, sku_id, monthly_usd, failed, hourly_usd, quantity, quantity_unit, error FROM lines"
 register("estimate_mixed_workload", _lines, _LINES_SQL + _SELECT)
 
 

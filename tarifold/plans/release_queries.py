@@ -427,6 +427,89 @@ def _batch_parse(spark: SparkSession, d: str) -> DataFrame:
     return B.parse_requests(_batch_lines(spark, d)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("batch_run")
+def _request_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One request per order, dealt to the six commands and to requests that cannot run."""
+    text = F.expr("""CASE o % 9
+      WHEN 0 THEN concat('{"command": "aws ec2 price", "args": {"instance_type": "vm-', o % 2, '", "region": "r', g, '"}}')
+      WHEN 1 THEN concat('{"command": "aws ec2 list", "args": {"instance_type": "vm-', o % 2, '", "os": "linux"}}')
+      WHEN 2 THEN concat('{"command": "llm price", "args": {"model": "model-', g, '"}, "include_aggregated": ', IF(o % 2 = 0, 'true', 'false'), '}')
+      WHEN 3 THEN concat('{"command": "llm compare", "args": {"model": "model-', g, '"}, "include_aggregated": ', IF(o % 2 = 0, 'true', 'false'), '}')
+      WHEN 4 THEN concat('{"command": "compare", "args": {"kind": "compute.vm", "vcpu": ', 4 * (o % 5), ', "memory": "', 900 + 20 * (o % 7),
+                         '", "sort": "', element_at(array('price', 'vcpu', 'memory'), CAST(o % 3 AS int) + 1), '", "limit": ', o % 4, IF(o % 2 = 0, ', "max_price": 1500', ''),
+                         IF(o % 11 < 5, ', "regions": "ASIA, NATION_3"', ''), '}}')
+      WHEN 5 THEN concat('{"command": "compare", "args": {"kind": "db.relational", "storage_gb": ', 500 * (o % 6), ', "limit": 5}}')
+      WHEN 6 THEN concat('{"command": "compare", "args": {"kind": "', element_at(array('dns.zone', 'cache.kv', 'nothing'), CAST(o % 3 AS int) + 1), '", "memory": ',
+                         IF(o % 2 = 0, '1000', '0'), ', "regions": ["', IF(o % 5 = 0, 'nowhere', 'NATION_4'), '"]}}')
+      WHEN 7 THEN concat('{"command": "estimate", "args": {"items": ["aws/s3:standard0:region=r', g, ':gb_month=10", "aws/ec2:vm-', o % 2, ':region=r', g, ':count=2"]}}')
+      ELSE IF(o % 2 = 0, '{"command": "llm price", "args": {}}', '{"command": "fly"}') END""")
+    orders = table(spark, d, "orders").selectExpr("o_orderkey AS o", "o_custkey % 90 AS g")
+    return orders.select(F.col("o").alias("request_id"), text.alias("value"))
+
+
+_BATCH_SQL = WITH + """,
+card AS (SELECT p_partkey, p_partkey % 13 AS k, p_partkey // 26 AS g, (p_partkey // 13) % 2 AS v, p_retailprice AS base, p_size FROM part),
+ask AS (SELECT o_orderkey AS o, o_custkey % 90 AS g, o_orderkey % 9 AS c FROM orders),
+vm AS (SELECT 'card-' || p_partkey AS sku_id, 'vm-' || CASE WHEN g % 7 = 0 THEN 0 ELSE v END AS name, 'r' || g AS region,
+         CASE WHEN p_size % 10 <> 0 THEN base / 1000 END AS price FROM card WHERE k = 0),
+llm AS (SELECT 'card-' || p_partkey AS sku_id, 'prov' || v AS provider, g, base / 1e6 AS price FROM card WHERE k = 2
+        UNION ALL SELECT 'sum-' || p_partkey, 'openrouter', g, base / 1e6 FROM card WHERE k = 2 AND v = 0),
+machine AS (
+  SELECT o, sku_id, price, row_number() OVER (PARTITION BY o ORDER BY region, sku_id) AS position
+  FROM ask JOIN vm ON name = 'vm-' || (o % 2) AND (c = 1 OR region = 'r' || g) WHERE c IN (0, 1)),
+model AS (
+  SELECT o, sku_id, price, row_number() OVER (PARTITION BY o ORDER BY CASE WHEN c = 3 THEN price END, provider, sku_id) AS position
+  FROM ask JOIN llm USING (g) WHERE c IN (2, 3) AND (o % 2 = 0 OR provider <> 'openrouter')),
+offer AS (
+  SELECT s.*, r_name FROM sku s JOIN nation ON n_name = region JOIN region ON r_regionkey = n_regionkey WHERE commitment = 'on_demand'),
+compared AS (
+  SELECT o, sku_id, min_price AS price, provider, resource_name, CASE o % 4 WHEN 0 THEN 20 ELSE o % 4 END AS most,
+    CASE o % 3 WHEN 0 THEN min_price WHEN 1 THEN coalesce(vcpu, 0) ELSE memory_gb END AS first
+  FROM ask JOIN offer ON kind = 'compute.vm' AND tenancy = 'shared' AND os = 'linux' AND coalesce(gpu_count, 0) = 0
+    AND (o % 5 = 0 OR vcpu >= 4 * (o % 5)) AND memory_gb >= 900 + 20 * (o % 7) AND (o % 2 = 1 OR min_amount <= 1500)
+    AND (o % 11 >= 5 OR r_name = 'ASIA' OR region = 'NATION_3')
+  WHERE c = 4
+  UNION ALL
+  SELECT o, sku_id, min_price, provider, resource_name, 5, min_price FROM ask JOIN offer ON kind = 'db.relational' AND os = 'single-az'
+    AND tenancy IN ('postgres', 'aurora-postgres') AND (o % 6 = 0 OR storage_gb >= 500 * (o % 6)) WHERE c = 5
+  UNION ALL
+  SELECT o, sku_id, min_price, provider, resource_name, 20, min_price FROM ask JOIN offer ON kind = 'cache.kv' AND region = 'NATION_4'
+    AND (o % 2 = 1 OR memory_gb BETWEEN 900 AND 1500) WHERE c = 6 AND o % 3 = 1 AND o % 5 <> 0
+  UNION ALL
+  SELECT o, sku_id, min_price, provider, resource_name, 20, min_price FROM ask JOIN offer ON kind = 'dns.zone' AND region = 'NATION_4'
+    WHERE c = 6 AND o % 3 = 0 AND o % 5 <> 0 AND o % 2 = 1),
+best AS (SELECT o, sku_id, price, row_number() OVER (PARTITION BY o ORDER BY first, provider, resource_name, sku_id) AS position, most FROM compared),
+item AS (
+  SELECT o, a.sku_id AS s3, 10 * (a.base / 10000) AS s3_price, n, m.sku_id AS vm, m.price AS vm_price
+  FROM ask LEFT JOIN (SELECT g, base, 'card-' || p_partkey AS sku_id FROM card WHERE k = 1 AND v = 0) a USING (g)
+  LEFT JOIN (SELECT name, region, count(*) AS n, min(sku_id) AS sku_id, min(price) AS price FROM vm GROUP BY name, region) m
+    ON m.name = 'vm-' || (o % 2) AND m.region = 'r' || g WHERE c = 7),
+verdict AS (
+  SELECT *, CASE WHEN s3 IS NULL OR vm IS NULL THEN 'no matching catalog row' WHEN n > 1 THEN 'ambiguous: more than one catalog row'
+    WHEN vm_price IS NULL THEN 'no matching price' END AS bad FROM item),
+answer AS (
+  SELECT o, position, sku_id, price, 0 AS exit_code, NULL AS error FROM machine
+  UNION ALL SELECT o, position, sku_id, price, 0, NULL FROM model
+  UNION ALL SELECT o, position, sku_id, price, 0, NULL FROM best WHERE position <= most
+  UNION ALL SELECT o, 1, s3, s3_price, 0, NULL FROM verdict WHERE bad IS NULL
+  UNION ALL SELECT o, 2, vm, vm_price * (730.0::DOUBLE * 2), 0, NULL FROM verdict WHERE bad IS NULL
+  UNION ALL SELECT o, NULL, NULL, NULL, 1, bad FROM verdict WHERE bad IS NOT NULL
+  UNION ALL SELECT o, NULL, NULL, NULL, 4, CASE WHEN c = 8 THEN CASE WHEN o % 2 = 0 THEN 'missing model' ELSE 'unknown command' END
+    WHEN o % 3 = 2 THEN 'unsupported kind' WHEN o % 3 = 0 AND o % 2 = 0 THEN 'dns.zone does not take memory_gb' ELSE 'unknown region' END
+    FROM ask WHERE c = 8 OR (c = 6 AND (o % 3 = 2 OR (o % 3 = 0 AND o % 2 = 0) OR o % 5 = 0)))
+SELECT o AS request_id, position, sku_id, price, exit_code, error FROM answer
+UNION ALL SELECT o, NULL, NULL, NULL, 3, 'not_found' FROM ask WHERE o NOT IN (SELECT o FROM answer)"""
+
+
+@query("batch_run", _BATCH_SQL)
 def _batch_run(spark: SparkSession, d: str) -> DataFrame:
-    return B.run_batch(B.parse_requests(_batch_lines(spark, d)), card_rows(spark, d))
+    card = card_rows(spark, d)
+    sums = card.filter("kind = 'llm.text' AND provider = 'prov0'").withColumns({
+        "sku_id": F.regexp_replace("sku_id", "card-", "sum-"), "provider": F.lit("openrouter"), "is_aggregated": F.lit(True)})
+    place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = place.select(F.col("n_name").alias("name"), F.array("n_name").alias("literals")).unionByName(
+        place.groupBy(F.col("r_name").alias("name")).agg(F.collect_list("n_name").alias("literals")))
+    rows = card.unionByName(sums).unionByName(star_rows(spark, d))
+    records = B.run_batch(B.parse_requests(_request_lines(spark, d)), rows, places)
+    # a request without an answer shows its filters; the code is what both sides state
+    error = F.when(F.col("exit_code") == 3, F.get_json_object("error", "$.code")).otherwise(F.col("error"))
+    return records.select("request_id", F.col("position").cast("bigint").alias("position"), "sku_id", "price", "exit_code", error.alias("error"))

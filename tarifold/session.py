@@ -18,6 +18,8 @@ def local_session(cpus: int | str = 8, name: str = "tarifold") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.aggregatePushdown", "true")
+        # HotSpot doesn't compile methods beyond 8,000 bytes of bytecode: let Spark run such stages operator by operator
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("TARIFOLD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
