@@ -311,7 +311,6 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     found = entries(reps)
     heads = kept(found.groupBy("key").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "jaccard-heads", SETS_BATCH)
-    free_exchanges(docs.sparkSession)
     crowded = kept(found.where(sieve(heads, F.xxhash64("key"))(F.xxhash64("key"))).join(heads, "key"), "jaccard-keys", SETS_BATCH)
     free_exchanges(docs.sparkSession)
     wanted = crowded.select("nid").distinct()
@@ -321,13 +320,11 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
     groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))), "jaccard-groups")
     links = kept(verified(kept(possible(tried, signs), "jaccard-pairs", SETS_BATCH), reps), "jaccard-links", SETS_BATCH)
-    free_exchanges(docs.sparkSession)
     roots = store(roots_of(links), "jaccard-roots")
     closest = True
     while True:
         pairs = kept(searched(groups, roots, signs, tried, closest), "jaccard-pairs", BLOCKS_BATCH)
         more = kept(verified(pairs, reps), "jaccard-links", SETS_BATCH)
-        free_exchanges(docs.sparkSession)
         tried = tried.unionByName(pairs)
         linked_any = not more.isEmpty()
         if linked_any:
