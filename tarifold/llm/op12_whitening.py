@@ -15,7 +15,7 @@ The driver holds dimension times block numbers, whatever the rows.
 
 Cases: rows whose vector is null or holds null, NaN or infinite entries are dropped; of vectors of different lengths those of
 the most frequent length stay (of equally frequent ones the longest); vectors without entries have no components and give no rows;
-null and repeated vec_ids are rows like others; an integer beyond 53 bits is rounded as doubles are; a deviation beyond 63 bits is null. Where an eigenvalue is 0 but for
+null and repeated vec_ids are rows like others; an integer beyond 53 bits is rounded as doubles are and held within 62 bits; a deviation beyond 63 bits is null. Where an eigenvalue is 0 but for
 rounding (fewer distinct rows than components, constant dimensions) whitened is null, and identity_error leaves that component out; with trace 0
 explained is null. Equal eigenvalues: any orthonormal basis of their space. An empty table gives no rows; other columns aren't read.
 """

@@ -16,7 +16,7 @@ Cases: rows whose vector is null or holds null, NaN or infinite components are d
 of the most frequent length stay (of equally frequent ones the longest), and a length that PARTS doesn't divide is filled
 with zeros; vectors without components have parts of no length, code 0 and error 0; null vec_ids come last when codebooks are begun, and equal
 ids in the order of their vectors; with fewer rows than ENTRIES the codebooks are as short; null labels are one label; an integer
-beyond 53 bits is rounded as doubles are, and an error or a sum beyond 63 bits is null; an empty table gives no rows; other columns aren't read.
+beyond 53 bits is rounded as doubles are and held within 62 bits, and an error or a sum beyond 63 bits is null; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations

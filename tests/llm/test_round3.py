@@ -248,5 +248,5 @@ def test_codes_of_odd_tables(spark):
     assert {r.vec_id: r.approximation[:3] for r in back}[1] == [0.5, -2.25, 0.0]
     none = op13_codes.compress(spark.createDataFrame([(1, [], 1), (2, [], 1)], "vec_id long, embedding array<double>, label int")).collect()
     assert [(r.code, r.error) for r in none] == [("00" * 8, 0)] * 2
-    far = spark.createDataFrame([(k, [1e16 * k] + [0.5] * 15, None) for k in range(40)], "vec_id long, embedding array<double>, label int")
+    far = spark.createDataFrame([(k, [1e13 * k] + [0.5] * 15, None) for k in range(40)], "vec_id long, embedding array<double>, label int")
     assert op13_codes.compress(far).where("error IS NULL").count() > 0
