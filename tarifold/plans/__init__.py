@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("catalog_queries", "estimate_queries", "feed_queries", "release_queries")
+MODULES = ("catalog_queries", "document_queries", "estimate_queries", "feed_queries", "release_queries")
 
 
 def load_all() -> None:

@@ -1,4 +1,4 @@
-"""Landed upstream documents as flat frames. A multi-line JSON file is one task, so large offers land per region."""
+"""Landed upstream documents as flat frames. A multi-line JSON file is one task; `offers` reads documents of any size."""
 
 from __future__ import annotations
 
@@ -54,10 +54,15 @@ def offer_prices(documents: DataFrame, families: list[str] | None = None) -> Dat
         "file", "pos", "sku_id", F.col("p.productFamily").alias("family"), F.col("p.attributes").alias("attributes"))
     if families:
         products = products.filter(F.col("family").isin(*families))
+    terms = documents.select("file", F.explode("terms.OnDemand").alias("sku_id", "t"))
+    return first_term_prices(products, terms)
+
+
+def first_term_prices(products: DataFrame, terms: DataFrame) -> DataFrame:
+    """Products (file, pos, sku_id, family, attributes) joined to the price dimensions of their first term."""
     first_term = F.get(F.map_values("t"), F.lit(0))
-    terms = documents.select("file", F.explode("terms.OnDemand").alias("sku_id", "t")).select(
-        "file", "sku_id", F.posexplode(first_term["priceDimensions"]).alias("dim_pos", "dim", "d"))
-    return products.join(terms, ["file", "sku_id"]).select(
+    dims = terms.select("file", "sku_id", F.posexplode(first_term["priceDimensions"]).alias("dim_pos", "dim", "d"))
+    return products.join(dims, ["file", "sku_id"]).select(
         "file", "pos", "sku_id", "family", "attributes", "dim_pos", F.col("d.unit").alias("unit"),
         F.col("d.description").alias("description"), F.col("d.beginRange").alias("begin_range"),
         F.col("d.endRange").alias("end_range"), F.col("d.pricePerUnit")["USD"].try_cast("double").alias("usd"))

@@ -12,7 +12,8 @@ from tarifold.plans.registry import ORACLES, QUERIES
 load_all()
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 SAMPLE = ("terms_hash", "compare_compute_vm", "lookup_bulk", "tier_walk", "update_plan", "delta_chain", "price_drift",
-          "feed_aws_ec2", "feed_aws_s3", "feed_azure_redis", "feed_gcp_gcs", "feed_openrouter", "estimate_dns_zone")
+          "feed_aws_ec2", "feed_aws_s3", "feed_azure_redis", "feed_gcp_gcs", "feed_openrouter", "estimate_dns_zone",
+          "offer_document_prices", "star_change_groups", "star_delta_apply", "feed_fingerprint", "stratified_sample")
 
 
 def plain(v):
