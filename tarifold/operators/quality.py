@@ -183,36 +183,42 @@ def stratified_sample(prices: DataFrame, budget: int = 20, seed: int = 0) -> Dat
     """At most `budget` prices: 70 % from the three largest regions, 10 % from the others, 15 % from the largest
     families, the rest from anywhere, each (sku_id, dimension) once, at its least amount.
 
-    prices(sku_id, region, resource_name, dimension, amount). Order within a stratum is a seeded hash, so the sample
-    is the same whatever the partitioning, and each stratum is a top-k: no task sees more than its own rows.
+    prices(sku_id, region, resource_name, dimension, amount). A row's draw is md5 of (seed, sku_id, dimension), so the
+    sample is the same whatever the partitioning. The `budget` lowest draws of each cell (large region or not, large
+    family or not) hold every row that any stratum can take, since no more than `budget` are taken in all; they are
+    limited by rank on the map side, and the strata are filled by priority from these 4 * budget rows.
     """
-    fam = F.substring_index("resource_name", ".", 1)
-    draw = F.xxhash64(F.lit(seed), "sku_id", "dimension")
-    pool = prices.withColumns({"_family": fam, "_draw": draw})
-    regions = prices.groupBy("region").count().orderBy(F.desc("count"), "region").limit(3).select("region")
-    families = pool.groupBy("_family").count()
+    family = F.substring_index("resource_name", ".", 1)
+    regions = prices.groupBy("region").count().orderBy(F.desc("count"), "region").limit(3).select(
+        F.col("region").alias("_r"))
+    families = prices.groupBy(family.alias("_f")).count()
+    most = max(1, math.ceil(budget * 0.15))
     n_families = families.select(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = families.orderBy(F.desc("count"), "_family").limit(max(1, math.ceil(budget * 0.15)))
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "_family"))
-    top = ranked.withColumn("_rank", rank).filter(
-        F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.lit(budget * 0.15) / n_families))).select("_family")
+    rank = F.row_number().over(Window.orderBy(F.desc("count"), "_f"))
+    top = families.orderBy(F.desc("count"), "_f").limit(most).withColumn("_rank", rank).filter(
+        F.col("_rank") <= F.greatest(F.lit(1), F.ceil(F.lit(budget * 0.15) / n_families))).select("_f")
     shares = [max(1, int(budget * share)) for share in (0.70, 0.10, 0.15)]
-    key = ["sku_id", "dimension"]
-
-    def take(df: DataFrame, n: int, stratum: int) -> DataFrame:
-        return df.orderBy("_draw", "amount").limit(n).withColumn("stratum", F.lit(stratum))
 
-    rest_of = [c for c in pool.columns if c not in key]
+    key = ["sku_id", "dimension"]
+    rest_of = [c for c in prices.columns if c not in key]
     least = F.min_by(F.struct(*rest_of), F.struct("amount", "region", "resource_name"))
-    unique = pool.groupBy(*key).agg(least.alias("_row")).select(*key, "_row.*")
-    large = take(unique.join(F.broadcast(regions), "region", "left_semi"), shares[0], 0)
-    small = take(unique.join(F.broadcast(regions), "region", "left_anti"), shares[1], 1)
-    chosen = large.unionByName(small)
-    by_family = take(unique.join(F.broadcast(top), "_family", "left_semi")
-                     .join(F.broadcast(chosen), key, "left_anti"), shares[2], 2)
-    chosen = chosen.unionByName(by_family)
-    rest = take(unique.join(F.broadcast(chosen), key, "left_anti"), budget, 3)
-    return (chosen.unionByName(rest).orderBy("stratum", "_draw").limit(budget).drop("_family", "_draw"))
+    unique = prices.groupBy(*key).agg(least.alias("_row")).select(*key, "_row.*")
+    cells = (unique.join(F.broadcast(regions), F.col("region").eqNullSafe(F.col("_r")), "left")
+             .join(F.broadcast(top), family == F.col("_f"), "left")
+             .select(*prices.columns, F.col("_r").isNotNull().alias("_large"), F.col("_f").isNotNull().alias("_family"),
+                     F.md5(F.concat_ws("|", F.lit(str(seed)), "sku_id", "dimension")).alias("_draw")))
+    order = ["_draw", *key]
+    in_cell = F.row_number().over(Window.partitionBy("_large", "_family").orderBy(*order))
+    few = cells.withColumn("_k", in_cell).filter(F.col("_k") <= budget)
+
+    def place(by: str) -> Column:
+        return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    # The first two strata split the rows by region; the third takes from what they leave, the last from what is left then.
+    few = few.withColumn("_k", place("_large")).withColumn("stratum", F.when(
+        F.col("_large") & (F.col("_k") <= shares[0]), 0).when(~F.col("_large") & (F.col("_k") <= shares[1]), 1))
+    few = few.withColumn("_open", F.col("stratum").isNull() & F.col("_family")).withColumn("_k", place("_open"))
+    few = few.withColumn("stratum", F.coalesce("stratum", F.when(F.col("_open") & (F.col("_k") <= shares[2]), 2), F.lit(3)))
+    return few.orderBy("stratum", *order).limit(budget).select(*prices.columns, "stratum")
 
 
 # --- profiles --------------------------------------------------------------------------------------------------

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarifold.functions.cases import first_case
-from tarifold.schemas import MAX_SCHEMA_VERSION, MIN_SCHEMA_VERSION
+from tarifold.functions.terms import empty_to_null_terms
+from tarifold.schemas import MAX_SCHEMA_VERSION, MIN_SCHEMA_VERSION, ROW, SKU_COLUMNS
 
 MAX_CHAIN = 20  # the published bound, for callers who want it
 
@@ -54,10 +55,10 @@ def apply_chain(base: DataFrame, local_version: str, chain: list[tuple[str, str,
 
 
 def diff_star(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Ordered change groups over the star tables: 0 item deletes, 1 price deletes of live items, 2 upserts.
+    """Keys of the change groups over star tables: 0 item deletes, 1 price deletes of live items, 2 upserts.
 
-    Every row of a changed item is rewritten. A one-to-one row that vanished from a live item is deleted too, so
-    applying the changes to the old tables always gives the new ones.
+    Every row of a changed item is listed. A one-to-one row that vanished from a live item is deleted too. This lists keys
+    only; `star_delta` gives changes that can be applied.
     """
     changes = {name: diff_tables(old[name], new[name], list(keys[name])) for name in new}
     gone = changes["skus"].filter("op = 'delete'").select("sku_id")
@@ -77,6 +78,93 @@ def diff_star(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[s
     return reduce(DataFrame.unionByName, out)
 
 
+STAR_TABLES = ("skus", "resource_attrs", "terms", "prices", "health")
+
+
+def star_delta(old: DataFrame, new: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Changes between two snapshots of nested rows as ordered records on the star tables, with their rows.
+
+    Records: (change_group, table, op, sku_id, part, and one struct per star table that is null but for the row of an
+    upsert). Groups: 0 deletes of items (from all tables), 1 deletes of price keys and health rows of items that live on,
+    2 upserts of all rows of new and changed items, 3 the metadata (key, value) of the new snapshot, which replaces the
+    old. One full outer join on sku_id finds them all; prices of an item are compared without regard to order. `sku_id`
+    must be unique in a snapshot, and (dimension, tier) within an item.
+    """
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        terms, tidy = empty_to_null_terms(F.col("terms")), F.array_sort(F.transform("prices", lambda p: F.struct(
+            p["dimension"].alias("dimension"), F.coalesce(p["tier"], F.lit("")).alias("tier"),
+            F.coalesce(p["tier_upper"], F.lit("")).alias("tier_upper"), p["amount"].alias("amount"), p["unit"].alias("unit"))))
+        parts = F.struct(F.struct(*SKU_COLUMNS).alias("skus"), "resource_attrs", terms.alias("terms"),
+                         F.coalesce(tidy, F.array().cast(ROW["prices"].dataType)).alias("prices"), "health")
+        return rows.select(F.col("sku_id").alias(f"{name}_id"), parts.alias(name))
+
+    both = side(old, "_old").join(side(new, "_new"), F.col("_old_id") == F.col("_new_id"), "full_outer")
+    both = both.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select(
+        F.coalesce("_new_id", "_old_id").alias("sku_id"), "_old", "_new")
+
+    def record(group: int, table: str, op: str, part: Column, row: Column | None = None) -> Column:
+        rows = [(row if name == table and row is not None else F.lit(None)).cast(_ROW_TYPES[name]).alias(name)
+                for name in (*STAR_TABLES, "metadata")]
+        return F.struct(F.lit(group).alias("change_group"), F.lit(table).alias("table"), F.lit(op).alias("op"),
+                        part.alias("part"), *rows)
+
+    none, nothing = F.lit(""), F.array().cast(f"array<{_record_type()}>")
+
+    def price_key(p: Column) -> Column:
+        return F.concat_ws("|", p["dimension"], p["tier"])
+
+    def one(name: str) -> Column:
+        return F.when(F.col(f"_new.{name}").isNotNull(), F.array(record(2, name, "upsert", none, F.col(f"_new.{name}"))))
+    kept = F.transform(F.col("_new.prices"), price_key)
+    lost = F.filter(F.col("_old.prices"), lambda p: ~F.array_contains(kept, price_key(p)))
+    lost_health = F.col("_old.health").isNotNull() & F.col("_new.health").isNull()
+    live = F.concat(
+        F.coalesce(F.transform(lost, lambda p: record(1, "prices", "delete", price_key(p))), nothing),
+        F.when(lost_health, F.array(record(1, "health", "delete", none))).otherwise(nothing),
+        *(F.coalesce(one(name), nothing) for name in ("skus", "resource_attrs", "terms", "health")),
+        F.transform(F.col("_new.prices"), lambda p: record(2, "prices", "upsert", price_key(p), p)))
+    records = F.when(F.col("_new").isNull(), F.array(record(0, "skus", "delete", none))).otherwise(live)
+    out = both.select("sku_id", records.alias("records")).select("sku_id", F.explode("records").alias("r"))
+    if metadata is not None:
+        pairs = F.struct(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+        out = out.unionByName(metadata.select(F.lit(None).cast("string").alias("sku_id"), record(
+            3, "metadata", "upsert", F.col("key").cast("string"), pairs).alias("r")))
+    order = ("table", "op", "part", *STAR_TABLES, "metadata")
+    return out.select("r.change_group", *(f"r.{c}" for c in order[:2]), "sku_id", *(f"r.{c}" for c in order[2:]))
+
+
+_ROW_TYPES = {"skus": "struct<" + ", ".join(f"{c}: string" for c in SKU_COLUMNS) + ">",
+              "resource_attrs": ROW["resource_attrs"].dataType.simpleString(), "terms": ROW["terms"].dataType.simpleString(),
+              "prices": ROW["prices"].dataType.elementType.simpleString(), "health": ROW["health"].dataType.simpleString(),
+              "metadata": "struct<key: string, value: string>"}
+
+
+def _record_type() -> str:
+    fields = ["change_group: int", "table: string", "op: string", "part: string"]
+    return "struct<" + ", ".join(fields + [f"{name}: {kind}" for name, kind in _ROW_TYPES.items()]) + ">"
+
+
+def is_noop(delta: DataFrame) -> bool:
+    """Whether a star delta changes nothing but the metadata."""
+    return delta.filter("change_group < 3").isEmpty()
+
+
+def apply_star_delta(star: dict[str, DataFrame], delta: DataFrame) -> dict[str, DataFrame]:
+    """The star tables after a delta. All rows of a touched item go, then its upserts come; metadata is replaced.
+
+    Only the touched items travel to the tables, one anti join each.
+    """
+    touched = delta.filter("change_group < 3").select("sku_id").distinct()
+
+    def upserts(name: str) -> DataFrame:
+        return delta.filter((F.col("table") == name) & (F.col("op") == "upsert"))
+    out = {}
+    for name in (t for t in STAR_TABLES if t in star):
+        rows = upserts(name).select("sku_id", *(F.col(f"{name}.{c}") for c in star[name].columns if c != "sku_id"))
+        out[name] = star[name].join(touched, "sku_id", "left_anti").unionByName(rows)
+    return out | {"metadata": upserts("metadata").select("metadata.*")}
+
+
 def update_plan(manifest: DataFrame, local: DataFrame, channel: str = "daily", max_chain: int | None = None) -> DataFrame:
     """What to do per shard: baseline, deltas, nothing, or an unsupported layout.
 
@@ -151,14 +239,17 @@ def merge_indicators(states: DataFrame) -> DataFrame:
 
 
 def fingerprint(items: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Order-free fingerprint of the items per group: count, and sum and xor of a 64-bit hash of each item.
+    """Order-free fingerprint of the items per group: SHA-256 of the count and of four sums of 28-bit slices of each
+    item's MD5.
 
-    It aggregates on the map side, so no group is ever gathered or sorted however large it is.
+    An item is the text of its columns, each with its length before it, null as '-'. Sums are a multiset hash: repeated
+    items count, order and partitioning don't. It aggregates on the map side, so no group is ever gathered or sorted.
     """
-    h = F.xxhash64(*columns)
-    return items.groupBy(*by).agg(
-        F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.bit_xor(h).cast("string"),
-                           F.sum(F.pmod(h, F.lit(2**31 - 1))).cast("string")), 256).alias("fingerprint"))
+    text = [F.col(c).cast("string") for c in columns]
+    item = F.md5(F.concat(*(F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text)))
+    slices = [F.sum(F.conv(F.substring(item, 1 + 7 * i, 7), 16, 10).cast("bigint")) for i in range(4)]
+    return items.groupBy(*by).agg(F.sha2(F.concat_ws(
+        ":", *(n.cast("string") for n in (F.count(F.lit(1)), *slices))), 256).alias("fingerprint"))
 
 
 def catalog_status(shards: DataFrame, installed: DataFrame, now: Column) -> DataFrame:

@@ -74,14 +74,28 @@ UNION ALL SELECT 1, 'prices', 'delete', count(*) FROM pd WHERE lost AND s NOT IN
 UNION ALL SELECT 2, t, 'upsert', count(*) FROM live, (VALUES ('skus'), ('terms'), ('resource_attrs')) x(t) GROUP BY t
 UNION ALL SELECT 2, 'prices', 'upsert', count(*) FROM np WHERE s IN (SELECT s FROM live)""")
 def _star_change_groups(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    old = split_star(star_rows(spark, d, lines.filter("l_linestatus = 'F'")))
-    new = split_star(star_rows(spark, d, lines.filter("l_returnflag <> 'R'")))
-    tables = ("skus", "terms", "resource_attrs", "prices")
-    changes = V.diff_star({t: old[t] for t in tables}, {t: new[t] for t in tables}, STAR_KEYS)
+    changes = V.star_delta(*_two_stars(spark, d))
     return changes.groupBy("change_group", "table", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _two_stars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, d, "lineitem")
+    return star_rows(spark, d, lines.filter("l_linestatus = 'F'")), star_rows(spark, d, lines.filter("l_returnflag <> 'R'"))
+
+
+@query("star_delta_apply", "WITH " + STAR_SQL.replace(
+    "FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_returnflag <> 'R') lineitem") + """
+SELECT s.sku_id, s.provider, s.kind, s.region, s.tenancy, nullif(s.support_tier, '') AS support_tier, s.memory_gb, s.mode, dimension,
+  amount, unit FROM sku s LEFT JOIN price p ON p.sku_id = s.sku_id""")
+def _star_delta_apply(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _two_stars(spark, d)
+    star = V.apply_star_delta(split_star(old), V.star_delta(old, new))
+    terms = star["terms"].select("sku_id", "tenancy", "support_tier")
+    attrs = star["resource_attrs"].select("sku_id", "memory_gb", F.get_json_object("extra", "$.mode").alias("mode"))
+    return (star["skus"].select("sku_id", "provider", "kind", "region").join(terms, "sku_id").join(attrs, "sku_id")
+            .join(star["prices"].select("sku_id", "dimension", "amount", "unit"), "sku_id", "left"))
+
+
 _MANIFEST_SQL = """
 WITH manifest AS (
   SELECT s_name AS shard, s_suppkey AS k, lpad((s_suppkey % 50)::VARCHAR, 3, '0') AS baseline_version, '060' AS head_version,
@@ -151,10 +165,14 @@ def _merge_indicators(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("source")))
 
 
-@query("feed_fingerprint")
+@query("feed_fingerprint", """
+WITH item AS (SELECT l_suppkey, l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, l_returnflag AS c FROM lineitem),
+hashed AS (SELECT l_suppkey, md5(length(a) || ':' || a || length(b) || ':' || b || length(c) || ':' || c) AS h FROM item)
+SELECT l_suppkey, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 7))::BIGINT)::BIGINT || ':'
+  || sum(('0x' || substr(h, 8, 7))::BIGINT)::BIGINT || ':' || sum(('0x' || substr(h, 15, 7))::BIGINT)::BIGINT || ':'
+  || sum(('0x' || substr(h, 22, 7))::BIGINT)::BIGINT) AS fingerprint FROM hashed GROUP BY 1""")
 def _fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    # The hash family differs between engines, so this one has no SQL; a test checks order independence.
-    return V.fingerprint(table(spark, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    return V.fingerprint(table(spark, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
 @query("catalog_status", """
@@ -311,9 +329,20 @@ def _prefix(spark: SparkSession, d: str) -> DataFrame:
     return Q.prefix_matches(ours, upstream, "our_id", "upstream_id").select("our_id", "upstream_id")
 
 
-@query("stratified_sample")
+@query("stratified_sample", WITH + """,
+pool AS (SELECT s.sku_id, s.region, s.resource_name, p.dimension, p.amount, split_part(s.resource_name, '.', 1) AS family,
+  md5('7|' || s.sku_id || '|' || p.dimension) AS draw FROM sku s JOIN price p ON p.sku_id = s.sku_id),
+large AS (SELECT region FROM pool GROUP BY 1 ORDER BY count(*) DESC, region LIMIT 3),
+wide AS (SELECT family FROM (SELECT family, row_number() OVER (ORDER BY count(*) DESC, family) AS k, count(*) OVER () AS n
+  FROM pool GROUP BY 1) WHERE k <= 3 AND k <= greatest(1, ceil(3.0 / n))),
+first AS (SELECT *, 0 AS stratum FROM pool WHERE region IN (FROM large) ORDER BY draw LIMIT 14),
+second AS (SELECT *, 1 AS stratum FROM pool WHERE region NOT IN (FROM large) ORDER BY draw LIMIT 2),
+two AS (FROM first UNION ALL FROM second),
+third AS (SELECT *, 2 AS stratum FROM pool WHERE family IN (FROM wide) AND draw NOT IN (SELECT draw FROM two) ORDER BY draw LIMIT 3),
+three AS (FROM two UNION ALL FROM third),
+last AS (SELECT *, 3 AS stratum FROM pool WHERE draw NOT IN (SELECT draw FROM three) ORDER BY draw LIMIT 20)
+SELECT sku_id, region, resource_name, dimension, amount, stratum FROM (FROM three UNION ALL FROM last) ORDER BY stratum, draw LIMIT 20""")
 def _sample(spark: SparkSession, d: str) -> DataFrame:
-    # Hash order differs between engines, so only counts can be compared; a test checks strata and determinism.
     prices = star_rows(spark, d).select("sku_id", "region", "resource_name", F.inline("prices"))
     return Q.stratified_sample(prices.select("sku_id", "region", "resource_name", "dimension", "amount"), 20, 7)
 

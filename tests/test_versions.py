@@ -44,6 +44,21 @@ def test_star_round_trip_deletes_lost_rows(snapshots):
         assert same(V.apply_changes(old[name], V.diff_tables(old[name], new[name], keys), keys), new[name])
 
 
+def test_star_delta_carries_rows(spark, snapshots):
+    old, new = snapshots
+    metadata = spark.createDataFrame([("catalog_version", "2")], "key string, value string")
+    delta = V.star_delta(old, new, metadata)
+    found = {(r.change_group, r.table, r.op, r.sku_id, r.part) for r in delta.collect()}
+    assert {(0, "skus", "delete", "gone", ""), (1, "prices", "delete", "cut", "io|"), (1, "health", "delete", "ill", ""),
+            (2, "prices", "upsert", "born", "io|"), (3, "metadata", "upsert", None, "catalog_version")} <= found
+    assert not any(r[3] == "same" for r in found)
+    applied, want = V.apply_star_delta(split_star(old), delta), split_star(new)
+    assert all(same(applied[name], want[name]) for name in want)
+    assert same(applied["metadata"], metadata)
+    assert not V.is_noop(delta) and V.is_noop(V.star_delta(new, new, metadata)) and V.is_noop(V.star_delta(new, new))
+    assert V.star_delta(old.limit(0), new).filter("op = 'delete'").isEmpty()
+
+
 def test_chain_rules(snapshots):
     old, new = snapshots
     step = V.diff_tables(old, new, ["sku_id"])
