@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifold.llm.op10_near import components, shingles, sieve
-from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, slices, store, text_of, utf8
+from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, returning, slices, store, text_of, utf8
 
 SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 256, 2048
 #: Bytes of sets that a task unpacks at once; rows with sets, and blocks, that go to Python at once.
@@ -86,6 +86,7 @@ def sets_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """doc_id, node (128 bits that name the set; null for an empty one), n_shingles and the sorted elements of each row."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
@@ -146,6 +147,7 @@ def keys_of(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def entries(reps: DataFrame) -> DataFrame:
     """nid and key, a row for each tile key of each node."""
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SETS_BYTES):
@@ -174,6 +176,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def bitmaps(reps: DataFrame) -> DataFrame:
     """nid, n and the bitmap of each node."""
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SETS_BYTES):
@@ -197,6 +200,7 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     left = signs.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("sa"))
     right = signs.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(k).to_numpy() for k in (2, 3))
@@ -214,6 +218,7 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     own = reps.select("nid", "elements").where(sieve(wanted, F.xxhash64("nid"))(F.xxhash64("nid")))
     left, right = (own.select(F.col("nid").alias(c), F.col("elements").alias(f"s{c}")) for c in "ab")
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -274,6 +279,7 @@ def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataF
     entry = F.struct("nid", "root", "n", (F.col("block") > F.col("mate")).cast("int").alias("side"), "bits")
     blocks = placed.join(signs, "nid").groupBy("key", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j")).agg(F.collect_list(entry).alias("entries"))  # about two blocks
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0):
@@ -296,7 +302,7 @@ def roots_of(links: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, component_size (rows) and copies (rows with the same set) of every row."""
-    signed = store(sets_of(docs, id_column, text_column), "jaccard-sets")
+    signed = store(sets_of(docs, id_column, text_column), "jaccard-sets", SETS_BATCH)
     members = store(signed.select("doc_id", "node", "n_shingles"), "jaccard-members")
     # copies meet in map-side aggregates: one set per node and task is shuffled
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
@@ -314,7 +320,7 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     crowded = kept(found.where(sieve(heads, F.xxhash64("key"))(F.xxhash64("key"))).join(heads, "key"), "jaccard-keys", SETS_BATCH)
     free_exchanges(docs.sparkSession)
     wanted = crowded.select("nid").distinct()
-    signs = kept(bitmaps(reps.select("nid", "elements").join(wanted, "nid", "left_semi")), "jaccard-bitmaps", SETS_BATCH)
+    signs = kept(bitmaps(reps).join(wanted, "nid", "left_semi"), "jaccard-bitmaps", SETS_BATCH)  # bitmaps travel, not sets
     others = crowded.where("nid <> head")
     tried = kept(others.groupBy(F.col("nid").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "jaccard-pairs")
     connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
