@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import mix, slices, span_hashes, text_of, utf8
+from tarifold.llm.shared import mix, sample_texts, slices, span_hashes, text_of, utf8
 
 # Wording of common licence notices.
 TEMPLATES = {
@@ -194,11 +194,10 @@ def train(paragraphs: list[np.ndarray]) -> Model:
 
 def fit(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> Model:
     """Train with paragraphs of at most SAMPLE_DOCS documents (by a hash of the id) that don't look like a template."""
-    sample = docs.select(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("h"), text_of(text_column).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
     templates = np.unique(np.concatenate([_grams_of(_hashed(t))[-1] for texts in TEMPLATES.values() for t in texts]))
     paragraphs = []
-    for r in sample.collect():
-        raw = np.frombuffer(r["t"].encode("utf-8", "replace"), np.uint8)
+    for text in sample_texts(docs, SAMPLE_DOCS, id_column, text_column).to_pylist():
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         hashes, lines, blocks, _ = words_of(raw, np.array([0, len(raw)]))
         # each line, and the windows of each paragraph of several
         several = np.flatnonzero(np.diff(lines, prepend=-1) * (np.diff(blocks, prepend=-1) == 0))

@@ -1,7 +1,7 @@
 """Token ids in binary files with a shared zstandard dictionary.
 
 The encoder of a public tokenizer runs once per distinct unit (a word without its marks) of a worker. A zstandard dictionary is trained on the
-serialized ids of a bounded sample of documents; every document is then compressed by itself with it, so that a short
+serialized ids of a bounded sample of whole documents; every document is then compressed by itself with it, so that a short
 document can be fetched alone. Files hold whole ranges of ids and ascend: file order, then order in the file, is the order
 of doc_id.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
+import string
 import struct
 import uuid
 import zlib
@@ -32,39 +32,44 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import UnitIds, block_of, id_bounds, partitions, slices, text_of, utf8
+from tarifold.llm.shared import block_of, id_bounds, partitions, ragged, sample_texts, slices, span_hashes, text_of, utf8, word_spans
 
 MAGIC = b"TOKIDS01"
 END_ID = 1
-#: Documents of the dictionary's sample, ids of each that count for it, and bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 400, 16_384, 65_536
-#: ASCII marks that, beside letters, digits and white space only, are tokens of their own by the tokenizer's pattern.
-MARKS = re.compile(r"""(?<![^\w\s])(?<!_)[.,!#$%&*?;:|"()]+(?![^\w\s])(?!_)""")
-#: Characters whose white space, case or composition Python and the tokenizer might see differently.
-RARE = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
+#: Documents of the dictionary's sample, and bytes of the dictionary.
+SAMPLE_DOCS, DICTIONARY_BYTES = 400, 65_536
+#: Kinds of bytes: marks that beside letters, digits and white space are tokens of their own by the tokenizer's pattern; letters and digits; others.
+_OTHER, _MARK, _PLAIN = 0, 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[np.frombuffer(b'.,!#$%&*?;:|"()', np.uint8)] = _MARK
+_KIND[np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8)] = _PLAIN
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of texts by units. The tokenizer drops white space and parts marks from letters, so units can be encoded one by one.
 
-    Texts of common characters are lower-cased as the tokenizer's own normalizer does, and parted at white space and marks;
-    texts with a rare character are parted at ASCII white space only.
+    Units are the words between ASCII white space, parted at runs of marks whose neighbours are ASCII letters, digits or the word's ends;
+    words of ASCII characters alone are lower-cased first, as the tokenizer's own normalizer does. Texts that hold one of
+    the tokenizer's added tokens are parted at white space only. Units are found by hashes of 64 bits; the table of known
+    units starts anew beyond most_units units or most_ids ids.
     """
 
-    def __init__(self, path: str, most_units: int = 400_000):
+    def __init__(self, path: str, most_units: int = 400_000, most_ids: int = 1 << 23):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units = UnitIds(self._encode, most_units)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most_units, self.most_ids = most_units, most_ids
+        self.clear()
 
-    def split(self, text: str) -> list[str]:
-        if RARE.search(text) or any(t in text for t in self.special):
-            return [u.decode("utf-8", "replace") for u in text.encode("utf-8", "replace").split()]
-        return MARKS.sub(r" \g<0> ", text.lower()).split()
+    def clear(self) -> None:
+        self.known, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lengths = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64)
@@ -74,17 +79,73 @@ class WordEncoder:
             flat.append(np.fromiter(chain.from_iterable(got), np.int32))
         return np.concatenate(flat), lengths
 
-    def documents(self, raw: bytes, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    def _units(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, lower-cased where that is safe; start, end and text number of each unit."""
+        starts, ends, doc = word_spans(raw, offsets)
+        if not len(starts) or any(t in raw.tobytes() for t in self.special):
+            return raw, starts, ends, doc
+        kind = _KIND[raw]
+        beyond = np.flatnonzero(raw > 127)
+        raw = _LOWER[raw] if not len(beyond) else self._lowered(raw, starts, ends, beyond)
+        mark = np.concatenate(([False], kind == _MARK, [False]))
+        edges = np.flatnonzero(mark[1:] != mark[:-1])
+        begin, end = edges[::2], edges[1::2]  # runs of marks
+        # a text's first or last mark may stand beside another text's
+        word = np.searchsorted(starts, begin, "right") - 1
+        own = end <= ends[word]
+        begin, end, word = begin[own], end[own], word[own]
+        fine = (begin == starts[word]) | (kind[begin - 1] == _PLAIN)
+        fine &= (end == ends[word]) | (kind[np.minimum(end, len(raw) - 1)] == _PLAIN)
+        cuts = np.concatenate((begin[fine], end[fine]))
+        inner = np.concatenate((begin[fine] > starts[word[fine]], end[fine] < ends[word[fine]]))
+        cuts = np.sort(cuts[inner])
+        at = np.searchsorted(starts, cuts, "right") - 1
+        return raw, np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts))), np.sort(np.concatenate((doc, doc[at])))
+
+    @staticmethod
+    def _lowered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Words of ASCII characters alone in lower case, other words as they are."""
+        low = _LOWER[raw]
+        words = np.unique(np.searchsorted(starts, beyond, "right") - 1)
+        rows, pos = ragged(ends[words] - starts[words])
+        at = starts[words][rows] + pos
+        low[at] = raw[at]
+        return low
+
+    def documents(self, raw: np.ndarray | bytes, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each document, the end id last."""
-        units, n_units = [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = self.split(raw[a:b].decode("utf-8", "replace"))
-            units += own
-            n_units.append(len(own))
-        flat, lengths = self.units.ids(units)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.array(n_units, np.int64))))]
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            yield np.append(flat[a:b], END_ID)
+        raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
+        raw, starts, ends, doc = self._units(raw, offsets)
+        hashes, first, index = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, hashes)
+        fresh = np.ones(len(hashes), bool)
+        inside = place < len(self.known)
+        fresh[inside] = self.known[place[inside]] != hashes[inside]
+        if fresh.any():
+            if len(self.known) + fresh.sum() > self.most_units or len(self.flat) > self.most_ids:
+                self.clear()
+                fresh[:] = True
+            data, new = raw.tobytes(), first[fresh]
+            flat, lengths = self._encode([data[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            known = np.concatenate((self.known, hashes[fresh]))
+            order = np.argsort(known, kind="stable")
+            self.known = known[order]
+            self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(lengths) - lengths))[order]
+            self.lengths = np.concatenate((self.lengths, lengths))[order]
+            self.flat = np.concatenate((self.flat, flat))
+            place = np.searchsorted(self.known, hashes)
+        units = place[index]
+        lengths = self.lengths[units]
+        n_ids = np.bincount(doc, lengths, len(offsets) - 1).astype(np.int64)
+        rows, pos = ragged(lengths)
+        ids = np.empty(int(n_ids.sum()) + len(n_ids), np.int32)
+        ends_at = np.cumsum(n_ids + 1)
+        own = np.ones(len(ids), bool)
+        own[ends_at - 1] = False
+        ids[own] = self.flat[self.begins[units][rows] + pos]
+        ids[~own] = END_ID
+        for a, b in zip((ends_at - n_ids - 1).tolist(), ends_at.tolist()):
+            yield ids[a:b]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -97,20 +158,16 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(path: str, batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids of each text."""
     at = 0
-    for part in slices(batch, column, 1 << 20):
-        raw, offsets = utf8(part.column(column))
-        for ids in encoder(path).documents(raw.tobytes(), offsets):
+    for part in slices(batch, column, 1 << 21):
+        for ids in encoder(path).documents(*utf8(part.column(column))):
             yield at, ids
             at += 1
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> bytes:
-    """Dictionary from at most SAMPLE_DOCS documents, chosen by a hash of their id. Empty if they are too few to train on."""
-    sample = docs.select(F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("h"), text_of(text_column).alias("t"))
-    rows = sample.orderBy("h", "t").limit(SAMPLE_DOCS).select(F.substring("t", 1, 4 * SAMPLE_IDS).alias("t")).toArrow()
-    own, texts = encoder(vocabulary), rows.column("t").combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    raw, offsets = utf8(texts)
-    samples = [serialize(ids[:SAMPLE_IDS], own.width) for ids in own.documents(raw.tobytes(), offsets)]
+    """Dictionary from whole texts of at most SAMPLE_DOCS documents, chosen by a hash of their id. Empty if they are too few to train on."""
+    own = encoder(vocabulary)
+    samples = [serialize(ids, own.width) for ids in own.documents(*utf8(sample_texts(docs, SAMPLE_DOCS, id_column, text_column)))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 7 else b""
     except zstandard.ZstdError:
@@ -251,12 +308,19 @@ def read_tokens(spark: SparkSession, folder: str, files: list[dict]) -> DataFram
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = FileReader(store, f"{root}/{name}", dictionary)
-                decoded = [own.document(k) for k in range(own.n)]
-                counts = np.array([len(x) for x in decoded], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.docs, pa.int64(), mask=~own.known), pa.array(start + np.cumsum(counts) - counts), pa.array(counts),
-                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in decoded], pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"])
+                counts = own.counts.astype(np.int64)
+                starts = start + np.cumsum(counts) - counts
+                for a in range(0, own.n, 4096):  # one document's ids are held at a time
+                    sums = []
+                    for k in range(a, min(own.n, a + 4096)):
+                        ids = own.document(k)
+                        if len(ids) != counts[k]:
+                            raise ValueError(f"{name}: document {k} has {len(ids)} ids, its index says {counts[k]}")
+                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    b = a + len(sums)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own.docs[a:b], pa.int64(), mask=~own.known[a:b]), pa.array(starts[a:b]), pa.array(counts[a:b]), pa.array(sums, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(f["name"], f["start"]) for f in files], "name string, start long")
     return listed.repartition(len(files)).mapInArrow(read, schema)

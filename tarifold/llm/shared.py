@@ -99,6 +99,17 @@ def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return wrapped
 
 
+def sample_texts(docs: DataFrame, n: int, id_column: str, text_column: str) -> pa.Array:
+    """Whole texts of the n ids whose MD5 is least, in its order, one text an id (that of least hash). Rows without an id aren't sampled.
+
+    Only ids are ordered; texts are read of the sampled ids alone."""
+    ids = docs.select(F.col(id_column).cast("string").alias("i")).where("i IS NOT NULL").select(F.md5("i").alias("h"))
+    least = ids.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).orderBy("h").limit(n).select("h")  # at most n rows
+    rows = docs.select(F.md5(F.col(id_column).cast("string")).alias("h"), text_of(text_column).alias("t"))
+    texts = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t")).orderBy("h").select("t").toArrow()
+    return texts.column("t").combine_chunks() if texts.num_rows else pa.array([], pa.string())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
