@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -88,6 +89,46 @@ def test_forward_and_counts_are_exact():
     assert np.allclose(op2_hmm.expected(model, kinds, np.array([0]), np.array([4]))[:n], starts / total)
 
 
+def plain_sums(model, seq):
+    """Baum-Welch sums of one sequence, unscaled, token by token."""
+    n, e = op2_hmm.STATES, model.emit[:, seq].T
+    a, b = [model.start * e[0]], [np.ones(n)]
+    for t in range(1, len(seq)):
+        a.append(a[-1] @ model.move * e[t])
+    for t in range(len(seq) - 1, 0, -1):
+        b.insert(0, model.move @ (e[t] * b[0]))
+    gamma = np.array([x * y / a[-1].sum() for x, y in zip(a, b)])
+    moves = sum((a[t][:, None] * model.move * (e[t + 1] * b[t + 1])[None] / a[-1].sum() for t in range(len(seq) - 1)), np.zeros((n, n)))
+    by_class = np.zeros((n, op2_hmm.CLASSES))
+    np.add.at(by_class.T, seq, gamma)
+    return np.concatenate((gamma[0], moves.ravel(), by_class.ravel()))
+
+
+def test_training_sums_see_texts_whole(monkeypatch):
+    """Starts, moves and emissions equal the plain recursions over whole texts, wherever segments are cut and however many are walked at once."""
+    rng = np.random.default_rng(5)
+    model = op2_hmm.Model.counted(rng.random(op2_hmm.STATES * (1 + op2_hmm.STATES + op2_hmm.CLASSES)) * 50, rng.random(op2_hmm.CLASSES) * 100)
+    sizes = np.array([1, 9, 4, 3, 30, 8, 1, 12])
+    kinds = rng.integers(0, 40, sizes.sum()).astype(np.uint16)
+    starts = np.cumsum(sizes) - sizes
+    want = sum(plain_sums(model, kinds[a:a + n].astype(int)) for a, n in zip(starts, sizes))
+    for segment, at_once in ((256, 2048), (4, 2048), (4, 3), (1, 5), (3, 1)):
+        monkeypatch.setattr(op2_hmm, "SEGMENT", segment)
+        monkeypatch.setattr(op2_hmm, "SEGMENTS", at_once)
+        assert np.allclose(op2_hmm.expected(model, kinds, starts, sizes), want, rtol=1e-9, atol=1e-12)
+
+
+def test_word_counts_by_ranges(spark, monkeypatch):
+    """Many narrow ranges count as one; the sums are those of the whole corpus."""
+    docs = spark.createDataFrame([(k, f"w{k % 5} Same x{k}") for k in range(60)], "doc_id long, text string").repartition(3)
+    few = rows_of(op2_hmm.score(docs))
+    monkeypatch.setattr(op2_hmm, "RANGE_WORDS", 2)
+    many = rows_of(op2_hmm.score(docs))
+    assert few == many and {r.n_tokens for r in few.values()} == {4}
+    trained = [k for k, r in few.items() if not r.held_out]
+    assert all(r.train_tokens == 4 * len(trained) and r.n_known == (4 if k in trained else 3) for k, r in few.items())
+
+
 def test_licences(spark, sf_dir, texts):
     known = {"MIT": "released under the mit license", "Apache-2.0": "licensed under the apache license version 2 0", "GPL": "gnu general public license version 3", "CC-BY-NC": "licensed under cc by nc 4 0"}
     for i, r in rows_of(queries.QUERIES["op3_licences"](spark, sf_dir)).items():
@@ -284,6 +325,30 @@ def test_token_files(spark, sf_dir, texts):
         assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_token_units():
+    """Units parted by numpy give the ids of whole texts, whatever marks, letters and spaces meet, also beyond a full table."""
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(7)
+    parts = ["a", "Bc", "7", ".", ",.", "(", "|", "_", "-", "'", "\x1c", "\xa0", "\u0307", "I", "é", "É", "½", "…", "«", " ", "\t", "\r\n", "\x0b", "中", "K", "\x85", "\U0001f600", "ſ"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(600)]
+    for own in (op9_tokens.encoder(WORDS), op9_tokens.WordEncoder(WORDS, most_units=20), op9_tokens.WordEncoder(WORDS, most_ids=10)):
+        for at in range(0, 600, 50):
+            group = [t.encode() for t in texts[at:at + 50]]
+            got = own.documents(b"".join(group), np.cumsum([0, *map(len, group)]))
+            for t, ids in zip(texts[at:at + 50], got, strict=True):
+                assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
+    assert [x.tolist() for x in own.documents(b"", np.zeros(1, np.int64))] == []
+
+
+def test_sampled_texts(spark):
+    """One whole text an id; rows without an id and repeated rows don't crowd the others out."""
+    rows = [(k, f"text {k}") for k in range(20)] + [(None, "none")] * 30 + [(3, "text 3")] * 30 + [(4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shared.sample_texts(docs, 5, "doc_id", "text").to_pylist()
+    want = sorted(range(20), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    assert got == [f"text {k}" for k in want[:5]] and len(shared.sample_texts(docs, 50, "doc_id", "text")) == 20
+    assert len(shared.sample_texts(docs.where("doc_id IS NULL"), 5, "doc_id", "text")) == 0
+
+
 def shingle_sets(texts):
     out = {}
     for i, t in texts.items():
