@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import block_of, id_bounds, partitions, ragged, sample_texts, slices, span_hashes, text_of, utf8, word_spans
+from tarifold.llm.shared import block_of, id_bounds, partitions, ragged, returning, sample_texts, slices, span_hashes, text_of, utf8, word_spans
 
 MAGIC = b"TOKIDS01"
 END_ID = 1
@@ -73,8 +73,8 @@ class WordEncoder:
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, lengths = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64)
-        for at in range(0, len(units), 10_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(units[at:at + 10_000], add_special_tokens=False)]
+        for at in range(0, len(units), 2000):  # the library keeps much beside the ids of a call
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(units[at:at + 2000], add_special_tokens=False)]
             lengths[at:at + len(got)] = list(map(len, got))
             flat.append(np.fromiter(chain.from_iterable(got), np.int32))
         return np.concatenate(flat), lengths
@@ -158,7 +158,7 @@ def encoder(path: str) -> WordEncoder:
 def encode_texts(path: str, batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids of each text."""
     at = 0
-    for part in slices(batch, column, 1 << 21):
+    for part in slices(batch, column, 1 << 20):
         for ids in encoder(path).documents(*utf8(part.column(column))):
             yield at, ids
             at += 1
@@ -230,9 +230,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, id_column: str =
         if writer is not None:
             yield writer.close()
 
-    frames = rows.mapInArrow(compress, "block int, doc_id long, n_tokens long, frame binary")
+    frames = rows.mapInArrow(returning(compress), "block int, doc_id long, n_tokens long, frame binary")
     ordered = frames.repartition(max(1, len(bounds)), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "frame")
-    files = sorted(ordered.mapInArrow(write, "block int, name string, n_docs long, n_tokens long").collect())  # one row per file
+    files = sorted(ordered.mapInArrow(returning(write), "block int, name string, n_docs long, n_tokens long").collect())  # one row per file
     out, start = [], 0
     for f in files:
         out.append({"name": f.name, "n_docs": f.n_docs, "n_tokens": f.n_tokens, "start": start})
