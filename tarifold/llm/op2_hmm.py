@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import held_out, mix, partitions, ragged, slices, span_hashes, store, text_of, utf8, word_spans
+from tarifold.llm.shared import drop_stored, held_out, mix, partitions, ragged, returning, rows_at_once, slices, span_hashes, store, text_of, utf8, word_spans
 
 FOLDS, HELD = 7, 2
 STATES, CLASSES, ROUNDS, SEGMENT, CHUNK_BYTES = 6, 1024, 3, 256, 5 << 19
-#: Words of all chunks that a range of hashes holds, about; segments that training walks at once.
-RANGE_WORDS, SEGMENTS = 1 << 20, 1 << 11
+#: Words of all chunks that a range of hashes holds, about; segments that training walks at once; chunks that go to Python at once.
+RANGE_WORDS, SEGMENTS, AT_ONCE = 1 << 20, 1 << 9, 2
 END = 0  # hash and class of the end token
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -80,7 +80,7 @@ def chunked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     "words": [words.tobytes()], "classes": [k[first].tobytes()], "trained": [counts.astype("<u4").tobytes()], "tokens": [index.astype("<u4").tobytes()]})
                 number += 1
 
-    return rows.mapInArrow(run, CHUNK)
+    return rows.mapInArrow(returning(run), CHUNK)
 
 
 def word_ranges(chunks: DataFrame, ranges: int) -> DataFrame:
@@ -96,7 +96,7 @@ def word_ranges(chunks: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(own), pa.int64()), pa.array([r for r, _, _ in own], pa.int64()),
                                                   *(pa.array([x[a:b].tobytes() for _, a, b in own], pa.binary()) for x in (w, k, c))], ["chunk", "range", "words", "classes", "trained"])
 
-    return chunks.select("chunk", "words", "classes", "trained").mapInArrow(run, "chunk long, range long, words binary, classes binary, trained binary")
+    return chunks.select("chunk", "words", "classes", "trained").mapInArrow(returning(run), "chunk long, range long, words binary, classes binary, trained binary")
 
 
 def corpus_counts(key: tuple, rows: pa.Table) -> pa.Table:
@@ -263,10 +263,11 @@ def train_round(chunks: DataFrame, model: Model) -> np.ndarray:
                     sums += expected(model, kinds, (np.cumsum(sizes) - sizes)[train], sizes[train])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["at", "value"])
 
-    parts = chunks.select("held", "sizes", "classes", "tokens").mapInArrow(run, "at long, value double")
+    parts = chunks.select("held", "sizes", "classes", "tokens").mapInArrow(returning(run), "at long, value double")
     out = np.zeros(STATES + STATES * STATES + STATES * CLASSES)
-    for r in parts.groupBy("at").agg(F.sum("value").alias("value")).collect():  # a fixed number of rows
-        out[r["at"]] = r["value"]
+    with rows_at_once(chunks.sparkSession, AT_ONCE):
+        for r in parts.groupBy("at").agg(F.sum("value").alias("value")).collect():  # a fixed number of rows
+            out[r["at"]] = r["value"]
     return out
 
 
@@ -275,7 +276,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     chunks = store(chunked(docs, id_column, text_column), "lm-chunks")
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(partitions(docs.sparkSession), -(-n_words // RANGE_WORDS))
-    known = store(word_ranges(chunks, ranges).groupBy("range").applyInArrow(corpus_counts, "chunk long, range long, counts binary, class int, c long, v long"), "lm-counts")
+    known = store(word_ranges(chunks, ranges).groupBy("range").applyInArrow(corpus_counts, "chunk long, range long, counts binary, class int, c long, v long"), "lm-counts", AT_ONCE)
     totals, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in known.where("chunk IS NULL").groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # at most CLASSES rows
         totals[r["class"]], distinct[r["class"]] = r["c"], r["v"]
@@ -303,4 +304,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                                                  ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     joined = chunks.join(packed, "chunk").select("docs", "held", "sizes", "classes", "tokens", "counts")
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = joined.mapInArrow(returning(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = store(scores, "lm-scores", AT_ONCE)
+    for done in (chunks, known):
+        drop_stored(done)
+    return out

@@ -9,6 +9,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,20 +38,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Within: the number of rows that go to Python at once, for functions over rows so large that the session's number of them wouldn't fit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    if n is not None:
+        spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def store(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors.
 
-    batch: rows that go to Python at once, for functions over rows so large that the session's number of them wouldn't fit."""
+    batch: rows that go to Python at once, as in rows_at_once()."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(key)
-    if batch is not None:
-        spark.conf.set(key, str(batch))
-    try:
+    with rows_at_once(spark, batch):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
