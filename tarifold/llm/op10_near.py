@@ -15,9 +15,9 @@ sets in two rounds: first each node with the least of its bucket heads, and, aft
 join different classes. Buckets that hold nodes of different classes after that are searched in rounds: their nodes are parted by
 registers from outside the band into blocks of about BLOCK sketches (a byte of each register of each signature), and each node
 is verified with its closest partner of another class that it hasn't met. Rounds end when one links nothing, and each deals
-the blocks anew, so pairs and rows grow in proportion to the nodes of a bucket, never with their square. With exact=True all
+the blocks anew, so their pairs and rows grow in proportion to the nodes of a bucket. What they leave is searched whole: all
 blocks of a bucket then meet each other and every promising pair is verified, so that no link depends on rounds; that costs
-the square of a bucket's size in the worst case. Pairs for which both signatures agree far too little
+the square of a bucket's size in the worst case. exact=False leaves this last search out and may miss links. Pairs for which both signatures agree far too little
 are left out before the sets are joined. Likeness is probability Jaccard or plain Jaccard of the sets, whichever is greater.
 Classes are the connected components; their id is the least doc_id.
 
@@ -352,12 +352,12 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)), "near-roots")
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", exact: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", exact: bool = True) -> DataFrame:
     """doc_id, class_id, class_size, copies (rows with the same shingles) of every row."""
     return classed(docs, id_column, text_column, exact).select("doc_id", "class_id", "class_size", "copies")
 
 
-def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", exact: bool = False) -> DataFrame:
+def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", exact: bool = True) -> DataFrame:
     """classes() with each row's text_key and root, which names its class: the class_id doesn't where rows of two classes share an id."""
     signed = store(sign(docs, id_column, text_column), "near-signed")
     nodes = store(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
