@@ -1,0 +1,24 @@
+"""How much work queries do: inputs read once, narrow rows in exchanges."""
+
+from pyspark.sql import functions as F
+
+from tarifold.operators.batch import parse_requests, run_batch
+from tests.rows import VM, hourly, make
+
+
+def test_a_batch_reads_its_requests_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    lines = ['{"command": "llm price", "args": {"model": "m"}}', '{"command": "aws ec2 list", "args": {"instance_type": "t"}}',
+             '{"command": "compare", "args": {"kind": "compute.vm"}}', '{"command": "fly"}',
+             '{"command": "estimate", "args": {"item": "aws/ec2:t:region=r"}}']
+    asked = spark.createDataFrame(list(enumerate(lines)), "request_id bigint, value string")
+    asked = asked.withColumn("value", F.udf(seen, "string").asNondeterministic()("value"))
+    rows = make(spark, {"id": "vm", "service": "ec2", "name": "t", "region": "r", "terms": VM, "prices": [hourly(0.5)]})
+    records = run_batch(parse_requests(asked), rows).collect()
+    assert {r.request_id: r.exit_code for r in records} == {0: 3, 1: 0, 2: 0, 3: 4, 4: 0}
+    assert read.value == len(lines)
