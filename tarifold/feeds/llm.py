@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tarifold.functions.terms import literal_terms
@@ -15,13 +17,21 @@ AGGREGATED = "openrouter"
 
 def price_fields(pricing: Column) -> Column:
     """Price field map as an array of prices; blank and zero fields are left out."""
+    return _prices({f: F.nullif(pricing[f], F.lit("")).cast("double") for f in PRICE_FIELDS})
+
+
+def _prices(amounts: dict[str, Column]) -> Column:
     every = F.array(*(F.struct(
-        F.lit(f).alias("dimension"), F.lit("").alias("tier"), F.lit("").alias("tier_upper"),
-        F.nullif(pricing[f], F.lit("")).cast("double").alias("amount"),
-        F.lit("request" if f == "request" else "token").alias("unit")) for f in PRICE_FIELDS))
+        F.lit(f).alias("dimension"), F.lit("").alias("tier"), F.lit("").alias("tier_upper"), amount.alias("amount"),
+        F.lit("request" if f == "request" else "token").alias("unit")) for f, amount in amounts.items()))
     return F.filter(every, lambda p: p["amount"].isNotNull() & (p["amount"] != 0))
 
 
+def _read_fields() -> Column:
+    """What is read of the price field map, as a struct: the map itself is wide and stays out of exchanges."""
+    return F.struct(*(F.col("pricing")[f].alias(f) for f in (*PRICE_FIELDS, "currency"))).alias("pricing")
+
+
 def model_kind(modality: Column, inputs: Column) -> Column:
     """llm.text for text models that read nothing but text, else llm.multimodal."""
     only_text = F.size(F.array_except(F.transform(inputs, F.lower), F.array(F.lit("text")))) == 0
@@ -36,8 +46,9 @@ def _currency() -> Column:
 def offers(models: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Every priced offer before the currency guard: one per endpoint, and the aggregate one per served model."""
     model = models.select(F.col("pos"), "id", "architecture", "supported_parameters",
-                          F.col("context_length").alias("m_context"), F.col("pricing").alias("m_pricing"), "top_provider")
-    served = endpoints.join(model, "id")
+                          F.col("context_length").alias("m_context"), _read_fields().alias("m_pricing"), "top_provider")
+    narrow = endpoints.select(*(c for c in endpoints.columns if c != "pricing"), _read_fields())
+    served = narrow.join(model.select("id", "pos", "architecture", "supported_parameters"), "id")
     shared = ["id", "pos", "architecture", "supported_parameters"]
     own = served.select(
         *shared, "e_pos", F.coalesce(F.nullif("tag", F.lit("")), "provider_name").alias("provider"), "quantization",
@@ -74,19 +85,21 @@ def openrouter(models: DataFrame, endpoints: DataFrame, observed_at: int | None
     usd = _currency() == "USD"
     df = df.filter(usd if skip_non_usd else F.when(usd, True).otherwise(F.raise_error(F.concat_ws(
         "/", F.lit("non-usd endpoint"), "id", "provider")).cast("boolean")))
-    inputs = F.coalesce("architecture.input_modalities", F.array().cast("array<string>"))
     df = df.withColumns({
-        "prices": price_fields(F.coalesce("pricing", F.create_map().cast("map<string,string>"))).cast(
-            f"array<{PRICE.simpleString()}>"), "inputs": inputs,
         "provider": F.coalesce("provider", F.raise_error(F.concat(
             F.lit("missing serving provider for "), F.col("id"))).cast("string")),
+        # four numbers travel, the prices with their names are built from the best offer
+        "amounts": F.struct(*(F.nullif(F.col("pricing")[f], F.lit("")).cast("double").alias(f) for f in PRICE_FIELDS)),
         "sku_id": F.concat_ws("::", "id", "provider", F.coalesce(F.nullif("quantization", F.lit("")), F.lit("default")))})
-    total = F.aggregate("prices", F.lit(0.0), lambda acc, p: acc + p["amount"])
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.col("amounts")[f], F.lit(0.0)) for f in PRICE_FIELDS))
     uptime = F.coalesce("health.uptime_30d", F.lit(-1.0))
-    keep = [c for c in df.columns if c != "sku_id"]
+    keep = [c for c in df.columns if c not in ("sku_id", "pricing", "pos", "e_pos")]
     best = df.groupBy("sku_id").agg(F.min_by(
         F.struct(*keep), F.struct(total.alias("t"), (-uptime).alias("u"), F.col("pos").alias("p"),
                                   F.col("e_pos").alias("e"))).alias("b")).select("sku_id", "b.*")
+    best = best.withColumns({
+        "inputs": F.coalesce("architecture.input_modalities", F.array().cast("array<string>")),
+        "prices": _prices({f: F.col("amounts")[f] for f in PRICE_FIELDS}).cast(f"array<{PRICE.simpleString()}>")})
     health = F.when(F.col("health").isNotNull(), F.col("health").withField(
         "observed_at", F.lit(observed_at).cast("bigint")))
     kind = model_kind(F.col("architecture.modality"), F.col("inputs"))

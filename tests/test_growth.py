@@ -22,3 +22,12 @@ def test_a_batch_reads_its_requests_once(spark):
     records = run_batch(parse_requests(asked), rows).collect()
     assert {r.request_id: r.exit_code for r in records} == {0: 3, 1: 0, 2: 0, 3: 4, 4: 0}
     assert read.value == len(lines)
+
+
+def test_offers_of_models_travel_narrow(spark, sf_dir):
+    from tarifold.plans import load_all
+    from tarifold.plans.registry import QUERIES
+    load_all()
+    plan = QUERIES["feed_openrouter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    wide = [a for line in plan.splitlines() if " partial_min_by(" in line for a in ("pricing#", "prices#", "inputs#") if a in line.split("functions=")[1]]
+    assert "partial_min_by(" in plan and not wide
