@@ -99,19 +99,24 @@ def lookup_many(rows: DataFrame, requests: DataFrame,
     columns they set: no request meets a row it does not name, and both sides are read once. Give `masks` (tuples of
     column names) when only some combinations occur. Adaptive execution splits a hot request key.
     """
+    asked, entered, keys = _met(rows, requests, required, optional, masks)
+    return _with_sorted_prices(asked.select(request_id, *keys).join(entered, keys).select(request_id, *rows.columns))
+
+
+def _met(rows: DataFrame, requests: DataFrame, required: tuple[str, ...], optional: tuple[str, ...],
+         masks: list[tuple[str, ...]] | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Requests and entered rows with the key columns on which they meet."""
     flags = (*optional, "terms_hash")
     if masks is None:
         masks = [tuple(f for f, on in zip(flags, bits) if on) for bits in product((True, False), repeat=len(flags))]
     mask = F.concat_ws(",", *(F.when(F.col(f).isNotNull(), f) for f in flags))
-    asked = requests.select(request_id, *required, mask.alias("_mask"),
-                            *(F.coalesce(f, F.lit("")).alias(f"_k_{f}") for f in flags))
+    asked = requests.withColumns({"_mask": mask, **{f"_k_{f}": F.coalesce(f, F.lit("")) for f in flags}})
     # Key columns first, so the rows' own columns keep their values whatever the combination.
     entered = rows.withColumn("_mask", F.explode(F.array(*(F.lit(",".join(m)) for m in masks))))
     held = F.split("_mask", ",")
     entered = entered.withColumns({
         f"_k_{f}": F.when(F.array_contains(held, f), F.col(f)).otherwise("") for f in flags})
-    keys = [*required, "_mask", *(f"_k_{f}" for f in flags)]
-    return _with_sorted_prices(asked.join(entered, keys).select(request_id, *rows.columns))
+    return asked, entered, [*required, "_mask", *(f"_k_{f}" for f in flags)]
 
 
 def lookup_exact(rows: DataFrame, requests: DataFrame, keys: tuple[str, ...],
@@ -120,6 +125,19 @@ def lookup_exact(rows: DataFrame, requests: DataFrame, keys: tuple[str, ...],
     return _with_sorted_prices(requests.select(request_id, *keys).join(rows, list(keys)))
 
 
+def lookup_missing(rows: DataFrame, requests: DataFrame,
+                   required: tuple[str, ...] = ("kind", "resource_name"),
+                   optional: tuple[str, ...] = ("provider", "service", "region"),
+                   request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Not-found records of lookup_many without its answers: one anti join of the requests with the entered rows' keys.
+
+    Ids of requests must be distinct; where they aren't, use `unmatched`."""
+    asked, entered, keys = _met(rows, requests, required, optional, masks)
+    filters = [c for c in requests.columns if c != request_id]
+    return asked.join(entered.select(*keys), keys, "left_anti").select(
+        request_id, F.lit("not_found").alias("code"), F.to_json(F.struct(*filters)).alias("applied_filters"))
+
+
 def unmatched(requests: DataFrame, answers: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Not-found records: the requests without any answer, with the filters they applied."""
     filters = [c for c in requests.columns if c != request_id]

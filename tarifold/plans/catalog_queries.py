@@ -117,10 +117,8 @@ def _lookup_bulk(spark: SparkSession, d: str) -> DataFrame:
 @query("lookup_not_found", WITH + _REQUESTS_SQL + """
 SELECT request_id, 'not_found' AS code FROM request WHERE request_id NOT IN (SELECT request_id FROM answer)""")
 def _lookup_not_found(spark: SparkSession, d: str) -> DataFrame:
-    requests = _requests(spark, d)
-    answers = L.lookup_many(star_rows(spark, d), requests, optional=("service", "region"),
-                            required=("kind", "resource_name", "provider"), masks=_MASKS)
-    return L.unmatched(requests, answers).select("request_id", "code")
+    return L.lookup_missing(star_rows(spark, d), _requests(spark, d), optional=("service", "region"),
+                            required=("kind", "resource_name", "provider"), masks=_MASKS).select("request_id", "code")
 
 
 _TERMS = {

@@ -31,3 +31,19 @@ def test_offers_of_models_travel_narrow(spark, sf_dir):
     plan = QUERIES["feed_openrouter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     wide = [a for line in plan.splitlines() if " partial_min_by(" in line for a in ("pricing#", "prices#", "inputs#") if a in line.split("functions=")[1]]
     assert "partial_min_by(" in plan and not wide
+
+
+def test_requests_without_an_answer_are_found_in_one_join(spark, sf_dir):
+    from tarifold.operators.lookup import lookup_many, lookup_missing, unmatched
+    from tarifold.plans import load_all
+    from tarifold.plans.registry import QUERIES
+    load_all()
+    df = QUERIES["lookup_not_found"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation" in line and "l_orderkey#" in line for line in plan.splitlines()) == 2
+    rows = make(spark, *({"id": f"s{k}", "service": f"v{k % 2}", "name": f"n{k % 3}", "region": f"r{k % 4}", "terms": VM} for k in range(8)))
+    asked = spark.createDataFrame(
+        [(k, "compute.vm", f"n{k % 4}", None, f"v{k % 3}" if k % 2 else None, f"r{k % 5}" if k % 3 else None, None) for k in range(40)],
+        "request_id int, kind string, resource_name string, provider string, service string, region string, terms_hash string")
+    want = unmatched(asked, lookup_many(rows, asked)).collect()
+    assert 0 < len(want) < 40 and sorted(lookup_missing(rows, asked).collect()) == sorted(want)
