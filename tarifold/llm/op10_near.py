@@ -14,10 +14,11 @@ least of a small part of it (parts of about PART nodes); pairs are verified on t
 sets in two rounds: first each node with the least of its bucket heads, and, after linking, all other pairs that still
 join different classes. Buckets that hold nodes of different classes after that are searched in rounds: their nodes are parted by
 registers from outside the band into blocks of about BLOCK sketches (a byte of each register of each signature), and each node
-is verified with its closest partner of another class that it hasn't met. Rounds end when one links nothing, and each deals
-the blocks anew, so their pairs and rows grow in proportion to the nodes of a bucket. What they leave is searched whole: all
-blocks of a bucket then meet each other and every promising pair is verified, so that no link depends on rounds; that costs
-the square of a bucket's size in the worst case. exact=False leaves this last search out and may miss links. Pairs for which both signatures agree far too little
+is verified with its closest partner of another class that it hasn't met. Each round deals the blocks anew, so their pairs and rows grow
+in proportion to the nodes of a bucket. Rounds end when one links fewer than one in FEW of its pairs, since
+what they leave is searched whole: all blocks of a bucket then meet each other and every promising pair is verified, so that no link
+depends on rounds; that costs the square of a bucket's size in the worst case. exact=False leaves this last search out, goes on
+with rounds until one links nothing, and may miss links. Pairs for which both signatures agree far too little
 are left out before the sets are joined. Likeness is probability Jaccard or plain Jaccard of the sets, whichever is greater.
 Classes are the connected components; their id is the least doc_id.
 
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, slices, span_hashes, store, text_of, unused, utf8, word_spans
 
 SHINGLE, LIKENESS, BANDS, ROWS, PART, BLOCK = 5, 0.8, 32, 6, 8, 256
+#: A round that links fewer than one in FEW of its pairs is the last before all blocks meet.
+FEW = 8
 #: Blocks that go to Python at once.
 BLOCKS_BATCH = 8
 #: Estimated likeness from which a pair is verified: its registers' standard error at LIKENESS is 0.03, so a true link has odds of one in a million to fall below.
@@ -161,7 +164,7 @@ def likeness(a: bytes, n_a: int, b: bytes, n_b: int) -> float:
     if not len(common):
         return 0.0
     plain = len(common) / (len(ha) + len(hb) - len(common))
-    if plain >= LIKENESS:
+    if plain >= LIKENESS or len(a) == 4 * n_a and len(b) == 4 * n_b:  # with weights of 1 both are the same
         return plain
     # sum over common d of 1 / sum over e of max(a_e / a_d, b_e / b_d), with the ratios b_e / a_e in order
     union = np.union1d(ha, hb)
@@ -235,9 +238,13 @@ def found_in(blocks: DataFrame, closest: bool) -> DataFrame:
     return blocks.select("entries").mapInArrow(run, "a binary, b binary, agree double")
 
 
+def rooted(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    return crowded.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def mixed_buckets(crowded: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with their buckets and roots, and the buckets whose nodes are of several classes: n, main (n and root of the greatest)."""
-    placed = crowded.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = rooted(crowded, roots)
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
     return placed, sizes.where("n > 2 AND n > main.n")
@@ -248,8 +255,9 @@ def partners(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, tried: D
 
     A node is in one block of each of its buckets: that of the nodes that agree with it in some further registers, dealt to
     blocks of about BLOCK where they are more. So rows and pairs are at most nodes times bands."""
-    placed, mixed = mixed_buckets(crowded, roots)
-    placed = placed.join(mixed.select("bucket", "n"), "bucket").join(sketches, "node")
+    placed = rooted(crowded, roots)
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("greatest"))
+    placed = placed.join(mixed.where("n > 2 AND least <> greatest").select("bucket", "n"), "bucket").join(sketches, "node")
     more = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int")
     at = (F.lit(1) + F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(REGISTERS) - F.least(more, F.lit(REGISTERS - 1)))).cast("int")
     placed = placed.withColumn("part", F.xxhash64("bucket", F.col("sketch").substr(at, more)))
@@ -293,6 +301,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a binary, b binary")
 
 
+def ends(pairs: DataFrame, name: str) -> DataFrame:
+    """Each node of the pairs (a, b) once: one exchange."""
+    return pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+
+
 def sieve(wanted: DataFrame, key: Column) -> Callable[[Column], Column]:
     """A test of a 64-bit hash that passes those of the wanted rows and some others: a bitmap of BITS bits, a fixed size.
 
@@ -327,13 +340,11 @@ def components(links: DataFrame) -> DataFrame:
     while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = store(large, "near-links")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")  # a row of each edge
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = store(small.select("e.*").where("u <> v").distinct(), "near-links")
         drop_stored(edges)
-        drop_stored(large)
         edges = small
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -379,7 +390,7 @@ def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     def known(pairs: DataFrame) -> DataFrame:
         """The shingles of the pairs' nodes, once each."""
-        wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+        wanted = ends(pairs, "node")
         own = sifted(signed.select("node", "n_shingles", "shingles"), wanted).dropDuplicates(["node"])
         return own.join(wanted, "node")
 
@@ -401,12 +412,12 @@ def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         rest = kept(partners(crowded, roots, sketches, tried, turn), "near-pairs", BLOCKS_BATCH)
         late = kept(verify(rest, known(rest)), "near-links")
         tried, turn = tried.unionByName(rest), turn + 1
-        if late.isEmpty():
+        if late.isEmpty() or exact and late.count() * FEW < rest.count():
             break
         roots = joined(roots, late)
-    if exact:
+    if exact:  # links of the last round, if any, are counted with those found here
         rest = kept(across(crowded, roots, sketches).join(tried, ["a", "b"], "left_anti"), "near-pairs", BLOCKS_BATCH)
-        roots = joined(roots, kept(verify(rest, known(rest)), "near-links"))
+        roots = joined(roots, kept(verify(rest, known(rest)), "near-links").unionByName(late))
     for table in scratch:
         if table is not roots:
             drop_stored(table)
