@@ -10,7 +10,7 @@ from tarifold.operators import batch as B, quality as Q, shape as O, versions as
 from tarifold.operators.rows import price, split_star
 from tarifold.plans.estimate_queries import card_rows
 from tarifold.plans.registry import query
-from tarifold.plans.star import STAR_SQL, star_rows, table
+from tarifold.plans.star import STAR_SQL, star_rows, star_snapshots, table
 from tarifold.schemas import STAR_KEYS
 
 WITH = "WITH " + STAR_SQL
@@ -79,8 +79,8 @@ def _star_change_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two_stars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, d, "lineitem")
-    return star_rows(spark, d, lines.filter("l_linestatus = 'F'")), star_rows(spark, d, lines.filter("l_returnflag <> 'R'"))
+    old, new = star_snapshots(spark, d, F.col("l_linestatus") == "F", F.col("l_returnflag") != "R")
+    return old, new
 
 
 @query("star_delta_apply", "WITH " + STAR_SQL.replace(
@@ -88,8 +88,9 @@ def _two_stars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 SELECT s.sku_id, s.provider, s.kind, s.region, s.tenancy, nullif(s.support_tier, '') AS support_tier, s.memory_gb, s.mode, dimension,
   amount, unit FROM sku s LEFT JOIN price p ON p.sku_id = s.sku_id""")
 def _star_delta_apply(spark: SparkSession, d: str) -> DataFrame:
-    old, new = _two_stars(spark, d)
-    star = V.apply_star_delta(split_star(old), V.star_delta(old, new))
+    # the star tables are read with few columns each, so they aren't taken from the snapshots' exchange
+    base = star_rows(spark, d, table(spark, d, "lineitem").filter("l_linestatus = 'F'"))
+    star = V.apply_star_delta(split_star(base), V.star_delta(*_two_stars(spark, d)))
     terms = star["terms"].select("sku_id", "tenancy", "support_tier")
     attrs = star["resource_attrs"].select("sku_id", "memory_gb", F.get_json_object("extra", "$.mode").alias("mode"))
     return (star["skus"].select("sku_id", "provider", "kind", "region").join(terms, "sku_id").join(attrs, "sku_id")

@@ -49,3 +49,20 @@ def test_requests_without_an_answer_are_found_in_one_join(spark, sf_dir):
         "request_id int, kind string, resource_name string, provider string, service string, region string, terms_hash string")
     want = unmatched(asked, lookup_many(rows, asked)).collect()
     assert 0 < len(want) < 40 and sorted(lookup_missing(rows, asked).collect()) == sorted(want)
+
+
+def test_two_snapshots_come_from_one_pass(spark, sf_dir):
+    from tarifold.plans import load_all
+    from tarifold.plans.registry import QUERIES
+    from tarifold.plans.star import star_rows, star_snapshots
+    load_all()
+    df = QUERIES["star_change_groups"](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Scan parquet" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    met = [F.col("l_linestatus") == "F", F.col("l_returnflag") != "R", F.lit(None).cast("boolean")]
+    for got, condition in zip(star_snapshots(spark, sf_dir, *met), met):
+        want = star_rows(spark, sf_dir, lines.filter(condition))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
