@@ -18,7 +18,7 @@ Jaccard likeness is PERCENT / 100 or more. All links between different sets are
   counterpart allow bounds the intersection from above. Pairs that the bound leaves are decided by intersecting the sorted
   sets of 48-bit hashes. (A false common element has odds of about 1 in 10^7 in sets of 10,000.)
 
-Blocks give each node's best partner of another component, round by round while that links anything, and in the end every
+Blocks give each node's best partner of another component, round by round while that links at least one in FEW pairs, and in the end every
 pair the bounds leave. So groups of near copies cost in proportion to their nodes; only pairs of unlinked sets whose likeness
 is just below the threshold are all looked at. Components are those of op10's star steps.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.op10_near import components, shingles, sieve
+from tarifold.llm.op10_near import FEW, components, ends, shingles, sieve
 from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, returning, slices, store, text_of, utf8
 
 SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 256, 2048
@@ -214,7 +214,7 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sorted sets have enough in common. Only the sets of these pairs are shuffled."""
-    wanted = pairs.select(F.col("a").alias("nid")).distinct().unionByName(pairs.select(F.col("b").alias("nid")).distinct()).distinct()
+    wanted = ends(pairs, "nid")
     own = reps.select("nid", "elements").where(sieve(wanted, F.xxhash64("nid"))(F.xxhash64("nid")))
     left, right = (own.select(F.col("nid").alias(c), F.col("elements").alias(f"s{c}")) for c in "ab")
 
@@ -290,8 +290,8 @@ def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataF
 
     pairs = blocks.select("entries").mapInArrow(run, "a long, b long, slack long").groupBy("a", "b").agg(F.max("slack").alias("slack")).join(tried, ["a", "b"], "left_anti")
     if closest:
-        ends = pairs.select(F.col("a").alias("nid"), "a", "b", "slack").unionByName(pairs.select(F.col("b").alias("nid"), "a", "b", "slack"))
-        pairs = ends.groupBy("nid").agg(F.max(F.struct("slack", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        both = pairs.select(F.col("a").alias("nid"), "a", "b", "slack").unionByName(pairs.select(F.col("b").alias("nid"), "a", "b", "slack"))
+        pairs = both.groupBy("nid").agg(F.max(F.struct("slack", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     return pairs.select("a", "b")
 
 
@@ -325,6 +325,10 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     tried = kept(others.groupBy(F.col("nid").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "jaccard-pairs")
     connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
     groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))), "jaccard-groups")
+    for table in (heads, crowded):  # groups have what is searched from now on
+        scratch.remove(table)
+        drop_stored(table)
+    free_exchanges(docs.sparkSession)
     links = kept(verified(kept(possible(tried, signs), "jaccard-pairs", SETS_BATCH), reps), "jaccard-links", SETS_BATCH)
     roots = store(roots_of(links), "jaccard-roots")
     closest = True
@@ -338,7 +342,7 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
             roots = store(roots_of(links), "jaccard-roots")
         if not closest:
             break
-        closest = linked_any
+        closest = linked_any and more.count() * FEW >= pairs.count()
     named = reps.select("node", "nid", "least_id", "copies").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("component_size"))
     named = store(named.join(ids, "root").select("node", "component_id", "component_size", "copies"), "jaccard-components")
