@@ -16,8 +16,10 @@ join different classes. Buckets that hold nodes of different classes after that
 registers from outside the band into blocks of about BLOCK sketches (a byte of each register of each signature), and each node
 is verified with its closest partner of another class that it hasn't met. Each round deals the blocks anew, so their pairs and rows grow
 in proportion to the nodes of a bucket. Rounds end when one links fewer than one in FEW of its pairs, since
-what they leave is searched whole: all blocks of a bucket then meet each other and every promising pair is verified, so that no link
-depends on rounds; that costs the square of a bucket's size in the worst case. exact=False leaves this last search out, goes on
+what they leave is searched whole: all blocks of a bucket, of about BLOCK_BYTES of sketches and sets, then meet each other, and every
+promising pair of different classes is verified where its blocks meet, so that no link depends on rounds. No pairs are listed: a meeting
+gives the links that join its classes, fewer than it has nodes. Its time is still the square of a bucket's size in the worst
+case, and its rows the square of a bucket's bytes over BLOCK_BYTES. exact=False leaves this last search out, goes on
 with rounds until one links nothing, and may miss links. Pairs for which both signatures agree far too little
 are left out before the sets are joined. Likeness is probability Jaccard or plain Jaccard of the sets, whichever is greater.
 Classes are the connected components; their id is the least doc_id.
@@ -37,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, slices, span_hashes, store, text_of, unused, utf8, word_spans
+from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, returning, slices, span_hashes, store, text_of, unused, utf8, word_spans
 
 SHINGLE, LIKENESS, BANDS, ROWS, PART, BLOCK = 5, 0.8, 32, 6, 8, 256
 #: A round that links fewer than one in FEW of its pairs is the last before all blocks meet.
 FEW = 8
+#: Bytes of sketches and sets in a block of the last search.
+BLOCK_BYTES = 1 << 20
 #: Blocks that go to Python at once.
 BLOCKS_BATCH = 8
 #: Estimated likeness from which a pair is verified: its registers' standard error at LIKENESS is 0.03, so a true link has odds of one in a million to fall below.
@@ -225,12 +229,48 @@ def close_pairs(block: list[bytes], closest: bool) -> Iterator[tuple[bytes, byte
         yield min(a, b), max(a, b), float(agree[i, j])
 
 
-def found_in(blocks: DataFrame, closest: bool) -> DataFrame:
-    """Promising pairs (a, b, agree) in each block's entries."""
+def joining_pairs(node: list[bytes], root: list[bytes], side: np.ndarray, sketch: list[bytes], sizes: np.ndarray, sets: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Alike pairs of entries that join their classes: every promising pair of classes that aren't joined yet is verified.
+
+    With both sides, pairs across them."""
+    _, group = np.unique(np.array(root, "V16"), return_inverse=True)
+    both = both_sketches(sketch)
+    kinds = [np.ascontiguousarray(both[:, k]) for k in range(2 if any(len(x) > REGISTERS for x in sketch) else 1)]
+    weighted = np.array([len(x) for x in sets]) > 4 * sizes
+    one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
+    flat, starts, mark = None, None, None
+    for k, i in enumerate(one):
+        rest = two if side.any() else two[k + 1:]
+        rest = rest[group[rest] != group[i]]
+        if not len(rest):
+            continue
+        same = np.max([np.count_nonzero(x[rest] == x[i], axis=1) for x in kinds], axis=0)
+        rest = rest[agreement(same / REGISTERS) >= ESTIMATE]
+        if not len(rest):
+            continue
+        if flat is None:  # places of the elements among all of the block
+            values, flat = np.unique(np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(sets, sizes)]), return_inverse=True)
+            starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(values), bool)
+        own = flat[starts[i]:starts[i] + sizes[i]]
+        mark[own] = True
+        rows, pos = ragged(sizes[rest])
+        common = np.bincount(rows, mark[flat[starts[rest][rows] + pos]], len(rest))
+        mark[own] = False
+        plain = common / (sizes[i] + sizes[rest] - common)
+        for j, alike in zip(rest[np.argsort(-plain, kind="stable")].tolist(), -np.sort(-plain)):
+            if group[i] == group[j] or alike < LIKENESS and not (weighted[i] or weighted[j]):
+                continue
+            if alike >= LIKENESS or likeness(sets[i], int(sizes[i]), sets[j], int(sizes[j])) >= LIKENESS:
+                group[group == group[j]] = group[i]
+                yield min(node[i], node[j]), max(node[i], node[j])
+
+
+def found_in(blocks: DataFrame) -> DataFrame:
+    """The closest pairs (a, b, agree) of each block's entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0):
-                found = list(close_pairs(block.as_py(), closest))
+                found = list(close_pairs(block.as_py(), True))
                 if found:
                     a, b, agree = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(agree)], ["a", "b", "agree"])
@@ -239,14 +279,14 @@ def found_in(blocks: DataFrame, closest: bool) -> DataFrame:
 
 
 def rooted(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    return crowded.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return crowded.select("bucket", "node", "bytes").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def mixed_buckets(crowded: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their buckets and roots, and the buckets whose nodes are of several classes: n, main (n and root of the greatest)."""
+    """Nodes with their buckets and roots, and the buckets whose nodes are of several classes: n, bytes, main (n, root and bytes of the greatest)."""
     placed = rooted(crowded, roots)
-    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("bucket").agg(
+        F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     return placed, sizes.where("n > 2 AND n > main.n")
 
 
@@ -257,35 +297,45 @@ def partners(crowded: DataFrame, roots: DataFrame, sketches: DataFrame, tried: D
     blocks of about BLOCK where they are more. So rows and pairs are at most nodes times bands."""
     placed = rooted(crowded, roots)
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("greatest"))
-    placed = placed.join(mixed.where("n > 2 AND least <> greatest").select("bucket", "n"), "bucket").join(sketches, "node")
+    placed = placed.join(mixed.where("n > 2 AND least <> greatest").select("bucket", "n"), "bucket").drop("bytes").join(sketches, "node")
     more = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int")
     at = (F.lit(1) + F.pmod(F.xxhash64("bucket", F.lit(turn)), F.lit(REGISTERS) - F.least(more, F.lit(REGISTERS - 1)))).cast("int")
     placed = placed.withColumn("part", F.xxhash64("bucket", F.col("sketch").substr(at, more)))
     sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = placed.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")))
     blocks = dealt.groupBy("part", "block").agg(F.collect_list(F.concat("node", "root", F.lit("0").cast("binary"), "sketch")).alias("entries"))  # about BLOCK
-    fresh = found_in(blocks, True).groupBy("a", "b").agg(F.max("agree").alias("agree")).join(tried, ["a", "b"], "left_anti")
+    fresh = found_in(blocks).groupBy("a", "b").agg(F.max("agree").alias("agree")).join(tried, ["a", "b"], "left_anti")
     ends = fresh.select(F.col("a").alias("node"), "a", "b", "agree").unionByName(fresh.select(F.col("b").alias("node"), "a", "b", "agree"))
     return ends.groupBy("node").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def across(crowded: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes that share a bucket, are of different classes and have sketches like those of alike sets.
+def across(crowded: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """Alike pairs (a, b) that join the classes of every bucket's nodes.
 
-    The nodes of a bucket's greatest class are dealt to blocks, the others to further blocks; blocks of the greatest class
-    meet the further blocks, and these meet all. So a bucket of n nodes with few outside its greatest class costs about n."""
+    The nodes of a bucket's greatest class are dealt to blocks of about BLOCK_BYTES, the others to further blocks; blocks of the greatest
+    class meet the further blocks, and these meet all. So a bucket with few nodes outside its greatest class costs about its bytes."""
     placed, mixed = mixed_buckets(crowded, roots)
-    whole = F.col("n") <= BLOCK  # one block holds the bucket
+    whole = F.col("bytes") <= BLOCK_BYTES  # one block holds the bucket
     mixed = mixed.select(
-        "bucket", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(F.ceil(F.col("main.n") / BLOCK)).alias("mains"),
-        F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / BLOCK)).alias("others"))
-    placed = placed.join(mixed, "bucket").withColumn("is_main", F.expr("mains > 0 AND root = main"))
+        "bucket", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(F.ceil(F.col("main.bytes") / BLOCK_BYTES)).alias("mains"),
+        F.when(whole, 1).otherwise(F.ceil((F.col("bytes") - F.col("main.bytes")) / BLOCK_BYTES)).alias("others"))
+    placed = placed.drop("bytes").join(mixed, "bucket").withColumn("is_main", F.expr("mains > 0 AND root = main"))
     placed = placed.withColumn("block", F.expr("IF(is_main, pmod(xxhash64(node), greatest(mains, 1)), mains + pmod(xxhash64(node), others))"))
     placed = placed.select("node", "root", "bucket", "block", F.explode(F.expr("sequence(IF(is_main, mains, 0), mains + others - 1)")).alias("mate"))
-    entry = F.concat("node", "root", F.when(F.col("block") > F.col("mate"), "1").otherwise("0").cast("binary"), "sketch")
-    blocks = placed.join(sketches, "node").groupBy("bucket", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j")).agg(
+    own = sifted(signed.select("node", "sketch", "n_shingles", "shingles"), placed).dropDuplicates(["node"])
+    entry = F.struct("node", "root", (F.col("block") > F.col("mate")).cast("int").alias("side"), "sketch", "n_shingles", "shingles")
+    blocks = placed.join(own, "node").groupBy("bucket", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j")).agg(
         F.collect_list(entry).alias("entries"))  # about two blocks
-    return found_in(blocks, False).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                node, root, side, sketch, sizes, sets = (block.values.field(k) for k in range(6))
+                found = list(joining_pairs(node.to_pylist(), root.to_pylist(), side.to_numpy(), sketch.to_pylist(), sizes.to_numpy().astype(np.int64), sets.to_pylist()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
+
+    return blocks.select("entries").mapInArrow(returning(run), "a binary, b binary").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -373,8 +423,9 @@ def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     signed = store(sign(docs, id_column, text_column), "near-signed")
     nodes = store(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
     # copies meet in map-side aggregates: one row per node and task is shuffled
-    banded = store(signed.where("n_shingles > 0").select("node", "bands", "sketch").dropDuplicates(["node"]), "near-bands")
-    entries = banded.select("node", F.explode("bands").alias("bucket"))
+    weighs = (F.octet_length("sketch") + F.octet_length("shingles") + 64).cast("long").alias("bytes")
+    banded = store(signed.where("n_shingles > 0").select("node", "bands", "sketch", weighs).dropDuplicates(["node"]), "near-bands")
+    entries = banded.select("node", "bytes", F.explode("bands").alias("bucket"))
     sketches = banded.select("node", "sketch")
     heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     scratch = [banded]
@@ -416,8 +467,7 @@ def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             break
         roots = joined(roots, late)
     if exact:  # links of the last round, if any, are counted with those found here
-        rest = kept(across(crowded, roots, sketches).join(tried, ["a", "b"], "left_anti"), "near-pairs", BLOCKS_BATCH)
-        roots = joined(roots, kept(verify(rest, known(rest)), "near-links").unionByName(late))
+        roots = joined(roots, kept(across(crowded, roots, signed), "near-links", BLOCKS_BATCH).unionByName(late))
     for table in scratch:
         if table is not roots:
             drop_stored(table)
