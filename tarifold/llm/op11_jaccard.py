@@ -12,7 +12,7 @@ Jaccard likeness is PERCENT / 100 or more. All links between different sets are
   such places, which are rare, and with that no link is lost. Only sets with a common key are compared.
 - Each node is first compared with the least node of its keys. Nodes that keys connect, directly or over others, make a
   cluster; a pair outside a cluster can't be linked. Clusters that are then still of several components are searched in
-  blocks of about BLOCK nodes: whole if they have at most CLUSTER nodes, so that a node's bitmap travels once and not once
+  blocks of about BLOCK_BYTES of bitmaps and at most about BLOCK nodes: whole if they have at most CLUSTER nodes, so that a node's bitmap travels once and not once
   for each of its keys, and larger ones key by key.
 - A comparison begins with bitmaps of hashed elements, about eight bits an element: what |A| - |bits of A not in B| and its
   counterpart allow bounds the intersection from above. Pairs that the bound leaves are decided by intersecting the sorted
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from tarifold.llm.op10_near import FEW, components, ends, shingles, sieve
 from tarifold.llm.shared import drop_stored, free_exchanges, mix, ragged, returning, slices, store, text_of, utf8
 
-SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 256, 2048
+SHINGLE, PERCENT, BLOCK, CLUSTER = 3, 90, 4096, 2048
+#: Bytes of bitmaps in a block; nodes whose bitmaps are compared with others at once.
+BLOCK_BYTES, ROWS = 1 << 20, 128
 #: Bytes of sets that a task unpacks at once; rows with sets, and blocks, that go to Python at once.
 SETS_BYTES, SETS_BATCH, BLOCKS_BATCH = 1 << 21, 256, 2
 WIDTH = 6  # bytes of an element
@@ -231,26 +233,34 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(block: list[dict], closest: bool) -> Iterator[tuple[int, int, int]]:
+def block_pairs(nid: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes], closest: bool) -> Iterator[tuple[int, int, int]]:
     """Pairs of nodes of different components that the bound leaves, with their slack; a side meets the other, or all meet all.
 
-    With closest, the best pair of each node that has one."""
-    side = np.array([e["side"] for e in block])
-    groups = [[e for e, s in zip(block, side) if s == k] for k in (0, 1)] if side.any() else [block, block]
-    one, two = groups
-    if not one or not two:
-        return
-    (na, ra), (nb, rb) = ((np.array([e["n"] for e in g]), np.array([e["root"] for e in g])) for g in groups)
-    most = bound([e["bits"] for e in one], na, [e["bits"] for e in two], nb)
-    slack = np.where((ra[:, None] != rb[None, :]) & linked(most, na[:, None], nb[None, :]), (100 + PERCENT) * most - PERCENT * (na[:, None] + nb[None, :]), -1)
-    if closest:
-        found = np.concatenate((np.stack((np.arange(len(one)), slack.argmax(axis=1)), axis=1), np.stack((slack.argmax(axis=0), np.arange(len(two))), axis=1)))
-        found = found[slack[found[:, 0], found[:, 1]] >= 0]
-    else:
-        found = np.argwhere(slack >= 0)
-    for i, j in found.tolist():
-        a, b = one[i]["nid"], two[j]["nid"]
-        yield min(a, b), max(a, b), int(slack[i, j])
+    With closest, the best pair of each node that has one. Nodes are taken by size, so that only those of alike sizes meet and
+    bitmaps are folded little."""
+    order = np.argsort(n, kind="stable")
+    one, two = (order[side[order] == 0], order[side[order] == 1]) if side.any() else (order, order)
+    best, mate = np.full(len(nid), -1), np.zeros(len(nid), np.int64)
+    for k in range(0, len(one), ROWS):
+        rows = one[k:k + ROWS]
+        a, b = np.searchsorted(100 * n[two], PERCENT * n[rows[0]], "left"), np.searchsorted(PERCENT * n[two], 100 * n[rows[-1]], "right")
+        cols = two[a:b] if side.any() else two[max(a, k):b]  # those before have met these
+        if not len(cols):
+            continue
+        most = bound([bits[i] for i in rows], n[rows], [bits[j] for j in cols], n[cols])
+        na, nb = n[rows][:, None], n[cols][None, :]
+        slack = np.where((root[rows][:, None] != root[cols][None, :]) & linked(most, na, nb), (100 + PERCENT) * most - PERCENT * (na + nb), -1)
+        if closest:
+            for own, other, values in ((rows, cols, slack), (cols, rows, slack.T)):
+                top = values.argmax(axis=1)
+                value = values[np.arange(len(own)), top]
+                better = value > best[own]
+                best[own[better]], mate[own[better]] = value[better], other[top[better]]
+        else:
+            for i, j in np.argwhere(slack >= 0).tolist():
+                yield *sorted((int(nid[rows[i]]), int(nid[cols[j]]))), int(slack[i, j])
+    for i in np.flatnonzero(best >= 0):
+        yield *sorted((int(nid[i]), int(nid[mate[i]]))), int(best[i])
 
 
 def grouped(crowded: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -262,20 +272,27 @@ def grouped(crowded: DataFrame, clusters: DataFrame) -> DataFrame:
     return whole.unionByName(crowded.select("nid", "key").join(large, "nid", "left_semi").select("nid", F.lit(False).alias("small"), "key"))
 
 
-def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataFrame, closest: bool) -> DataFrame:
-    """Untried pairs (a, b) of different components that share a group and that the bound leaves: all, or each node's best.
+def meetings(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """nid, root, key, block and mate: the blocks of each group's nodes, and the blocks that theirs meets.
 
     Groups with nodes of one component only are left out. The others' nodes are dealt to blocks, those of the group's largest
     component apart; its blocks meet the further blocks, and these meet all."""
-    placed = groups.select(F.struct("small", "key").alias("key"), "nid").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
-    whole = F.col("n") <= BLOCK
+    placed = groups.select(F.struct("small", "key").alias("key"), "nid", "bytes").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("key").agg(
+        F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = "greatest(ceil({0} / %d), ceil({1} / %d))" % (BLOCK, BLOCK_BYTES)
+    whole = F.expr(blocks.format("n", "bytes")) <= 1
     mixed = sizes.where("n > main.n").select(
-        "key", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(F.ceil(F.col("main.n") / BLOCK)).alias("mains"),
-        F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("main.n")) / BLOCK)).alias("others"))
-    placed = placed.join(mixed, "key").withColumn("is_main", F.expr("mains > 0 AND root = main"))
+        "key", F.col("main.root").alias("main"), F.when(whole, 0).otherwise(F.expr(blocks.format("main.n", "main.bytes"))).alias("mains"),
+        F.when(whole, 1).otherwise(F.expr(blocks.format("(n - main.n)", "(bytes - main.bytes)"))).alias("others"))
+    placed = placed.drop("bytes").join(mixed, "key").withColumn("is_main", F.expr("mains > 0 AND root = main"))
     placed = placed.withColumn("block", F.expr("IF(is_main, pmod(xxhash64(nid), greatest(mains, 1)), mains + pmod(xxhash64(nid), others))"))
-    placed = placed.select("nid", "root", "key", "block", F.explode(F.expr("sequence(IF(is_main, mains, 0), mains + others - 1)")).alias("mate"))
+    return placed.select("nid", "root", "key", "block", F.explode(F.expr("sequence(IF(is_main, mains, 0), mains + others - 1)")).alias("mate"))
+
+
+def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataFrame, closest: bool) -> DataFrame:
+    """Untried pairs (a, b) of different components that share a group and that the bound leaves: all, or each node's best."""
+    placed = meetings(groups, roots)
     entry = F.struct("nid", "root", "n", (F.col("block") > F.col("mate")).cast("int").alias("side"), "bits")
     blocks = placed.join(signs, "nid").groupBy("key", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j")).agg(F.collect_list(entry).alias("entries"))  # about two blocks
 
@@ -283,7 +300,8 @@ def searched(groups: DataFrame, roots: DataFrame, signs: DataFrame, tried: DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0):
-                found = list(block_pairs(block.as_py(), closest))
+                nid, root, n, side, bits = (block.values.field(k) for k in range(5))
+                found = list(block_pairs(*(x.to_numpy().astype(np.int64) for x in (nid, root, n, side)), bits.to_pylist(), closest))
                 if found:
                     a, b, slack = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(slack, pa.int64())], ["a", "b", "slack"])
@@ -304,9 +322,13 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_shingles, component_id, component_size (rows) and copies (rows with the same set) of every row."""
     signed = store(sets_of(docs, id_column, text_column), "jaccard-sets", SETS_BATCH)
     members = store(signed.select("doc_id", "node", "n_shingles"), "jaccard-members")
-    # copies meet in map-side aggregates: one set per node and task is shuffled
-    reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    reps = store(reps.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
+    # sets that occur once stay where they are; the others, and some that a bitmap lets through, are shuffled to meet their copies
+    named = signed.where("node IS NOT NULL")
+    again = members.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    maybe = sieve(again, F.xxhash64("node"))(F.xxhash64("node"))
+    merged = named.where(maybe).groupBy("node").agg(F.first("elements").alias("elements"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    reps = named.where(~maybe).select("node", "elements", F.col("doc_id").alias("least_id"), F.lit(1).cast("long").alias("copies")).unionByName(merged)
+    reps = store(reps.withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes", SETS_BATCH)
     drop_stored(signed)
     free_exchanges(docs.sparkSession)
     scratch: list[DataFrame] = []
@@ -324,7 +346,8 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     others = crowded.where("nid <> head")
     tried = kept(others.groupBy(F.col("nid").alias("b")).agg(F.min("head").alias("a")).select("a", "b"), "jaccard-pairs")
     connected = components(others.select(F.col("head").alias("a"), F.col("nid").alias("b")).distinct())
-    groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))), "jaccard-groups")
+    weighs = signs.select("nid", (F.octet_length("bits") + 64).cast("long").alias("bytes"))
+    groups = kept(grouped(crowded, connected.select(F.col("node").alias("nid"), F.col("root").alias("cluster"))).join(weighs, "nid"), "jaccard-groups")
     for table in (heads, crowded):  # groups have what is searched from now on
         scratch.remove(table)
         drop_stored(table)
