@@ -66,3 +66,54 @@ def test_two_snapshots_come_from_one_pass(spark, sf_dir):
         want = star_rows(spark, sf_dir, lines.filter(condition))
         assert got.schema.simpleString() == want.schema.simpleString()
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def _shuffled_rows(spark, df):
+    """Rows that exchanges of the finished plan hold, by Spark's own counts, and the rows of the result."""
+    n = len(df.collect())
+    todo, seen, rows = [df._jdf.queryExecution().executedPlan()], set(), 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, n
+
+
+def test_answers_of_a_batch_stay_where_they_are_made(spark, monkeypatch):
+    from tarifold.operators import lookup
+    machines, asked = 60, 100
+    rows = make(spark, *({"id": f"vm{k:02}", "service": "ec2", "name": "t", "region": f"r{k % 7}", "terms": VM, "prices": [hourly(0.5)]}
+                         for k in range(machines))).persist()
+    line = '{"command": "aws ec2 list", "args": {"instance_type": "%s"}}'
+    lines = spark.range(asked + 1).selectExpr("id AS request_id", f"IF(id = {asked}, '{line % 'u'}', '{line % 't'}') AS value")
+    records = run_batch(parse_requests(lines), rows)
+    shuffled, n = _shuffled_rows(spark, records)
+    assert n == machines * asked + 1 and shuffled < n / 4
+    monkeypatch.setattr(lookup, "BLOCK", 8, raising=False)
+    got = {}
+    for r in run_batch(parse_requests(lines), rows).collect():
+        got.setdefault(r.request_id, []).append((r.position, r.region, r.sku_id, r.exit_code, r.error))
+    assert got.pop(asked) == [(None, None, None, 3, '{"code":"not_found","applied_filters":{"instance_type":"u"}}')]
+    want = sorted((f"r{k % 7}", f"vm{k:02}") for k in range(machines))
+    assert len(got) == asked and all(sorted(g) == [(i + 1, *w, 0, None) for i, w in enumerate(want)] for g in got.values())
+
+
+def test_comparisons_enter_only_rows_of_kinds_and_places_asked_for(spark):
+    from tarifold.operators.compare_bulk import compare_many
+    rows = make(spark, *({"id": f"{kind}{k}", "kind": kind, "region": f"r{k % 10}", "terms": VM if kind == "compute.vm" else {"tenancy": "redis"},
+                          "name": f"n{k}", "prices": [hourly(1.0 + k)], "attrs": {"memory_gb": float(k)}}
+                         for kind in ("compute.vm", "cache.kv", "dns.zone") for k in range(200)))
+    places = spark.createDataFrame([(f"r{k}", [f"r{k}"]) for k in range(10)], "name string, literals array<string>")
+    asked = spark.createDataFrame([(1, "cache.kv", ["r3"], 100)], "request_id int, kind string, regions array<string>, `limit` int")
+    found = compare_many(rows.persist(), asked, places)
+    shuffled, n = _shuffled_rows(spark, found)
+    assert n == 20 and shuffled < 200
