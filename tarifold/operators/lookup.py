@@ -7,6 +7,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tarifold.functions.cases import first_case
 from tarifold.functions.terms import terms_hash
 from tarifold.operators.rows import min_price, sorted_prices
 from tarifold.schemas import TERM_FIELDS
@@ -93,32 +94,57 @@ def lookup_llm(rows: DataFrame, model: str, serving_provider: str = "", include_
 def lookup_many(rows: DataFrame, requests: DataFrame,
                 required: tuple[str, ...] = ("kind", "resource_name"),
                 optional: tuple[str, ...] = ("provider", "service", "region"),
-                request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None) -> DataFrame:
+                request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None,
+                entered: list[tuple[str, ...]] | None = None, shown: tuple[Column | str, ...] | None = None) -> DataFrame:
     """Answer a table of lookup requests: request_id, the required and optional names, and terms_hash.
 
     A null in an optional column, or in terms_hash, switches that condition off. Every catalog row is entered under
     each combination of conditions that can reach it, so all requests are answered by one equi-join on exactly the
     columns they set: no request meets a row it does not name, and both sides are read once. Give `masks` (tuples of
     column names) when only some combinations occur. Adaptive execution splits a hot request key.
+
+    Where few rows share the required names, a row needn't cross the exchange once for each combination: `entered` lists the combinations
+    to enter rows under, `[()]` for the required names alone. A request meets rows under the first whose conditions it sets, and its
+    other conditions are compared there. `shown` are the columns to answer with, all by default, computed once for a row, whose prices
+    are in presentation order.
     """
-    asked, entered, keys = _met(rows, requests, required, optional, masks)
-    return _with_sorted_prices(asked.select(request_id, *keys).join(entered, keys).select(request_id, *rows.columns))
+    asked, met, keys, rest = _met(_with_sorted_prices(rows), requests, required, optional, masks, entered)
+    met = met.select(*(F.col(k).alias(f"_e_{k}") for k in keys), *(F.col(f).alias(f"_r_{f}") for f in rest), *(shown or rows.columns))
+    asked = asked.select(F.col(request_id).alias("_id"), *(F.col(k).alias(f"_a_{k}") for k in keys), *(F.col(f).alias(f"_w_{f}") for f in rest))
+    out = asked.join(met, _meets(keys, rest))
+    return out.select(F.col("_id").alias(request_id), *(c for c in met.columns if c not in (
+        *(f"_e_{k}" for k in keys), *(f"_r_{f}" for f in rest))))
+
+
+def _meets(keys: list[str], rest: list[str]) -> Column:
+    """A request (_a_ and _w_ columns) names a row (_e_ and _r_ columns): equal keys, and equal conditions where it sets any."""
+    return _all([F.col(f"_a_{k}") == F.col(f"_e_{k}") for k in keys]
+                + [F.col(f"_w_{f}").isNull() | (F.col(f"_w_{f}") == F.col(f"_r_{f}")) for f in rest])
 
 
 def _met(rows: DataFrame, requests: DataFrame, required: tuple[str, ...], optional: tuple[str, ...],
-         masks: list[tuple[str, ...]] | None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Requests and entered rows with the key columns on which they meet."""
+         masks: list[tuple[str, ...]] | None, under: list[tuple[str, ...]] | None = None
+         ) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Requests and entered rows with the key columns on which they meet, and the conditions left to compare."""
     flags = (*optional, "terms_hash")
-    if masks is None:
-        masks = [tuple(f for f, on in zip(flags, bits) if on) for bits in product((True, False), repeat=len(flags))]
-    mask = F.concat_ws(",", *(F.when(F.col(f).isNotNull(), f) for f in flags))
-    asked = requests.withColumns({"_mask": mask, **{f"_k_{f}": F.coalesce(f, F.lit("")) for f in flags}})
+    if under is None:
+        if masks is None:
+            masks = [tuple(f for f, on in zip(flags, bits) if on) for bits in product((True, False), repeat=len(flags))]
+        mask = F.concat_ws(",", *(F.when(F.col(f).isNotNull(), f) for f in flags))
+        asked = requests.withColumns({"_mask": mask, **{f"_k_{f}": F.coalesce(f, F.lit("")) for f in flags}})
+        under, held, rest = masks, flags, []
+    else:
+        sets = [(_all([F.col(f).isNotNull() for f in m]), m) for m in under]
+        held = [f for f in flags if any(f in m for m in under)]
+        asked = requests.withColumn("_mask", first_case((given, ",".join(m)) for given, m in sets))
+        asked = asked.withColumns({f"_k_{f}": F.when(F.array_contains(F.split("_mask", ","), f), F.col(f)).otherwise("") for f in held})
+        rest = list(flags)
     # Key columns first, so the rows' own columns keep their values whatever the combination.
-    entered = rows.withColumn("_mask", F.explode(F.array(*(F.lit(",".join(m)) for m in masks))))
-    held = F.split("_mask", ",")
+    entered = rows.withColumn("_mask", F.explode(F.array(*(F.lit(",".join(m)) for m in under)))) if under != [()] else rows
+    names = F.split("_mask", ",")
     entered = entered.withColumns({
-        f"_k_{f}": F.when(F.array_contains(held, f), F.col(f)).otherwise("") for f in flags})
-    return asked, entered, [*required, "_mask", *(f"_k_{f}" for f in flags)]
+        f"_k_{f}": F.when(F.array_contains(names, f), F.col(f)).otherwise("") for f in held}) if held else entered
+    return asked, entered, [*required, *(["_mask"] if under != [()] else []), *(f"_k_{f}" for f in held)], rest
 
 
 def lookup_listed(rows: DataFrame, requests: DataFrame, order: tuple[Column | str, ...], shown: tuple[Column | str, ...],
@@ -132,7 +158,7 @@ def lookup_listed(rows: DataFrame, requests: DataFrame, order: tuple[Column | st
     Rows are numbered under each name they are entered under, so answers are neither sorted nor shuffled, however many there are. Requests
     meet the rows of their name in blocks of BLOCK: rows of one name spread over tasks, and a request travels once for each block.
     """
-    asked, entered, keys = _met(rows, requests, required, optional, masks)
+    asked, entered, keys, _ = _met(rows, requests, required, optional, masks)
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     listed = entered.select(*keys, position.alias("position"), F.struct(*shown).alias("_row")).withColumn(
         "_block", F.floor((F.col("position") - 1) / BLOCK))
@@ -156,13 +182,16 @@ def lookup_exact(rows: DataFrame, requests: DataFrame, keys: tuple[str, ...],
 def lookup_missing(rows: DataFrame, requests: DataFrame,
                    required: tuple[str, ...] = ("kind", "resource_name"),
                    optional: tuple[str, ...] = ("provider", "service", "region"),
-                   request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None) -> DataFrame:
+                   request_id: str = "request_id", masks: list[tuple[str, ...]] | None = None,
+                   entered: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Not-found records of lookup_many without its answers: one anti join of the requests with the entered rows' keys.
 
     Ids of requests must be distinct; where they aren't, use `unmatched`."""
-    asked, entered, keys = _met(rows, requests, required, optional, masks)
+    asked, met, keys, rest = _met(rows, requests, required, optional, masks, entered)
+    met = met.select(*(F.col(k).alias(f"_e_{k}") for k in keys), *(F.col(f).alias(f"_r_{f}") for f in rest))
+    asked = asked.select(*requests.columns, *(F.col(k).alias(f"_a_{k}") for k in keys), *(F.col(f).alias(f"_w_{f}") for f in rest))
     filters = [c for c in requests.columns if c != request_id]
-    return asked.join(entered.select(*keys), keys, "left_anti").select(
+    return asked.join(met, _meets(keys, rest), "left_anti").select(
         request_id, F.lit("not_found").alias("code"), F.to_json(F.struct(*filters)).alias("applied_filters"))
 
 

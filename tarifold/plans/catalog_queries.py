@@ -8,7 +8,7 @@ from tarifold.functions.terms import terms_hash
 from tarifold.operators import compare as C, lookup as L
 from tarifold.operators.rows import assemble_rows, min_price, shard_metadata, split_star
 from tarifold.plans.registry import query, register
-from tarifold.plans.star import STAR_SQL, kind_of, star_rows, table, with_names
+from tarifold.plans.star import STAR_SQL, kind_of, lines_and_rows, star_rows, table, with_names
 
 WITH = "WITH " + STAR_SQL
 
@@ -74,14 +74,12 @@ def _catalog_metadata(spark: SparkSession, d: str) -> DataFrame:
     return meta.select("provider", "service", "row_count", *(F.array_join(n, ",").alias(n) for n in names))
 
 
-def _requests(spark: SparkSession, d: str) -> DataFrame:
+def _requests(line: DataFrame) -> DataFrame:
     """Every order line asks for the price of what it bought, naming more or fewer conditions by its flags."""
-    line = with_names(spark, d, table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     pinned = terms_hash(F.lit("on_demand"), *(F.lit("") for _ in range(5)))
     return line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", F.concat_ws("::", "l_partkey", "l_suppkey")).alias("request_id"),
-        kind_of(F.col("p_partkey")).alias("kind"), F.col("p_name").alias("resource_name"),
+        "kind", F.col("p_name").alias("resource_name"),
         F.col("s_name").alias("provider"), F.when(F.col("l_linestatus") == "O", F.col("p_brand")).alias("service"),
         F.when(F.col("l_returnflag") != "R", F.col("n_name")).alias("region"),
         F.when(F.col("l_returnflag") == "N", pinned).alias("terms_hash"),
@@ -109,15 +107,17 @@ answer AS (
 
 @query("lookup_bulk", WITH + _REQUESTS_SQL + "SELECT request_id, sku_id, n_prices FROM answer")
 def _lookup_bulk(spark: SparkSession, d: str) -> DataFrame:
-    out = L.lookup_many(star_rows(spark, d), _requests(spark, d), optional=("service", "region"),
-                        required=("kind", "resource_name", "provider"), masks=_MASKS)
-    return out.select("request_id", "sku_id", F.size("prices").alias("n_prices"))
+    lines, rows = lines_and_rows(spark, d)
+    return L.lookup_many(rows, _requests(lines), optional=("service", "region"), masks=_MASKS, entered=[()],
+                         required=("kind", "resource_name", "provider"), shown=("sku_id", F.size("prices").alias("n_prices")))
 
 
 @query("lookup_not_found", WITH + _REQUESTS_SQL + """
 SELECT request_id, 'not_found' AS code FROM request WHERE request_id NOT IN (SELECT request_id FROM answer)""")
 def _lookup_not_found(spark: SparkSession, d: str) -> DataFrame:
-    return L.lookup_missing(star_rows(spark, d), _requests(spark, d), optional=("service", "region"),
+    # an anti join takes nulls from one side only, so the two sides couldn't read one exchange of lines_and_rows()
+    lines = with_names(spark, d, table(spark, d, "lineitem")).withColumn("kind", kind_of(F.col("p_partkey")))
+    return L.lookup_missing(star_rows(spark, d), _requests(lines), optional=("service", "region"),
                             required=("kind", "resource_name", "provider"), masks=_MASKS).select("request_id", "code")
 
 

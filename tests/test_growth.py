@@ -117,3 +117,47 @@ def test_comparisons_enter_only_rows_of_kinds_and_places_asked_for(spark):
     found = compare_many(rows.persist(), asked, places)
     shuffled, n = _shuffled_rows(spark, found)
     assert n == 20 and shuffled < 200
+
+
+def _exchanged(spark, sf_dir, name):
+    """Rows that exchanges of a query hold, as a multiple of the order lines, with sort-merge joins as on large tables."""
+    from tarifold.plans import load_all
+    from tarifold.plans.registry import QUERIES
+    load_all()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled, _ = _shuffled_rows(spark, QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return shuffled / spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+def test_lines_and_catalog_of_bulk_lookups_cross_three_exchanges(spark, sf_dir):
+    assert _exchanged(spark, sf_dir, "lookup_bulk") < 3.5  # by part, by supplier, by what requests name
+
+
+def test_rows_entered_under_few_names_answer_alike(spark):
+    from itertools import product
+    from tarifold.operators.lookup import lookup_many, lookup_missing
+    rows = make(spark, *({"id": f"s{k}", "provider": f"p{k % 2}", "service": f"v{k % 3}", "name": f"n{k % 2}", "region": None if k == 5 else f"r{k % 4}",
+                          "terms": VM if k % 5 else {"os": "windows"}, "prices": [hourly(2.0), ("a", "", "", 1.0, "hrs")][:k % 3]} for k in range(24)))
+    hashes = [r.terms_hash for r in rows.select("terms_hash").distinct().collect()]
+    asked = list(product(("n0", "n1", None), ("p0", None), ("v1", None), ("r0", "r2", "none", None), (hashes[0], None)))
+    requests = spark.createDataFrame([(k, "compute.vm", *a) for k, a in enumerate(asked)], "request_id int, kind string, resource_name string, "
+                                     "provider string, service string, region string, terms_hash string")
+    want, lost = sorted(map(str, lookup_many(rows, requests).collect())), sorted(map(str, lookup_missing(rows, requests).collect()))
+    assert want and lost
+    for entered in ([()], [("region", "service"), ("region",), ()], [("terms_hash",), ()]):
+        assert sorted(map(str, lookup_many(rows, requests, entered=entered).collect())) == want
+        assert sorted(map(str, lookup_missing(rows, requests, entered=entered).collect())) == lost
+    shown = lookup_many(rows, requests, entered=[()], shown=("sku_id", F.transform("prices", lambda p: p["dimension"]).alias("names")))
+    assert shown.columns == ["request_id", "sku_id", "names"]
+    assert {tuple(r.names) for r in shown.collect()} == {(), ("compute",), ("a", "compute")}
+
+
+def test_catalog_beside_its_lines_is_the_catalog(spark, sf_dir):
+    from tarifold.plans.star import lines_and_rows, star_rows
+    got, want = lines_and_rows(spark, sf_dir)[1], star_rows(spark, sf_dir)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
