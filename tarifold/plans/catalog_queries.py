@@ -118,7 +118,7 @@ def _lookup_not_found(spark: SparkSession, d: str) -> DataFrame:
     # an anti join takes nulls from one side only, so the two sides couldn't read one exchange of lines_and_rows()
     lines = with_names(spark, d, table(spark, d, "lineitem")).withColumn("kind", kind_of(F.col("p_partkey")))
     return L.lookup_missing(star_rows(spark, d), _requests(lines), optional=("service", "region"),
-                            required=("kind", "resource_name", "provider"), masks=_MASKS).select("request_id", "code")
+                            required=("kind", "resource_name", "provider"), masks=_MASKS, entered=[()]).select("request_id", "code")
 
 
 _TERMS = {

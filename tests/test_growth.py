@@ -137,6 +137,10 @@ def test_lines_and_catalog_of_bulk_lookups_cross_three_exchanges(spark, sf_dir):
     assert _exchanged(spark, sf_dir, "lookup_bulk") < 3.5  # by part, by supplier, by what requests name
 
 
+def test_requests_without_an_answer_meet_each_row_once(spark, sf_dir):
+    assert _exchanged(spark, sf_dir, "lookup_not_found") < 5  # lines three times, the smaller catalog three times and its keys once
+
+
 def test_rows_entered_under_few_names_answer_alike(spark):
     from itertools import product
     from tarifold.operators.lookup import lookup_many, lookup_missing
