@@ -152,8 +152,12 @@ def is_noop(delta: DataFrame) -> bool:
 def apply_star_delta(star: dict[str, DataFrame], delta: DataFrame) -> dict[str, DataFrame]:
     """The star tables after a delta. All rows of a touched item go, then its upserts come; metadata is replaced.
 
-    Only the touched items travel to the tables, one anti join each.
+    Only the touched items travel to the tables, one anti join each. The delta is computed once: its records cross one exchange by sku_id, which
+    all tables read.
     """
+    # as outputs of a generator all columns stay in the exchange, whichever of them a table takes
+    rest = F.array(F.struct(*(c for c in delta.columns if c != "sku_id")))
+    delta = delta.select("sku_id", rest.alias("_rest")).repartition("sku_id").select("sku_id", F.inline("_rest"))
     touched = delta.filter("change_group < 3").select("sku_id").distinct()
 
     def upserts(name: str) -> DataFrame:

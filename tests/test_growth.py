@@ -68,24 +68,26 @@ def test_two_snapshots_come_from_one_pass(spark, sf_dir):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-def _shuffled_rows(spark, df):
-    """Rows that exchanges of the finished plan hold, by Spark's own counts, and the rows of the result."""
-    n = len(df.collect())
-    todo, seen, rows = [df._jdf.queryExecution().executedPlan()], set(), 0
+def _executed(df):
+    """Nodes of the finished plan; a reused exchange is met once."""
+    todo, seen = [df._jdf.queryExecution().executedPlan()], set()
     while todo:
         node = todo.pop()
         name = node.getClass().getSimpleName()
         if name == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
-            continue
-        if name.endswith("QueryStageExec"):
+        elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-            continue
-        if name == "ShuffleExchangeExec" and node.id() not in seen:
+        elif node.id() not in seen:
             seen.add(node.id())
-            rows += node.metrics().apply("shuffleRecordsWritten").value()
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    return rows, n
+            yield name, node
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def _shuffled_rows(df):
+    """Rows that exchanges hold, by Spark's own counts, and the rows of the result."""
+    n = len(df.collect())
+    return sum(node.metrics().apply("shuffleRecordsWritten").value() for name, node in _executed(df) if name == "ShuffleExchangeExec"), n
 
 
 def test_answers_of_a_batch_stay_where_they_are_made(spark, monkeypatch):
@@ -96,7 +98,7 @@ def test_answers_of_a_batch_stay_where_they_are_made(spark, monkeypatch):
     line = '{"command": "aws ec2 list", "args": {"instance_type": "%s"}}'
     lines = spark.range(asked + 1).selectExpr("id AS request_id", f"IF(id = {asked}, '{line % 'u'}', '{line % 't'}') AS value")
     records = run_batch(parse_requests(lines), rows)
-    shuffled, n = _shuffled_rows(spark, records)
+    shuffled, n = _shuffled_rows(records)
     assert n == machines * asked + 1 and shuffled < n / 4
     monkeypatch.setattr(lookup, "BLOCK", 8, raising=False)
     got = {}
@@ -115,7 +117,7 @@ def test_comparisons_enter_only_rows_of_kinds_and_places_asked_for(spark):
     places = spark.createDataFrame([(f"r{k}", [f"r{k}"]) for k in range(10)], "name string, literals array<string>")
     asked = spark.createDataFrame([(1, "cache.kv", ["r3"], 100)], "request_id int, kind string, regions array<string>, `limit` int")
     found = compare_many(rows.persist(), asked, places)
-    shuffled, n = _shuffled_rows(spark, found)
+    shuffled, n = _shuffled_rows(found)
     assert n == 20 and shuffled < 200
 
 
@@ -127,18 +129,19 @@ def _exchanged(spark, sf_dir, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled, _ = _shuffled_rows(spark, QUERIES[name](spark, sf_dir))
+        df = QUERIES[name](spark, sf_dir)
+        shuffled, _ = _shuffled_rows(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    return shuffled / spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    return shuffled / spark.read.parquet(f"{sf_dir}/lineitem.parquet").count(), df
 
 
 def test_lines_and_catalog_of_bulk_lookups_cross_three_exchanges(spark, sf_dir):
-    assert _exchanged(spark, sf_dir, "lookup_bulk") < 3.5  # by part, by supplier, by what requests name
+    assert _exchanged(spark, sf_dir, "lookup_bulk")[0] < 3.5  # by part, by supplier, by what requests name
 
 
 def test_requests_without_an_answer_meet_each_row_once(spark, sf_dir):
-    assert _exchanged(spark, sf_dir, "lookup_not_found") < 5  # lines three times, the smaller catalog three times and its keys once
+    assert _exchanged(spark, sf_dir, "lookup_not_found")[0] < 5  # lines three times, the smaller catalog three times and its keys once
 
 
 def test_rows_entered_under_few_names_answer_alike(spark):
@@ -165,3 +168,9 @@ def test_catalog_beside_its_lines_is_the_catalog(spark, sf_dir):
     got, want = lines_and_rows(spark, sf_dir)[1], star_rows(spark, sf_dir)
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_delta_is_computed_once_for_all_tables(spark, sf_dir):
+    times, df = _exchanged(spark, sf_dir, "star_delta_apply")
+    assert times < 4  # lines by part, items by supplier and by sku_id, records by sku_id
+    assert sum("FullOuter" in node.simpleString(1000) for name, node in _executed(df) if name == "SortMergeJoinExec") == 1
