@@ -174,3 +174,13 @@ def test_a_delta_is_computed_once_for_all_tables(spark, sf_dir):
     times, df = _exchanged(spark, sf_dir, "star_delta_apply")
     assert times < 4  # lines by part, items by supplier and by sku_id, records by sku_id
     assert sum("FullOuter" in node.simpleString(1000) for name, node in _executed(df) if name == "SortMergeJoinExec") == 1
+
+
+def test_kept_catalog_is_plain_columns(spark, sf_dir):
+    from tarifold.plans import star
+    got, want = star.kept_star_rows(spark, sf_dir), star.star_rows(spark, sf_dir)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    (kept,) = [line for line in plan.splitlines() if "InMemoryRelation [" in line]
+    assert "p_name#" in kept and "resource_attrs#" not in kept and "prices#" not in kept
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
